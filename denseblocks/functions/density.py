@@ -20,6 +20,7 @@ are safe under ANSI mode.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Protocol, Sequence
 
@@ -66,6 +67,8 @@ class Measure(Protocol):
 
     def of_sums(self, mass: Column, prod: Column, csum: Column) -> Column: ...
 
+    def value(self, mass: int, cards: Sequence[int]) -> float: ...
+
 
 @dataclass(frozen=True)
 class Arithmetic:
@@ -78,6 +81,10 @@ class Arithmetic:
         s = _dbl(csum)
         return F.when(s == 0.0, F.lit(-1.0)).otherwise(_dbl(mass) / F.when(s == 0.0, F.lit(1.0)).otherwise(s) * float(self.n_dims))
 
+    def value(self, mass: int, cards: Sequence[int]) -> float:
+        s = float(sum(int(c) for c in cards))
+        return -1.0 if s == 0.0 else float(mass) / s * self.n_dims
+
 
 @dataclass(frozen=True)
 class Geometric:
@@ -90,6 +97,10 @@ class Geometric:
         p = _dbl(prod)
         return F.when(p == 0.0, F.lit(-1.0)).otherwise(_dbl(mass) / F.pow(p, F.lit(1.0 / self.n_dims)))
 
+    def value(self, mass: int, cards: Sequence[int]) -> float:
+        p = product_py(cards)
+        return -1.0 if p == 0.0 else float(mass) / math.pow(p, 1.0 / self.n_dims)
+
 
 @dataclass(frozen=True)
 class Suspiciousness:
@@ -117,6 +128,14 @@ class Suspiciousness:
         value = safe_m * (F.ln(safe_m / m0) - 1.0) + F.lit(m0) * safe_p / pa - safe_m * F.ln(safe_p / pa)
         return F.when((p == 0.0) | (m == 0.0), F.lit(-1.0)).otherwise(value)
 
+    def value(self, mass: int, cards: Sequence[int]) -> float:
+        p = product_py(cards)
+        m = float(mass)
+        if p == 0.0 or m == 0.0 or self.mass_all <= 0 or self.prod_all == 0.0:
+            return -1.0
+        m0, pa = float(self.mass_all), float(self.prod_all)
+        return m * (math.log(m / m0) - 1.0) + m0 * p / pa - m * math.log(p / pa)
+
 
 MEASURES = ("ari", "geo", "susp")
 

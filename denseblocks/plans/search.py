@@ -37,7 +37,7 @@ from ..operators.peel import (
     histogram,
     mode_stats_df,
 )
-from ..operators.profile import profile, value_masses
+from ..operators.profile import profile, unpivot_dims, value_masses
 from ..relation import Relation, valid_only
 
 
@@ -113,7 +113,11 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
             )
         rel = valid_only(rel)
         prof = profile(rel)
-    vm = value_masses(rel.df, rel.n_dims)
+    original = rel.df
+    spread_df = spread(original, rel.n_dims)
+    if spread_df is not original:
+        original = materialize(spread_df)
+    vm = value_masses(original, rel.n_dims)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     vm = materialize(vm.repartition(parts, "mode", "value"))
     counts = {int(r["mode"]): int(r["n"]) for r in vm.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -124,7 +128,7 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
         cards = distinct
     else:
         raise ValueError("cardinality must be 'max_plus_one' or 'distinct'")
-    return Context(spark, rel.df, rel.n_dims, tuple(cards), distinct, prof.mass, prof.tuples, vm, opts)
+    return Context(spark, original, rel.n_dims, tuple(cards), distinct, prof.mass, prof.tuples, vm, opts)
 
 
 def _start_values(ctx: Context, current: DataFrame | None) -> DataFrame:
@@ -139,15 +143,52 @@ def _start_values(ctx: Context, current: DataFrame | None) -> DataFrame:
     return v.withColumn("rpass", F.lit(None).cast("int"))
 
 
-def _remove_tuples(B: DataFrame, V: DataFrame, n: int, thr: float, removed_obs: int, kept_obs: int, mass: int, opts: Options) -> DataFrame:
-    """Tuples of B whose value in dimension n survives the pass (P10)."""
-    key = f"a{n}"
-    alive_n = V.filter(F.col("rpass").isNull() & (F.col("mode") == n))
-    gone = F.col("mass").cast("double") <= F.lit(thr)
-    if kept_obs <= removed_obs and kept_obs <= opts.broadcast_rows:
-        return mem.restrict(B, key, alive_n.filter(~gone).select("value"), kept_obs, keep=True, opts=opts)
-    hot = mem.hot_values(alive_n, n, mass, gone, opts)
-    return mem.restrict(B, key, alive_n.filter(gone).select("value"), removed_obs, keep=False, hot=hot, opts=opts)
+def surviving_tuples(
+    B_base: DataFrame,
+    V: DataFrame,
+    base_pass: int,
+    removed_obs: Sequence[int],
+    alive_obs: Sequence[int],
+    base_mass: int,
+    opts: Options,
+) -> tuple[DataFrame, bool]:
+    """Tuples of ``B_base`` none of whose values was removed since pass
+    ``base_pass`` (P10, J3). Returns (tuples, used_shuffle).
+
+    Per dimension the removals since the base form one set, so the plan has
+    at most N membership joins however many passes it covers. Each join uses
+    the smaller of (removed since base, still alive) when it is broadcastable.
+    """
+    out = B_base
+    shuffled = False
+    for m, r in enumerate(removed_obs):
+        if r == 0:
+            continue
+        key = f"a{m}"
+        vm_m = V.filter(F.col("mode") == m)
+        gone = F.col("rpass").isNotNull() & (F.col("rpass") >= base_pass)
+        alive = F.col("rpass").isNull()
+        kept = alive_obs[m]
+        if kept <= r and kept <= opts.broadcast_rows:
+            out = mem.restrict(out, key, vm_m.filter(alive).select("value"), kept, keep=True, opts=opts)
+            continue
+        if r <= opts.broadcast_rows:
+            out = mem.restrict(out, key, vm_m.filter(gone).select("value"), r, keep=False, opts=opts)
+            continue
+        shuffled = True
+        hot = mem.hot_values(vm_m.filter(alive | gone), m, base_mass, gone, opts)
+        out = mem.restrict(out, key, vm_m.filter(gone).select("value"), r, keep=False, hot=hot, opts=opts)
+    return out, shuffled
+
+
+def spread(df: DataFrame, n_dims: int) -> DataFrame:
+    """Hash-partition a relation that arrives in fewer partitions than the
+    cluster has cores (e.g. one large parquet row group); deterministic."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, *[F.col(f"a{i}") for i in range(n_dims)], F.col("v"))
 
 
 def find_block(
@@ -159,7 +200,8 @@ def find_block(
     policy: str = "density",
     theta: float = 1.0,
 ) -> BlockFound:
-    """Greedy peeling of one block (P1-P15); ``B`` and ``V`` are materialised."""
+    """Greedy peeling of one block (P1-P15) on tuples ``B`` (materialised)
+    and values ``V`` (materialised, all alive, masses in ``B``)."""
     if theta < 1.0:
         raise ValueError("theta must be at least 1")
     opts = ctx.opts
@@ -172,7 +214,10 @@ def find_block(
     log: list[PassLog] = []
     M = mass
     best = None
-    cut = None  # (pass, mass, k, s, mode)
+    cut = None  # (pass, mass, k, s, mode, mass before)
+    B_base, base_pass, base_mass = B, 0, mass
+    B_cur = B
+    since_base = [0] * N  # observed values removed since the base, per dimension
     p = 0
     while sum(alive) > 0:
         t0 = time.time()
@@ -189,15 +234,14 @@ def find_block(
         if st.best_density > best:
             best = st.best_density
             cut = (p, st.best_mass, st.best_k, st.best_s, n, M)
-        ph_removed = phantoms[n]
-        removed_obs = st.k - ph_removed
-        kept_obs = alive[n] - st.k
         mark = F.when(
             F.col("rpass").isNull() & (F.col("mode") == n) & (F.col("mass").cast("double") <= F.lit(thr)), F.lit(p)
         ).otherwise(F.col("rpass"))
         V_marked = V.withColumn("rpass", mark)
         log.append(PassLog(n, st.k, st.s, thr, M, tuple(alive), st.best_density, 0.0))
         removed_per_pass.append((n, st.k))
+        removed_obs = st.k - phantoms[n]
+        since_base[n] += removed_obs
         if phantoms[n]:
             phantom_pass[n] = p
             phantoms[n] = 0
@@ -205,9 +249,9 @@ def find_block(
         alive[n] -= st.k
         p += 1
         if M_next == 0 or sum(alive) == 0:
-            # Nothing left can beat the best (all densities <= 0 < best, or the
-            # -1 sentinel); the reference would peel one remaining dimension
-            # per pass, all after the cut.
+            # Every later density is 0 or the -1 sentinel, below the best: the
+            # remaining values all belong to the block. The full peel would take
+            # one more pass per dimension still alive.
             extra = sum(1 for c in alive if c > 0)
             for m in range(N):
                 if phantoms[m]:
@@ -216,9 +260,20 @@ def find_block(
             log[-1].seconds = time.time() - t0
             p += extra
             break
-        B_next = _remove_tuples(B, V, n, thr, removed_obs, kept_obs, M, opts)
-        B = materialize(B_next)
-        V = materialize(_update_values(V_marked, B, N, opts))
+        alive_obs = [alive[m] - phantoms[m] for m in range(N)]
+        B_now, shuffled = surviving_tuples(B_base, V_marked, base_pass, since_base, alive_obs, base_mass, opts)
+        if opts.update == "delta":
+            gone_vals = V_marked.filter((F.col("mode") == n) & (F.col("rpass") == p - 1)).select("value")
+            gone = mem.restrict(B_cur, f"a{n}", gone_vals, removed_obs, keep=True, opts=opts)
+            V_next = _update_values_delta(V_marked, gone, N)
+        if shuffled or 2 * M_next <= base_mass:
+            B_base, base_pass, base_mass = materialize(B_now), p, M_next
+            since_base = [0] * N
+            B_now = B_base
+        if opts.update != "delta":
+            V_next = _update_values(V_marked, B_now, N, opts)
+        V = materialize(V_next)
+        B_cur = B_now
         M = M_next
         log[-1].seconds = time.time() - t0
 
@@ -229,7 +284,7 @@ def find_block(
     else:
         cut_pass, cut_mass, cut_k, cut_s, cut_mode, m_before = cut
         removed = [0] * N
-        for q, (mode_q, k_q) in enumerate(removed_per_pass[:cut_pass]):
+        for mode_q, k_q in removed_per_pass[:cut_pass]:
             removed[mode_q] += k_q
         removed[cut_mode] += cut_k
         cards = tuple(c - r for c, r in zip(ctx.cards, removed))
@@ -239,12 +294,45 @@ def find_block(
 
 def _update_values(V_marked: DataFrame, B_next: DataFrame, n_dims: int, opts: Options) -> DataFrame:
     """New masses of alive values from the surviving tuples (P12); removed
-    values keep their frozen mass."""
-    new = value_masses(B_next, n_dims).withColumnRenamed("mass", "nm")
-    return V_marked.join(new, ["mode", "value"], "left").select(
+    values keep their frozen mass.
+
+    Written as one aggregation over the union of the value rows and the
+    unpivoted tuples, so the tuples are pre-aggregated in each task and the
+    plan has a single exchange (no join, no sort).
+    """
+    vrows = V_marked.select(
+        "mode", "value", F.col("mass").alias("frozen"), "rpass", F.lit(0).cast("long").alias("nm")
+    )
+    trows = unpivot_dims(B_next, n_dims, ["v"]).select(
+        "mode", "value", F.lit(None).cast("long").alias("frozen"), F.lit(None).cast("int").alias("rpass"),
+        F.col("v").alias("nm"),
+    )
+    agg = vrows.unionByName(trows).groupBy("mode", "value").agg(
+        F.max("frozen").alias("frozen"), F.max("rpass").alias("rpass"), F.sum("nm").alias("nm")
+    )
+    return agg.select(
+        "mode",
+        "value",
+        F.when(F.col("rpass").isNull(), F.col("nm")).otherwise(F.col("frozen")).cast("long").alias("mass"),
+        "rpass",
+    )
+
+
+def _update_values_delta(V_marked: DataFrame, gone: DataFrame, n_dims: int) -> DataFrame:
+    """P11 form: subtract the masses of the tuples that left this pass
+    (``gone``) instead of recomputing from the survivors."""
+    vrows = V_marked.select("mode", "value", F.col("mass").alias("frozen"), "rpass", F.col("mass").alias("nm"))
+    trows = unpivot_dims(gone, n_dims, ["v"]).select(
+        "mode", "value", F.lit(None).cast("long").alias("frozen"), F.lit(None).cast("int").alias("rpass"),
+        (-F.col("v")).alias("nm"),
+    )
+    agg = vrows.unionByName(trows).groupBy("mode", "value").agg(
+        F.max("frozen").alias("frozen"), F.max("rpass").alias("rpass"), F.sum("nm").alias("nm")
+    )
+    return agg.select(
         "mode",
         "value",
-        F.when(F.col("rpass").isNull(), F.coalesce("nm", F.lit(0))).otherwise(F.col("mass")).cast("long").alias("mass"),
+        F.when(F.col("rpass").isNull(), F.col("nm")).otherwise(F.col("frozen")).cast("long").alias("mass"),
         "rpass",
     )
 
@@ -403,7 +491,7 @@ def find_blocks(
         found = find_block(ctx, R, V, R_mass, key, policy, theta)
         members = materialize(block_members(ctx, found))
         mass_o, tuples_o = block_mass(ctx, members, found.cards)
-        dens = ctx.spark.range(1).select(of_cards(report_measure, F.lit(mass_o), list(found.cards)).alias("d")).collect()[0]["d"]
+        dens = report_measure.value(mass_o, found.cards)
         blocks.append(Block(i + 1, found, members, mass_o, tuples_o, float(dens), 0.0))
         if i + 1 < k:  # no deflation after the last block
             if found.cut_pass is None:
