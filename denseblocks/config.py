@@ -10,6 +10,7 @@ import os
 import tempfile
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -84,6 +85,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def persist(df: DataFrame) -> DataFrame:
+    """Keep ``df`` once computed (memory, spilling to disk); lazy, so the next
+    action that needs it fills the cache instead of an extra job. Used for
+    tables whose lineage is short or is cut by a periodic checkpoint."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "denseblocks") -> SparkSession:
     """Session for tests and the local bench (not used by library code)."""
     builder = (

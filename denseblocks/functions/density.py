@@ -1,5 +1,5 @@
-"""Density measures as Spark ``Column`` builders (arithmetic, geometric,
-suspiciousness).
+"""Density measures (arithmetic, geometric, suspiciousness) as Spark SQL
+expressions.
 
 A measure is evaluated in three shapes, and each keeps the operation order of
 the published definition so that strict comparisons between densities of one
@@ -10,12 +10,13 @@ run compare like with like:
 * ``if_removed`` -- density after removing ``k`` values of one dimension whose
   masses add up to ``s``, with the product scaled as ``prod / c * (c - k)``
   (used only to rank dimensions);
-* ``of_sums``    -- density from a mass column and precomputed product / sum
-  columns.
+* ``sql``        -- density from SQL expressions of mass, product and sum.
 
 ``-1`` is the sentinel for an empty block (product 0, or mass 0 for
-suspiciousness). All divisions and logarithms are guarded, so the builders
-are safe under ANSI mode.
+suspiciousness). Divisions and logarithms are guarded, so the expressions
+are safe under ANSI mode. Expressions are built as SQL text and turned into
+a ``Column`` once (``F.expr``), which keeps plan building cheap in a loop.
+Each measure also has ``value`` for plain Python numbers.
 """
 
 from __future__ import annotations
@@ -27,30 +28,36 @@ from typing import Protocol, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColumnOrNumber = "Column | int | float"
 
+def dlit(x: float) -> str:
+    """SQL double literal."""
+    x = float(x)
+    if not math.isfinite(x):
+        raise ValueError(f"non-finite literal {x}")
+    return f"{x!r}D"
 
-def _col(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
 
+def sql_of(x) -> str:
+    """SQL text of a number or of an expression given as text."""
+    if isinstance(x, bool):
+        raise TypeError("boolean is not a cardinality")
+    if isinstance(x, int):
+        return f"CAST({x} AS BIGINT)"
+    if isinstance(x, float):
+        return dlit(x)
+    return f"({x})"
 
-def _dbl(x) -> Column:
-    return _col(x).cast("double")
 
-
-def product(cards: Sequence) -> Column:
+def product_sql(cards: Sequence) -> str:
     """Double product of the cardinalities, multiplied in dimension order."""
-    out = F.lit(1.0)
+    out = dlit(1.0)
     for c in cards:
-        out = out * _dbl(c)
+        out = f"({out} * CAST({sql_of(c)} AS DOUBLE))"
     return out
 
 
-def total(cards: Sequence) -> Column:
-    out = F.lit(0).cast("long")
-    for c in cards:
-        out = out + _col(c).cast("long")
-    return out
+def total_sql(cards: Sequence) -> str:
+    return "(" + " + ".join(f"CAST({sql_of(c)} AS BIGINT)" for c in cards) + ")"
 
 
 def product_py(cards: Sequence[int]) -> float:
@@ -65,7 +72,7 @@ class Measure(Protocol):
 
     name: str
 
-    def of_sums(self, mass: Column, prod: Column, csum: Column) -> Column: ...
+    def sql(self, mass: str, prod: str, csum: str) -> str: ...
 
     def value(self, mass: int, cards: Sequence[int]) -> float: ...
 
@@ -77,9 +84,12 @@ class Arithmetic:
     n_dims: int
     name: str = "ari"
 
-    def of_sums(self, mass: Column, prod: Column, csum: Column) -> Column:
-        s = _dbl(csum)
-        return F.when(s == 0.0, F.lit(-1.0)).otherwise(_dbl(mass) / F.when(s == 0.0, F.lit(1.0)).otherwise(s) * float(self.n_dims))
+    def sql(self, mass: str, prod: str, csum: str) -> str:
+        s = f"CAST({csum} AS DOUBLE)"
+        return (
+            f"(CASE WHEN {s} = 0.0D THEN -1.0D "
+            f"ELSE CAST({mass} AS DOUBLE) / (CASE WHEN {s} = 0.0D THEN 1.0D ELSE {s} END) * {dlit(self.n_dims)} END)"
+        )
 
     def value(self, mass: int, cards: Sequence[int]) -> float:
         s = float(sum(int(c) for c in cards))
@@ -93,9 +103,12 @@ class Geometric:
     n_dims: int
     name: str = "geo"
 
-    def of_sums(self, mass: Column, prod: Column, csum: Column) -> Column:
-        p = _dbl(prod)
-        return F.when(p == 0.0, F.lit(-1.0)).otherwise(_dbl(mass) / F.pow(p, F.lit(1.0 / self.n_dims)))
+    def sql(self, mass: str, prod: str, csum: str) -> str:
+        p = f"CAST({prod} AS DOUBLE)"
+        return (
+            f"(CASE WHEN {p} = 0.0D THEN -1.0D "
+            f"ELSE CAST({mass} AS DOUBLE) / pow({p}, {dlit(1.0 / self.n_dims)}) END)"
+        )
 
     def value(self, mass: int, cards: Sequence[int]) -> float:
         p = product_py(cards)
@@ -116,17 +129,16 @@ class Suspiciousness:
     prod_all: float
     name: str = "susp"
 
-    def of_sums(self, mass: Column, prod: Column, csum: Column) -> Column:
-        p = _dbl(prod)
-        m = _dbl(mass)
+    def sql(self, mass: str, prod: str, csum: str) -> str:
         if self.mass_all <= 0 or self.prod_all == 0.0:
-            return F.lit(-1.0)
-        m0 = float(self.mass_all)
-        pa = float(self.prod_all)
-        safe_m = F.when(m == 0.0, F.lit(1.0)).otherwise(m)
-        safe_p = F.when(p == 0.0, F.lit(1.0)).otherwise(p)
-        value = safe_m * (F.ln(safe_m / m0) - 1.0) + F.lit(m0) * safe_p / pa - safe_m * F.ln(safe_p / pa)
-        return F.when((p == 0.0) | (m == 0.0), F.lit(-1.0)).otherwise(value)
+            return "-1.0D"
+        p = f"CAST({prod} AS DOUBLE)"
+        m = f"CAST({mass} AS DOUBLE)"
+        m0, pa = dlit(self.mass_all), dlit(self.prod_all)
+        sm = f"(CASE WHEN {m} = 0.0D THEN 1.0D ELSE {m} END)"
+        sp = f"(CASE WHEN {p} = 0.0D THEN 1.0D ELSE {p} END)"
+        value = f"{sm} * (ln({sm} / {m0}) - 1.0D) + {m0} * {sp} / {pa} - {sm} * ln({sp} / {pa})"
+        return f"(CASE WHEN {p} = 0.0D OR {m} = 0.0D THEN -1.0D ELSE {value} END)"
 
     def value(self, mass: int, cards: Sequence[int]) -> float:
         p = product_py(cards)
@@ -152,14 +164,23 @@ def make_measure(name: str, n_dims: int, mass_all: int, cards_all: Sequence[int]
     raise ValueError(f"unknown density measure {name!r}; expected one of {MEASURES}")
 
 
-def of_cards(measure: Measure, mass, cards: Sequence) -> Column:
-    """Density of a block from its mass and cardinalities."""
-    return measure.of_sums(_col(mass), product(cards), total(cards))
+def of_cards_sql(measure: Measure, mass, cards: Sequence) -> str:
+    """Density of a block from its mass and cardinalities (D4, D7, D8); the
+    arguments are numbers or SQL text."""
+    return measure.sql(sql_of(mass), product_sql(cards), total_sql(cards))
 
 
-def if_removed(measure: Measure, mass, prod: float, csum: int, card, k, s) -> Column:
+def if_removed_sql(measure: Measure, mass, prod: float, csum: int, card, k, s) -> str:
     """Density after removing ``k`` values of mass sum ``s`` from a dimension
     with ``card`` alive values (D5; D6 is ``k = 1``)."""
-    card_d = _dbl(card)
-    scaled = F.lit(float(prod)) / F.when(card_d == 0.0, F.lit(1.0)).otherwise(card_d) * (card_d - _dbl(k))
-    return measure.of_sums(_col(mass) - _col(s), scaled, _col(csum) - _col(k))
+    c = f"CAST({sql_of(card)} AS DOUBLE)"
+    scaled = f"({dlit(prod)} / (CASE WHEN {c} = 0.0D THEN 1.0D ELSE {c} END) * ({c} - CAST({sql_of(k)} AS DOUBLE)))"
+    return measure.sql(f"{sql_of(mass)} - {sql_of(s)}", scaled, f"{sql_of(csum)} - {sql_of(k)}")
+
+
+def of_cards(measure: Measure, mass, cards: Sequence) -> Column:
+    return F.expr(of_cards_sql(measure, mass, cards))
+
+
+def if_removed(measure: Measure, mass, prod: float, csum: int, card, k, s) -> Column:
+    return F.expr(if_removed_sql(measure, mass, prod, csum, card, k, s))

@@ -24,10 +24,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.density import Measure, if_removed, of_cards, product_py
+from ..functions.density import Measure, dlit, if_removed_sql, of_cards_sql, product_py
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,15 @@ class ModeStats:
     start_density: float  # density of the block at the start (D4 shape)
 
 
-def _per_mode(mapping: dict[int, float | int], mode: Column, default=None) -> Column:
-    out = F.lit(default)
-    for m, val in sorted(mapping.items()):
-        out = F.when(mode == m, F.lit(val)).otherwise(out)
-    return out
+def _per_mode_sql(mapping: dict[int, float | int], default: str = "NULL") -> str:
+    """CASE over ``mode`` with one literal per dimension."""
+    if not mapping:
+        return default
+    arms = " ".join(
+        f"WHEN mode = {m} THEN {dlit(v) if isinstance(v, float) else f'CAST({v} AS BIGINT)'}"
+        for m, v in sorted(mapping.items())
+    )
+    return f"(CASE {arms} ELSE {default} END)"
 
 
 def histogram(alive_values: DataFrame, phantoms: Sequence[int]) -> DataFrame:
@@ -73,8 +77,8 @@ def histogram(alive_values: DataFrame, phantoms: Sequence[int]) -> DataFrame:
 
 def candidates(hist: DataFrame, state: PassState) -> DataFrame:
     """Histogram rows at or below the removal threshold of their dimension."""
-    thr = _per_mode(state.thresholds(), F.col("mode"))
-    return hist.filter(thr.isNotNull() & (F.col("mass").cast("double") <= thr))
+    thr = _per_mode_sql(state.thresholds())
+    return hist.filter(F.expr(f"CAST(mass AS DOUBLE) <= {thr}"))
 
 
 def prefix_densities(hist: DataFrame, state: PassState, measure: Measure) -> DataFrame:
@@ -82,31 +86,30 @@ def prefix_densities(hist: DataFrame, state: PassState, measure: Measure) -> Dat
     cand = candidates(hist, state)
     w = Window.partitionBy("mode").orderBy("mass").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cand = cand.withColumn("k", F.sum("cnt").over(w)).withColumn("s", F.sum(F.col("cnt") * F.col("mass")).over(w))
-    cards = [F.when(F.col("mode") == m, F.lit(c) - F.col("k")).otherwise(F.lit(c)) for m, c in enumerate(state.alive)]
-    return cand.withColumn("density", of_cards(measure, F.lit(state.mass) - F.col("s"), cards))
+    cards = [f"CASE WHEN mode = {m} THEN CAST({c} AS BIGINT) - k ELSE CAST({c} AS BIGINT) END" for m, c in enumerate(state.alive)]
+    return cand.withColumn("density", F.expr(of_cards_sql(measure, f"CAST({state.mass} AS BIGINT) - s", cards)))
 
 
 def mode_stats_df(hist: DataFrame, state: PassState, measure: Measure) -> DataFrame:
     """One row per dimension with candidates: counts, score, best cut."""
     pre = prefix_densities(hist, state, measure)
     best = F.max(F.struct(F.col("density").alias("d"), (-F.col("mass")).alias("neg_mass"), "k", "s"))
-    agg = pre.groupBy("mode").agg(
-        F.max("k").alias("k"), F.max("s").alias("s"), best.alias("best")
-    )
+    agg = pre.groupBy("mode").agg(F.max("k").alias("k"), F.max("s").alias("s"), best.alias("best"))
     prod = product_py(state.alive)
     csum = sum(state.alive)
-    card = _per_mode(dict(enumerate(state.alive)), F.col("mode"), 0)
-    start = of_cards(measure, F.lit(state.mass), list(state.alive))
-    return agg.select(
+    card = _per_mode_sql(dict(enumerate(state.alive)), "CAST(0 AS BIGINT)")
+    score = if_removed_sql(measure, state.mass, prod, csum, card, "k", "s")
+    start = of_cards_sql(measure, state.mass, list(state.alive))
+    return agg.selectExpr(
         "mode",
         "k",
         "s",
-        if_removed(measure, F.lit(state.mass), prod, csum, card, F.col("k"), F.col("s")).alias("score"),
-        F.col("best.d").alias("best_density"),
-        (-F.col("best.neg_mass")).alias("best_mass"),
-        F.col("best.k").alias("best_k"),
-        F.col("best.s").alias("best_s"),
-        start.alias("start_density"),
+        f"{score} AS score",
+        "best.d AS best_density",
+        "-best.neg_mass AS best_mass",
+        "best.k AS best_k",
+        "best.s AS best_s",
+        f"{start} AS start_density",
     )
 
 
@@ -145,12 +148,13 @@ def choose_mode(policy: str, stats: dict[int, ModeStats], alive: Sequence[int])
 
 
 def choose_mode_df(stats_df: DataFrame, policy: str, alive: Sequence[int]) -> DataFrame:
-    """Same choice as :func:`choose_mode`, as a one-row DataFrame."""
+    """Same choice as :func:`choose_mode`, as a one-row DataFrame (the
+    ``limit(1)`` is the arg-max itself)."""
     key = policy.strip().lower()
     if key not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}; expected one of {POLICIES}")
-    card = _per_mode(dict(enumerate(alive)), F.col("mode"), 0)
-    df = stats_df.filter(card > 0)
-    score = card.cast("double") if key == "cardinality" else F.col("score")
-    df = df.withColumn("policy_score", score)
+    card = _per_mode_sql(dict(enumerate(alive)), "CAST(0 AS BIGINT)")
+    df = stats_df.filter(F.expr(f"{card} > 0"))
+    score = f"CAST({card} AS DOUBLE)" if key == "cardinality" else "score"
+    df = df.withColumn("policy_score", F.expr(score))
     return df.orderBy(F.col("policy_score").desc(), F.col("mode").desc()).limit(1)

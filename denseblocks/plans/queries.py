@@ -109,7 +109,7 @@ def q_block_density(spark, sf_dir, measure, rel="L"):
     ctx = context(spark, sf_dir, rel)
     meas = make_measure(measure, ctx.n_dims, ctx.mass, ctx.cards)
     per = ctx.original.groupBy(F.col("a2").alias("value")).agg(F.sum("v").cast("long").alias("mass"))
-    d = of_cards(meas, F.col("mass"), [ctx.cards[0], ctx.cards[1], 1])
+    d = of_cards(meas, "mass", [ctx.cards[0], ctx.cards[1], 1])
     return per.select("value", "mass", F.round(d, digits(measure)).alias("density"))
 
 
@@ -119,7 +119,7 @@ def q_start_density(spark, sf_dir, rel="L"):
     cols = []
     for m in ("ari", "geo", "susp"):
         meas = make_measure(m, ctx.n_dims, ctx.mass, ctx.cards)
-        cols.append(F.round(of_cards(meas, F.lit(ctx.mass), list(ctx.cards)), digits(m)).alias(f"density_{m}"))
+        cols.append(F.round(of_cards(meas, ctx.mass, list(ctx.cards)), digits(m)).alias(f"density_{m}"))
     return spark.range(1).select(*cols)
 
 

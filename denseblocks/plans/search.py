@@ -27,7 +27,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Options, materialize
+from ..config import DEFAULT, Options, materialize, persist
 from ..functions.density import make_measure, of_cards
 from ..operators import membership as mem
 from ..operators.peel import (
@@ -66,6 +66,12 @@ class BlockFound:
     values: DataFrame  # final V (mode, value, mass, rpass)
     phantom_pass: tuple[int | None, ...]
     log: list[PassLog] = field(default_factory=list)
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+        self.cached = []
 
     def members_observed(self) -> DataFrame:
         """(mode, value) of the block among values seen in the data."""
@@ -116,10 +122,9 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
     original = rel.df
     spread_df = spread(original, rel.n_dims)
     if spread_df is not original:
-        original = materialize(spread_df)
-    vm = value_masses(original, rel.n_dims)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vm = materialize(vm.repartition(parts, "mode", "value"))
+        original = persist(spread_df)
+    # Short lineage (source scan + one aggregation): persisted, not checkpointed.
+    vm = persist(value_masses(original, rel.n_dims))
     counts = {int(r["mode"]): int(r["n"]) for r in vm.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}
     distinct = tuple(counts.get(i, 0) for i in range(rel.n_dims))
     if cardinality == "max_plus_one":
@@ -218,12 +223,16 @@ def find_block(
     B_base, base_pass, base_mass = B, 0, mass
     B_cur = B
     since_base = [0] * N  # observed values removed since the base, per dimension
+    since_ckpt = 0
+    cached: list[DataFrame] = []
     p = 0
     while sum(alive) > 0:
         t0 = time.time()
         state = PassState(M, tuple(alive), tuple(phantoms), theta)
         alive_vals = V.filter(F.col("rpass").isNull()).select("mode", "mass")
         stats = collect_mode_stats(mode_stats_df(histogram(alive_vals, phantoms), state, meas))
+        while len(cached) > 1:  # the current V is computed now; older ones are not needed
+            cached.pop(0).unpersist()
         if best is None:
             best = next(iter(stats.values())).start_density if stats else 0.0
         n = choose_mode(policy, stats, alive)
@@ -272,7 +281,12 @@ def find_block(
             B_now = B_base
         if opts.update != "delta":
             V_next = _update_values(V_marked, B_now, N, opts)
-        V = materialize(V_next)
+        since_ckpt += 1
+        if since_ckpt >= opts.checkpoint_every:
+            V, since_ckpt = materialize(V_next), 0
+        else:
+            V = persist(V_next)  # filled by the next pass's statistics job
+            cached.append(V)
         B_cur = B_now
         M = M_next
         log[-1].seconds = time.time() - t0
@@ -289,7 +303,7 @@ def find_block(
         removed[cut_mode] += cut_k
         cards = tuple(c - r for c, r in zip(ctx.cards, removed))
         search_mass = m_before - cut_s
-    return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, V, tuple(phantom_pass), log)
+    return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, V, tuple(phantom_pass), log, cached)
 
 
 def _update_values(V_marked: DataFrame, B_next: DataFrame, n_dims: int, opts: Options) -> DataFrame:
@@ -490,6 +504,7 @@ def find_blocks(
         t0 = time.time()
         found = find_block(ctx, R, V, R_mass, key, policy, theta)
         members = materialize(block_members(ctx, found))
+        found.release()
         mass_o, tuples_o = block_mass(ctx, members, found.cards)
         dens = report_measure.value(mass_o, found.cards)
         blocks.append(Block(i + 1, found, members, mass_o, tuples_o, float(dens), 0.0))
@@ -501,6 +516,6 @@ def find_blocks(
                 vm_r = V.select("mode", "value", "mass")
                 R = materialize(deflate(ctx, R, members, found.cards, vm_r, R_mass))
                 R_mass = R_mass - found.search_mass
-            V = materialize(_start_values(ctx, R))
+            V = persist(_start_values(ctx, R))
         blocks[-1].seconds = time.time() - t0
     return Result(ctx, blocks, key, policy, theta, time.time() - t_start)
