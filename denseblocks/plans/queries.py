@@ -35,6 +35,7 @@ from .search import (
     Result,
     _update_values,
     _update_values_delta,
+    _values_view,
     block_tuples,
     deflate,
     find_blocks,
@@ -171,7 +172,8 @@ def q_choose_mode(spark, sf_dir, policy, measure="geo", rel="P", theta=2.0):
 
 
 def _first_pass(spark, sf_dir, rel="P", measure="geo", policy="density", theta=2.0):
-    """(ctx, chosen mode, V marked, tuples left) after one pass."""
+    """(ctx, chosen mode, alive values after the removal, removal log, tuples
+    left, removed count) after one pass."""
     key = _key(spark, "pass1", sf_dir, rel, measure, policy, theta)
     if key in _CACHE:
         return _CACHE[key]
@@ -181,33 +183,32 @@ def _first_pass(spark, sf_dir, rel="P", measure="geo", policy="density", theta=2
     stats = collect_mode_stats(mode_stats_df(_hist(ctx), state, meas))
     n = choose_mode(policy, stats, ctx.cards)
     thr = float(ctx.mass) * theta / ctx.cards[n]
-    V = ctx.all_values.withColumn("rpass", F.lit(None).cast("int"))
     gone = (F.col("mode") == n) & (F.col("mass").cast("double") <= F.lit(thr))
-    V_marked = V.withColumn("rpass", F.when(gone, F.lit(0)).otherwise(F.col("rpass")))
+    A = ctx.all_values.select("mode", "value", "mass")
+    A_kept = A.filter(~gone)
+    logged = A.filter(gone).withColumn("rpass", F.lit(0))
     removed = [0] * ctx.n_dims
     removed[n] = stats[n].k - ctx.phantoms[n]
     alive = [c - ph for c, ph in zip(ctx.cards, ctx.phantoms)]
     alive[n] = ctx.cards[n] - stats[n].k
-    B1, _ = surviving_tuples(ctx.original, V_marked, 0, removed, alive, ctx.mass, ctx.opts)
-    _CACHE[key] = (ctx, n, thr, V_marked, B1, removed[n])
+    B1, _ = surviving_tuples(ctx.original, _values_view(A_kept, [logged]), 0, removed, alive, ctx.mass, ctx.opts)
+    _CACHE[key] = (ctx, n, A_kept, logged, B1, removed[n])
     return _CACHE[key]
 
 
 def q_remove_values(spark, sf_dir):
-    ctx, n, thr, V_marked, B1, _ = _first_pass(spark, sf_dir)
-    return B1
+    return _first_pass(spark, sf_dir)[4]
 
 
 def q_update_masses_recompute(spark, sf_dir):
-    ctx, n, thr, V_marked, B1, _ = _first_pass(spark, sf_dir)
-    return _update_values(V_marked, B1, ctx.n_dims, ctx.opts)
+    ctx, n, A_kept, logged, B1, _ = _first_pass(spark, sf_dir)
+    return _values_view(_update_values(A_kept, B1, ctx.n_dims, ctx.opts), [logged])
 
 
 def q_update_masses_delta(spark, sf_dir):
-    ctx, n, thr, V_marked, B1, removed = _first_pass(spark, sf_dir)
-    gone_vals = V_marked.filter((F.col("mode") == n) & (F.col("rpass") == 0)).select("value")
-    gone = mem.restrict(ctx.original, f"a{n}", gone_vals, removed, keep=True, opts=ctx.opts)
-    return _update_values_delta(V_marked, gone, ctx.n_dims)
+    ctx, n, A_kept, logged, B1, removed = _first_pass(spark, sf_dir)
+    gone = mem.restrict(ctx.original, f"a{n}", logged.select("value"), removed, keep=True, opts=ctx.opts)
+    return _values_view(_update_values_delta(A_kept, gone, ctx.n_dims), [logged])
 
 
 # ---------------------------------------------------------------------------

@@ -2,13 +2,13 @@
 
 Per pass the driver runs one small job (N rows back, see
 ``operators.peel``), then ships a predicate ``mode = n AND mass <= thr``
-back into two materialised tables:
+back into the state:
 
 * ``B``  -- the tuples still alive (anti join on one dimension);
-* ``V``  -- every attribute value of the relation: (mode, value, mass,
-  rpass). ``rpass`` is null while the value is alive and the pass that removed
-  it afterwards, with ``mass`` frozen at removal. ``V`` is the removal log:
-  the block is ``rpass > p* OR (rpass = p* AND mass > m*)``.
+* ``A``  -- the alive attribute values (mode, value, mass), shrinking;
+* a removal log: per pass the values it removed, with their mass at removal.
+  The block is ``rpass > p* OR (rpass = p* AND mass > m*)`` over the log,
+  plus whatever is still alive.
 
 Values never seen in the data (ids below the largest one) are *phantoms*:
 mass 0, removed in the first pass that peels their dimension. They are kept
@@ -205,8 +205,14 @@ def find_block(
     policy: str = "density",
     theta: float = 1.0,
 ) -> BlockFound:
-    """Greedy peeling of one block (P1-P15) on tuples ``B`` (materialised)
-    and values ``V`` (materialised, all alive, masses in ``B``)."""
+    """Greedy peeling of one block (P1-P15) on tuples ``B`` and values ``V``
+    (mode, value, mass: every value of the relation, masses in ``B``).
+
+    The values are kept as a shrinking *alive* table, checkpointed every
+    pass, plus an append-only removal log. A log entry is a lazy filter of
+    the alive table of its pass (already checkpointed), so logging costs no
+    job and each pass only touches the values still alive.
+    """
     if theta < 1.0:
         raise ValueError("theta must be at least 1")
     opts = ctx.opts
@@ -217,22 +223,19 @@ def find_block(
     phantom_pass: list[int | None] = [None] * N
     removed_per_pass: list[tuple[int, int]] = []
     log: list[PassLog] = []
+    removal_log: list[DataFrame] = []  # (mode, value, mass, rpass) per pass
+    A = V.select("mode", "value", "mass")  # alive values
     M = mass
     best = None
     cut = None  # (pass, mass, k, s, mode, mass before)
     B_base, base_pass, base_mass = B, 0, mass
     B_cur = B
     since_base = [0] * N  # observed values removed since the base, per dimension
-    since_ckpt = 0
-    cached: list[DataFrame] = []
     p = 0
     while sum(alive) > 0:
         t0 = time.time()
         state = PassState(M, tuple(alive), tuple(phantoms), theta)
-        alive_vals = V.filter(F.col("rpass").isNull()).select("mode", "mass")
-        stats = collect_mode_stats(mode_stats_df(histogram(alive_vals, phantoms), state, meas))
-        while len(cached) > 1:  # the current V is computed now; older ones are not needed
-            cached.pop(0).unpersist()
+        stats = collect_mode_stats(mode_stats_df(histogram(A.select("mode", "mass"), phantoms), state, meas))
         if best is None:
             best = next(iter(stats.values())).start_density if stats else 0.0
         n = choose_mode(policy, stats, alive)
@@ -243,10 +246,9 @@ def find_block(
         if st.best_density > best:
             best = st.best_density
             cut = (p, st.best_mass, st.best_k, st.best_s, n, M)
-        mark = F.when(
-            F.col("rpass").isNull() & (F.col("mode") == n) & (F.col("mass").cast("double") <= F.lit(thr)), F.lit(p)
-        ).otherwise(F.col("rpass"))
-        V_marked = V.withColumn("rpass", mark)
+        gone = (F.col("mode") == n) & (F.col("mass").cast("double") <= F.lit(thr))
+        removal_log.append(A.filter(gone).withColumn("rpass", F.lit(p)))
+        A_kept = A.filter(~gone)
         log.append(PassLog(n, st.k, st.s, thr, M, tuple(alive), st.best_density, 0.0))
         removed_per_pass.append((n, st.k))
         removed_obs = st.k - phantoms[n]
@@ -265,28 +267,24 @@ def find_block(
             for m in range(N):
                 if phantoms[m]:
                     phantom_pass[m] = p + extra
-            V = V_marked
+            A = A_kept
             log[-1].seconds = time.time() - t0
             p += extra
             break
         alive_obs = [alive[m] - phantoms[m] for m in range(N)]
-        B_now, shuffled = surviving_tuples(B_base, V_marked, base_pass, since_base, alive_obs, base_mass, opts)
+        view = _values_view(A_kept, removal_log[base_pass:])
+        B_now, shuffled = surviving_tuples(B_base, view, base_pass, since_base, alive_obs, base_mass, opts)
         if opts.update == "delta":
-            gone_vals = V_marked.filter((F.col("mode") == n) & (F.col("rpass") == p - 1)).select("value")
-            gone = mem.restrict(B_cur, f"a{n}", gone_vals, removed_obs, keep=True, opts=opts)
-            V_next = _update_values_delta(V_marked, gone, N)
+            gone_vals = removal_log[-1].select("value")
+            gone_tuples = mem.restrict(B_cur, f"a{n}", gone_vals, removed_obs, keep=True, opts=opts)
+            A_next = _update_values_delta(A_kept, gone_tuples, N)
         if shuffled or 2 * M_next <= base_mass:
             B_base, base_pass, base_mass = materialize(B_now), p, M_next
             since_base = [0] * N
             B_now = B_base
         if opts.update != "delta":
-            V_next = _update_values(V_marked, B_now, N, opts)
-        since_ckpt += 1
-        if since_ckpt >= opts.checkpoint_every:
-            V, since_ckpt = materialize(V_next), 0
-        else:
-            V = persist(V_next)  # filled by the next pass's statistics job
-            cached.append(V)
+            A_next = _update_values(A_kept, B_now, N, opts)
+        A = materialize(A_next)
         B_cur = B_now
         M = M_next
         log[-1].seconds = time.time() - t0
@@ -303,52 +301,41 @@ def find_block(
         removed[cut_mode] += cut_k
         cards = tuple(c - r for c, r in zip(ctx.cards, removed))
         search_mass = m_before - cut_s
-    return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, V, tuple(phantom_pass), log, cached)
+    final = _values_view(A, removal_log)
+    return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, final, tuple(phantom_pass), log)
+
+
+def _values_view(alive: DataFrame, logs: list[DataFrame]) -> DataFrame:
+    """(mode, value, mass, rpass): alive values (rpass null) and logged removals."""
+    out = alive.select("mode", "value", "mass", F.lit(None).cast("int").alias("rpass"))
+    for d in logs:
+        out = out.unionByName(d.select("mode", "value", "mass", F.col("rpass").cast("int")))
+    return out
 
 
-def _update_values(V_marked: DataFrame, B_next: DataFrame, n_dims: int, opts: Options) -> DataFrame:
-    """New masses of alive values from the surviving tuples (P12); removed
-    values keep their frozen mass.
+def _update_values(alive: DataFrame, B_next: DataFrame, n_dims: int, opts: Options) -> DataFrame:
+    """New masses of the alive values from the surviving tuples.
 
-    Written as one aggregation over the union of the value rows and the
-    unpivoted tuples, so the tuples are pre-aggregated in each task and the
-    plan has a single exchange (no join, no sort).
+    One aggregation over the union of the alive value rows (mass 0) and the
+    unpivoted tuples: the tuples are pre-aggregated in each task and the plan
+    has a single exchange, no join and no sort. Every value of a surviving
+    tuple is alive, so no new key appears.
     """
-    vrows = V_marked.select(
-        "mode", "value", F.col("mass").alias("frozen"), "rpass", F.lit(0).cast("long").alias("nm")
-    )
-    trows = unpivot_dims(B_next, n_dims, ["v"]).select(
-        "mode", "value", F.lit(None).cast("long").alias("frozen"), F.lit(None).cast("int").alias("rpass"),
-        F.col("v").alias("nm"),
-    )
-    agg = vrows.unionByName(trows).groupBy("mode", "value").agg(
-        F.max("frozen").alias("frozen"), F.max("rpass").alias("rpass"), F.sum("nm").alias("nm")
-    )
-    return agg.select(
-        "mode",
-        "value",
-        F.when(F.col("rpass").isNull(), F.col("nm")).otherwise(F.col("frozen")).cast("long").alias("mass"),
-        "rpass",
-    )
+    vrows = alive.select("mode", "value", F.lit(0).cast("long").alias("nm"))
+    trows = unpivot_dims(B_next, n_dims, ["v"]).select("mode", "value", F.col("v").alias("nm"))
+    return vrows.unionByName(trows).groupBy("mode", "value").agg(F.sum("nm").cast("long").alias("mass"))
 
 
-def _update_values_delta(V_marked: DataFrame, gone: DataFrame, n_dims: int) -> DataFrame:
+def _update_values_delta(alive: DataFrame, gone: DataFrame, n_dims: int) -> DataFrame:
     """P11 form: subtract the masses of the tuples that left this pass
     (``gone``) instead of recomputing from the survivors."""
-    vrows = V_marked.select("mode", "value", F.col("mass").alias("frozen"), "rpass", F.col("mass").alias("nm"))
-    trows = unpivot_dims(gone, n_dims, ["v"]).select(
-        "mode", "value", F.lit(None).cast("long").alias("frozen"), F.lit(None).cast("int").alias("rpass"),
-        (-F.col("v")).alias("nm"),
-    )
+    vrows = alive.select("mode", "value", F.col("mass").alias("nm"), F.lit(1).alias("is_alive"))
+    trows = unpivot_dims(gone, n_dims, ["v"]).select("mode", "value", (-F.col("v")).alias("nm"), F.lit(0).alias("is_alive"))
     agg = vrows.unionByName(trows).groupBy("mode", "value").agg(
-        F.max("frozen").alias("frozen"), F.max("rpass").alias("rpass"), F.sum("nm").alias("nm")
-    )
-    return agg.select(
-        "mode",
-        "value",
-        F.when(F.col("rpass").isNull(), F.col("nm")).otherwise(F.col("frozen")).cast("long").alias("mass"),
-        "rpass",
+        F.sum("nm").cast("long").alias("mass"), F.max("is_alive").alias("is_alive")
     )
+    # tuples that left also carry the values removed this pass: keep alive keys only
+    return agg.filter(F.col("is_alive") == 1).select("mode", "value", "mass")
 
 
 # ---------------------------------------------------------------------------
