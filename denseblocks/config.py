@@ -29,14 +29,15 @@ class Options:
         decided map-side and salted out of the shuffle.
     salts
         Number of fake join keys the tuples of hot values are spread over.
-    target_rows_per_partition
-        Used to coalesce the working relation once it has shrunk.
+    min_partitions
+        Lower bound when the working tuples are coalesced after shrinking
+        (their partition count follows their share of the original mass).
     """
 
     broadcast_rows: int = 2_000_000
     hot_parts: int = 4096
     salts: int = 256
-    target_rows_per_partition: int = 4_000_000
+    min_partitions: int = 1
     update: str = "recompute"  # or "delta"
     checkpoint_every: int = 1
     extra: dict = field(default_factory=dict)

@@ -101,6 +101,7 @@ class Context:
     tuples: int
     all_values: DataFrame  # (mode, value, mass) on the original, materialised
     opts: Options
+    partitions: int = 1  # partitions of the original relation
 
     @property
     def phantoms(self) -> tuple[int, ...]:
@@ -120,9 +121,11 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
         rel = valid_only(rel)
         prof = profile(rel)
     original = rel.df
-    spread_df = spread(original, rel.n_dims)
-    if spread_df is not original:
-        original = persist(spread_df)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rel.scan_based:
+        spread_df, parts = spread(original, rel.n_dims)
+        if spread_df is not original:
+            original = persist(spread_df)
     # Short lineage (source scan + one aggregation): persisted, not checkpointed.
     vm = persist(value_masses(original, rel.n_dims))
     counts = {int(r["mode"]): int(r["n"]) for r in vm.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -133,7 +136,7 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
         cards = distinct
     else:
         raise ValueError("cardinality must be 'max_plus_one' or 'distinct'")
-    return Context(spark, original, rel.n_dims, tuple(cards), distinct, prof.mass, prof.tuples, vm, opts)
+    return Context(spark, original, rel.n_dims, tuple(cards), distinct, prof.mass, prof.tuples, vm, opts, parts)
 
 
 def _start_values(ctx: Context, current: DataFrame | None) -> DataFrame:
@@ -186,14 +189,27 @@ def surviving_tuples(
     return out, shuffled
 
 
-def spread(df: DataFrame, n_dims: int) -> DataFrame:
+def spread(df: DataFrame, n_dims: int) -> tuple[DataFrame, int]:
     """Hash-partition a relation that arrives in fewer partitions than the
-    cluster has cores (e.g. one large parquet row group); deterministic."""
+    cluster has cores (e.g. one large parquet row group); deterministic.
+    Returns (relation, partitions)."""
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par, *[F.col(f"a{i}") for i in range(n_dims)], F.col("v"))
+    have = df.rdd.getNumPartitions()
+    if have >= par:
+        return df, have
+    return df.repartition(par, *[F.col(f"a{i}") for i in range(n_dims)], F.col("v")), par
+
+
+def shrink(B: DataFrame, parts: int, mass: int, ctx: Context) -> tuple[DataFrame, int]:
+    """Re-partition the surviving tuples to a count proportional to the share
+    of the original mass they still hold, so late passes do not schedule
+    thousands of nearly empty tasks. A hash exchange (not ``coalesce``) keeps
+    the join that produces them parallel; only the small output moves."""
+    want = max(ctx.opts.min_partitions, -(-ctx.partitions * max(mass, 0) // max(ctx.mass, 1)))
+    if want * 2 > parts:
+        return B, parts
+    return B.repartition(want, *[F.col(c) for c in B.columns]), want
 
 
 def find_block(
@@ -230,6 +246,7 @@ def find_block(
     cut = None  # (pass, mass, k, s, mode, mass before)
     B_base, base_pass, base_mass = B, 0, mass
     B_cur = B
+    b_parts = ctx.partitions
     since_base = [0] * N  # observed values removed since the base, per dimension
     p = 0
     while sum(alive) > 0:
@@ -279,6 +296,9 @@ def find_block(
             gone_tuples = mem.restrict(B_cur, f"a{n}", gone_vals, removed_obs, keep=True, opts=opts)
             A_next = _update_values_delta(A_kept, gone_tuples, N)
         if shuffled or 2 * M_next <= base_mass:
+            # a shuffle join's output is already sized by AQE; a broadcast join keeps B's partitions
+            if not shuffled:
+                B_now, b_parts = shrink(B_now, b_parts, M_next, ctx)
             B_base, base_pass, base_mass = materialize(B_now), p, M_next
             since_base = [0] * N
             B_now = B_base

@@ -25,6 +25,10 @@ class Relation:
     source_dims: list[str] = field(default_factory=list)
     source_measure: str = "v"
     dictionaries: dict = field(default_factory=dict)  # mode -> DataFrame(value, key)
+    # True when df is a plain scan (plus narrow steps) of files: its partition
+    # count can be read without running anything, and a relation that arrives
+    # in too few partitions is spread once.
+    scan_based: bool = False
 
     @property
     def dims(self) -> list[str]:
@@ -58,4 +62,4 @@ def valid_only(rel: Relation, allow_zero: bool = False) -> Relation:
     ok = F.col("v").isNotNull() & (F.col("v") >= (0 if allow_zero else 1))
     for d in rel.dims:
         ok = ok & F.col(d).isNotNull() & (F.col(d) >= 0)
-    return Relation(rel.df.filter(ok), rel.n_dims, rel.source_dims, rel.source_measure, rel.dictionaries)
+    return Relation(rel.df.filter(ok), rel.n_dims, rel.source_dims, rel.source_measure, rel.dictionaries, rel.scan_based)

@@ -38,7 +38,7 @@ def lineitem_relation(spark: SparkSession, sf_dir: str) -> Relation:
         F.col("flag").cast("long").alias("a2"),
         F.col("l_quantity").cast("long").alias("v"),
     )
-    return Relation(df, 3, ["l_partkey", "l_suppkey", "l_returnflag"], "l_quantity", {2: flags})
+    return Relation(df, 3, ["l_partkey", "l_suppkey", "l_returnflag"], "l_quantity", {2: flags}, scan_based=True)
 
 
 def planted_block(spark: SparkSession) -> DataFrame:
@@ -53,7 +53,9 @@ def planted_block(spark: SparkSession) -> DataFrame:
 
 def planted_relation(spark: SparkSession, sf_dir: str) -> Relation:
     base = lineitem_relation(spark, sf_dir)
-    return Relation(base.df.unionByName(planted_block(spark)), 3, base.source_dims, base.source_measure, base.dictionaries)
+    return Relation(
+        base.df.unionByName(planted_block(spark)), 3, base.source_dims, base.source_measure, base.dictionaries, scan_based=True
+    )
 
 
 def events_relation(spark: SparkSession, sf_dir: str) -> Relation:

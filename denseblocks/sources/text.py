@@ -73,7 +73,7 @@ def parse_lines(
             raise ValueError(f"malformed line {bad[0]['line']!r}: {bad[0]['reason']}")
     elif mode != "drop":
         raise ValueError("mode must be 'failfast' or 'drop'")
-    return Relation(rel_df, n_dims), rejected
+    return Relation(rel_df, n_dims, scan_based=True), rejected
 
 
 def read_relation_text(
