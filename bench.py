@@ -17,7 +17,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from denseblocks import find_blocks  # noqa: E402
+from denseblocks import Options, find_blocks  # noqa: E402
 from denseblocks.config import local_session  # noqa: E402
 from denseblocks.operators.profile import profile_df, value_masses  # noqa: E402
 from denseblocks.sources.tables import events_relation, lineitem_relation, planted_relation  # noqa: E402
@@ -25,20 +25,22 @@ from denseblocks.sources.tables import events_relation, lineitem_relation, plant
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
-# name -> (relation builder, measure, policy, theta, k)
+# name -> (relation builder, measure, policy, theta, k[, early exit])
 SEARCHES = {
     "planted_geo_density": (planted_relation, "geo", "density", 2.0, 1),
     "planted_geo_cardinality": (planted_relation, "geo", "cardinality", 2.0, 1),
     "planted_susp_density_k2": (planted_relation, "susp", "density", 2.0, 2),
     "planted_ari_density_theta1": (planted_relation, "ari", "density", 1.0, 1),
+    "planted_ari_density_theta1_early_exit": (planted_relation, "ari", "density", 1.0, 1, True),
     "lineitem_geo_density": (lineitem_relation, "geo", "density", 2.0, 1),
     "events_susp_density": (events_relation, "susp", "density", 2.0, 1),
 }
 
 
 def run_search(spark, sf_dir, spec):
-    builder, measure, policy, theta, k = spec
-    res = find_blocks(builder(spark, sf_dir), k=k, measure=measure, policy=policy, theta=theta)
+    builder, measure, policy, theta, k = spec[:5]
+    opts = Options(early_exit=bool(spec[5:] and spec[5]))
+    res = find_blocks(builder(spark, sf_dir), k=k, measure=measure, policy=policy, theta=theta, opts=opts)
     rows = res.report().collect()
     passes = sum(b.found.passes for b in res.blocks)
     jobs_passes = sum(len(b.found.log) for b in res.blocks)

@@ -39,6 +39,9 @@ class Options:
     salts: int = 256
     min_partitions: int = 1
     update: str = "recompute"  # or "delta"
+    # Stop a search once nothing left can beat the best block (exact; the
+    # reported pass count is then the passes run, not the full peel's).
+    early_exit: bool = False
     checkpoint_every: int = 1
     extra: dict = field(default_factory=dict)
 

@@ -20,6 +20,7 @@ checkpoint folder; a lost executor only recomputes from the last one.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 from typing import Sequence
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options, materialize, persist
-from ..functions.density import make_measure, of_cards
+from ..functions.density import make_measure, product_py
 from ..operators import membership as mem
 from ..operators.peel import (
     PassState,
@@ -140,15 +141,14 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
 
 
 def _start_values(ctx: Context, current: DataFrame | None) -> DataFrame:
-    """V at the start of a search: every value of the original, mass in ``current``."""
+    """Values at the start of a search: every value of the original relation,
+    with its mass in ``current`` (0 if absent). One aggregation over the union
+    of the value rows and the unpivoted tuples; no join."""
     if current is None:
-        v = ctx.all_values.select("mode", "value", "mass")
-    else:
-        now = value_masses(current, ctx.n_dims).withColumnRenamed("mass", "nm")
-        v = ctx.all_values.join(now, ["mode", "value"], "left").select(
-            "mode", "value", F.coalesce("nm", F.lit(0)).cast("long").alias("mass")
-        )
-    return v.withColumn("rpass", F.lit(None).cast("int"))
+        return ctx.all_values.select("mode", "value", "mass")
+    vrows = ctx.all_values.select("mode", "value", F.lit(0).cast("long").alias("nm"))
+    trows = unpivot_dims(current, ctx.n_dims, ["v"]).select("mode", "value", F.col("v").alias("nm"))
+    return vrows.unionByName(trows).groupBy("mode", "value").agg(F.sum("nm").cast("long").alias("mass"))
 
 
 def surviving_tuples(
@@ -276,6 +276,15 @@ def find_block(
         M_next = M - st.s
         alive[n] -= st.k
         p += 1
+        if opts.early_exit and M_next > 0 and upper_bound(meas, M_next, alive, mass, ctx.cards) <= best:
+            # No block inside what is left can beat the best: all
+            # remaining values are removed after the cut, so they are members.
+            for m in range(N):
+                if phantoms[m]:
+                    phantom_pass[m] = p
+            A = A_kept
+            log[-1].seconds = time.time() - t0
+            break
         if M_next == 0 or sum(alive) == 0:
             # Every later density is 0 or the -1 sentinel, below the best: the
             # remaining values all belong to the block. The full peel would take
@@ -325,6 +334,30 @@ def find_block(
     return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, final, tuple(phantom_pass), log)
 
 
+def upper_bound(meas, mass: int, alive: Sequence[int], mass_all: int, cards_all: Sequence[int]) -> float:
+    """Largest density any non-empty block inside the current one can reach.
+
+    ``geo`` and ``ari``: a block's density is at most its mass, which is at
+    most the mass left. ``susp`` = M ln(M / L) - M + L with L = M0 p / P is
+    jointly convex in (M, L), so its maximum over [0, M] x [M0 / P, L_now] is
+    at a corner.
+    """
+    name = getattr(meas, "name", "")
+    if name in ("geo", "ari"):
+        return float(mass)
+    if name != "susp" or mass_all <= 0:
+        return float("inf")
+    p_all = product_py(cards_all)
+    lam_now = float(mass_all) * product_py(alive) / p_all
+    lam_min = float(mass_all) / p_all
+
+    def f(m: float, lam: float) -> float:
+        return lam if m <= 0 else m * math.log(m / lam) - m + lam
+
+    m = float(mass)
+    return max(f(0.0, lam_now), f(0.0, lam_min), f(m, lam_now), f(m, lam_min))
+
+
 def _values_view(alive: DataFrame, logs: list[DataFrame]) -> DataFrame:
     """(mode, value, mass, rpass): alive values (rpass null) and logged removals."""
     out = alive.select("mode", "value", "mass", F.lit(None).cast("int").alias("rpass"))

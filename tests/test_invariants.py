@@ -94,3 +94,23 @@ def test_distinct_cardinality_option(spark):
     res = find_blocks(ctx2, k=1, measure="geo", policy="density", theta=1.0)
     n = res.members().filter(F.col("block") == 1).count()
     assert n == sum(res.blocks[0].found.cards)
+
+
+def test_early_exit_finds_the_same_blocks(spark):
+    import random
+
+    from . import bruteforce
+
+    rng = random.Random(7)
+    for i in range(3):
+        n = 3
+        rows = [tuple(rng.randint(0, 5) for _ in range(n)) + (rng.choice([1, 2, 5]),) for _ in range(20)]
+        measure = ["geo", "ari", "susp"][i]
+        exp = bruteforce.find_blocks(rows, n, 2, measure, "density", 1.0)
+        res = find_blocks(relation_of(spark, rows, n), k=2, measure=measure, policy="density", theta=1.0,
+                          opts=Options(early_exit=True))
+        for (sets, rep), e in zip(blocks_summary(res), exp):
+            assert [set(x) for x in sets] == e["members"]
+            assert rep["mass"] == e["mass"]
+            assert rep["density"] == pytest.approx(e["density"], rel=1e-9, abs=1e-9)
+            assert rep["passes"] <= e["passes"]
