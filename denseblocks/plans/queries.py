@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, materialize
-from ..functions.density import make_measure, of_cards
+from ..functions.density import if_removed_sql, make_measure, of_cards, product_py
 from ..operators import membership as mem
 from ..operators.peel import (
     PassState,
@@ -164,6 +164,18 @@ def q_best_cut(spark, sf_dir, measure="geo", rel="P", theta=2.0):
     return df.select("mode", F.round("best_density", digits(measure)).alias("best_density"), "best_mass")
 
 
+def q_single_removal_scores(spark, sf_dir, measure="geo", rel="P", theta=2.0):
+    """Density if only the lightest alive value of each dimension were removed
+    (D6, the one-value form of D5)."""
+    ctx = context(spark, sf_dir, rel)
+    meas = make_measure(measure, ctx.n_dims, ctx.mass, ctx.cards)
+    state = _first_state(ctx, theta)
+    light = _hist(ctx).groupBy("mode").agg(F.min("mass").alias("mass"))
+    card = " ".join(f"WHEN mode = {m} THEN CAST({c} AS BIGINT)" for m, c in enumerate(state.alive))
+    score = if_removed_sql(meas, ctx.mass, product_py(state.alive), sum(state.alive), f"CASE {card} END", 1, "mass")
+    return light.select("mode", "mass", F.round(F.expr(score), digits(measure)).alias("score"))
+
+
 def q_choose_mode(spark, sf_dir, policy, measure="geo", rel="P", theta=2.0):
     ctx = context(spark, sf_dir, rel)
     meas = make_measure(measure, ctx.n_dims, ctx.mass, ctx.cards)
@@ -256,6 +268,12 @@ def q_find_blocks_report(spark, sf_dir, rel, measure, policy, theta=2.0, k=1):
     return rounded_report(result(spark, sf_dir, rel, measure, policy, theta, k))
 
 
+def q_best_density(spark, sf_dir, rel, measure, policy, theta=2.0, k=2):
+    """Best reported density over the k blocks."""
+    rep = rounded_report(result(spark, sf_dir, rel, measure, policy, theta, k))
+    return rep.agg(F.max("density").alias("best_density"))
+
+
 # ---------------------------------------------------------------------------
 # text source
 # ---------------------------------------------------------------------------
@@ -324,6 +342,8 @@ def catalogue() -> dict:
     q["find_blocks_report_susp_density_E"] = partial(q_find_blocks_report, rel="E", measure="susp", policy="density")
     q["find_blocks_report_geo_density_L"] = partial(q_find_blocks_report, rel="L", measure="geo", policy="density")
     q["find_blocks_report_k2_geo_density_P"] = partial(q_find_blocks_report, rel="P", measure="geo", policy="density", k=2)
+    q["best_density_k2_ari_cardinality_P"] = partial(q_best_density, rel="P", measure="ari", policy="cardinality")
+    q["single_removal_scores_geo_P"] = q_single_removal_scores
     q["find_blocks_report_k2_ari_cardinality_P"] = partial(
         q_find_blocks_report, rel="P", measure="ari", policy="cardinality", k=2
     )

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,15 +64,9 @@ class BlockFound:
     search_mass: int  # mass of the block in the relation searched
     cards: tuple[int, ...]
     passes: int
-    values: DataFrame  # final V (mode, value, mass, rpass)
+    values: DataFrame  # alive values + removal log: (mode, value, mass, rpass)
     phantom_pass: tuple[int | None, ...]
     log: list[PassLog] = field(default_factory=list)
-    cached: list = field(default_factory=list)
-
-    def release(self) -> None:
-        for df in self.cached:
-            df.unpersist()
-        self.cached = []
 
     def members_observed(self) -> DataFrame:
         """(mode, value) of the block among values seen in the data."""
@@ -531,12 +525,15 @@ def find_blocks(
 ) -> Result:
     """The k densest blocks, each searched on what the earlier ones left."""
     t_start = time.time()
-    ctx = rel if isinstance(rel, Context) else prepare(rel, opts, cardinality)
+    if isinstance(rel, Context):
+        ctx = rel if opts is DEFAULT else replace(rel, opts=opts)
+    else:
+        ctx = prepare(rel, opts, cardinality)
     key = measure.strip().lower()
     report_measure = make_measure(key, ctx.n_dims, ctx.mass, ctx.cards)
     R = ctx.original
     R_mass = ctx.mass
-    V = ctx.all_values.withColumn("rpass", F.lit(None).cast("int"))
+    V = first_values = ctx.all_values
     blocks: list[Block] = []
     for i in range(k):
         if stop_when_empty and R_mass == 0:
@@ -544,7 +541,6 @@ def find_blocks(
         t0 = time.time()
         found = find_block(ctx, R, V, R_mass, key, policy, theta)
         members = materialize(block_members(ctx, found))
-        found.release()
         mass_o, tuples_o = block_mass(ctx, members, found.cards)
         dens = report_measure.value(mass_o, found.cards)
         blocks.append(Block(i + 1, found, members, mass_o, tuples_o, float(dens), 0.0))
@@ -556,6 +552,8 @@ def find_blocks(
                 vm_r = V.select("mode", "value", "mass")
                 R = materialize(deflate(ctx, R, members, found.cards, vm_r, R_mass))
                 R_mass = R_mass - found.search_mass
-            V = persist(_start_values(ctx, R))
+            V_prev, V = V, persist(_start_values(ctx, R))
+            if V_prev is not first_values:
+                V_prev.unpersist()
         blocks[-1].seconds = time.time() - t0
     return Result(ctx, blocks, key, policy, theta, time.time() - t_start)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .sql import (
     N3,
+    best_density_sql,
     block_sql,
     cards_cte,
     density_expr,
@@ -110,6 +111,20 @@ def _lines() -> str:
     )
 
 
+def _single_removal() -> str:
+    """Density if only the lightest value of each dimension went."""
+    cur = [f"(SELECT c FROM CARDS WHERE mode = {i})" for i in range(N3)]
+    m0 = "(SELECT M FROM SMASS)"
+    p0 = prod_expr(cur)
+    c = "CASE " + " ".join(f"WHEN x.mode = {i} THEN {cur[i]}" for i in range(N3)) + " END"
+    scaled = f"({p0} / CAST({c} AS DOUBLE) * CAST({c} - 1 AS DOUBLE))"
+    d = density_expr("geo", f"({m0} - x.mass)", scaled, f"({sum_expr(cur)} - 1)", N3, m0, p0)
+    return first_pass_sql(
+        "P", "geo", "density", 2.0,
+        f"SELECT x.mode, x.mass, round({d}, 6) AS score FROM (SELECT mode, min(mass) AS mass FROM V0 GROUP BY mode) x",
+    )
+
+
 def catalogue() -> dict[str, str]:
     q = {
         "profile_L": _profile("L"),
@@ -150,4 +165,6 @@ def catalogue() -> dict[str, str]:
     q["find_blocks_report_geo_density_L"] = find_blocks_report_sql("L", "geo", "density", 2.0)
     q["find_blocks_report_k2_geo_density_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2)
     q["find_blocks_report_k2_ari_cardinality_P"] = find_blocks_report_sql("P", "ari", "cardinality", 2.0, k=2)
+    q["best_density_k2_ari_cardinality_P"] = best_density_sql("P", "ari", "cardinality", 2.0, k=2)
+    q["single_removal_scores_geo_P"] = _single_removal()
     return q

@@ -293,3 +293,9 @@ def block_sql(rel: str, measure: str, policy: str, theta: float, select: str) ->
     ctes, blocks = search(rel, measure, policy, theta, 1)
     bt = f"BT1 AS MATERIALIZED (SELECT r.* FROM {rel} r WHERE {inside('r', 'MEMBERS1')})"
     return with_rel(rel, *ctes, bt) + "\n" + select
+
+
+def best_density_sql(rel: str, measure: str, policy: str, theta: float, k: int) -> str:
+    ctes, blocks = search(rel, measure, policy, theta, k)
+    rc, body = report_select(rel, measure, blocks)
+    return with_rel(rel, *ctes, *rc) + f"\nSELECT max(density) AS best_density FROM ({body}) r"
