@@ -42,6 +42,9 @@ class Options:
     # Stop a search once nothing left can beat the best block (exact; the
     # reported pass count is then the passes run, not the full peel's).
     early_exit: bool = False
+    # "histogram" (default for the built-in measures) or "values": scan the
+    # chosen dimension value by value (always used for user measures).
+    cut_path: str = "histogram"
     checkpoint_every: int = 1
     extra: dict = field(default_factory=dict)
 

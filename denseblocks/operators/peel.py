@@ -158,3 +158,71 @@ def choose_mode_df(stats_df: DataFrame, policy: str, alive: Sequence[int]) -> Da
     score = f"CAST({card} AS DOUBLE)" if key == "cardinality" else "score"
     df = df.withColumn("policy_score", F.expr(score))
     return df.orderBy(F.col("policy_score").desc(), F.col("mode").desc()).limit(1)
+
+
+@dataclass(frozen=True)
+class ValueCut:
+    density: float
+    k: int
+    s: int
+    mass: int
+    value: int  # last value removed at the cut; -1 when only never-seen values go
+
+
+def best_cut_by_value(
+    alive_values: DataFrame,
+    mode: int,
+    state: PassState,
+    measure: Measure,
+    partitions: int,
+) -> ValueCut | None:
+    """Best cut of one dimension scanning values one by one in (mass, value)
+    order (P5, P6 for measures without the run property of §4.4).
+
+    A distributed prefix sum: candidates are range-partitioned by (mass,
+    value), one (count, sum) row per partition gives the offsets, and a
+    window inside each range partition finishes the running sums. Never-seen
+    values (mass 0) form a prefix and are cut as a whole.
+    """
+    from ..config import materialize
+
+    thr = state.thresholds()[mode]
+    ph = state.phantoms[mode]
+    cand = alive_values.filter((F.col("mode") == mode) & (F.col("mass").cast("double") <= F.lit(thr)))
+    ranged = materialize(
+        cand.select("mass", "value").repartitionByRange(max(1, partitions), "mass", "value").withColumn("pid", F.spark_partition_id())
+    )
+    sizes = {
+        int(r["pid"]): (int(r["n"]), int(r["m"]))
+        for r in ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("m")).collect()
+    }
+    off_k, off_s, run_k, run_s = {}, {}, ph, 0
+    for pid in sorted(sizes):
+        off_k[pid], off_s[pid] = run_k, run_s
+        run_k += sizes[pid][0]
+        run_s += sizes[pid][1]
+    cards = [f"CASE WHEN {m} = {mode} THEN CAST({c} AS BIGINT) - k ELSE CAST({c} AS BIGINT) END" for m, c in enumerate(state.alive)]
+    best = None
+    if ph:
+        d0 = measure.value(state.mass, [c - ph if m == mode else c for m, c in enumerate(state.alive)])
+        best = ValueCut(float(d0), ph, 0, 0, -1)
+    if sizes:
+        w = Window.partitionBy("pid").orderBy("mass", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = ranged.select(
+            "mass",
+            "value",
+            (F.count(F.lit(1)).over(w) + F.expr(_per_pid_sql(off_k))).alias("k"),
+            (F.sum("mass").over(w) + F.expr(_per_pid_sql(off_s))).alias("s"),
+        )
+        dens = F.expr(of_cards_sql(measure, f"CAST({state.mass} AS BIGINT) - s", cards))
+        top = rows.select(F.struct(dens.alias("d"), (-F.col("k")).alias("neg_k"), "k", "s", "mass", "value").alias("t"))
+        r = top.agg(F.max("t").alias("t")).collect()[0]["t"]
+        cut = ValueCut(float(r["d"]), int(r["k"]), int(r["s"]), int(r["mass"]), int(r["value"]))
+        if best is None or cut.density > best.density:
+            best = cut
+    return best
+
+
+def _per_pid_sql(offsets: dict[int, int]) -> str:
+    arms = " ".join(f"WHEN pid = {p} THEN CAST({o} AS BIGINT)" for p, o in sorted(offsets.items()))
+    return f"(CASE {arms} ELSE CAST(0 AS BIGINT) END)" if arms else "CAST(0 AS BIGINT)"

@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options, materialize, persist
-from ..functions.density import make_measure, product_py
+from ..functions.density import MEASURES, make_measure, product_py
 from ..operators import membership as mem
 from ..operators.peel import (
     PassState,
+    best_cut_by_value,
     choose_mode,
     collect_mode_stats,
     histogram,
@@ -67,6 +68,7 @@ class BlockFound:
     values: DataFrame  # alive values + removal log: (mode, value, mass, rpass)
     phantom_pass: tuple[int | None, ...]
     log: list[PassLog] = field(default_factory=list)
+    cut_value: int | None = None  # set by the per-value path: ties broken by value
 
     def members_observed(self) -> DataFrame:
         """(mode, value) of the block among values seen in the data."""
@@ -74,7 +76,10 @@ class BlockFound:
         if self.cut_pass is None:
             return v.select("mode", "value")
         p, m = self.cut_pass, self.cut_mass
-        keep = F.col("rpass").isNull() | (F.col("rpass") > p) | ((F.col("rpass") == p) & (F.col("mass") > m))
+        after = F.col("mass") > m
+        if self.cut_value is not None:
+            after = after | ((F.col("mass") == m) & (F.col("value") > self.cut_value))
+        keep = F.col("rpass").isNull() | (F.col("rpass") > p) | ((F.col("rpass") == p) & after)
         return v.filter(keep).select("mode", "value")
 
     def phantom_members(self) -> list[bool]:
@@ -227,7 +232,10 @@ def find_block(
         raise ValueError("theta must be at least 1")
     opts = ctx.opts
     N = ctx.n_dims
-    meas = make_measure(measure, N, mass, ctx.cards)
+    meas = measure if not isinstance(measure, str) else make_measure(measure, N, mass, ctx.cards)
+    # The histogram shortcut relies on §4.4 (no best cut inside a run of equal
+    # masses), proven for the built-in measures only.
+    by_value = opts.cut_path == "values" or getattr(meas, "name", "") not in MEASURES
     alive = list(ctx.cards)
     phantoms = list(ctx.phantoms)
     phantom_pass: list[int | None] = [None] * N
@@ -254,9 +262,14 @@ def find_block(
         if st is None or st.k < 1:
             raise RuntimeError(f"pass {p}: no removable value in dimension {n} (theta below 1?)")
         thr = float(M) * theta / alive[n]
+        cut_value = None
+        if by_value:
+            vc = best_cut_by_value(A, n, state, meas, ctx.partitions)
+            st = replace(st, best_density=vc.density, best_k=vc.k, best_s=vc.s, best_mass=vc.mass)
+            cut_value = vc.value
         if st.best_density > best:
             best = st.best_density
-            cut = (p, st.best_mass, st.best_k, st.best_s, n, M)
+            cut = (p, st.best_mass, st.best_k, st.best_s, n, M, cut_value)
         gone = (F.col("mode") == n) & (F.col("mass").cast("double") <= F.lit(thr))
         removal_log.append(A.filter(gone).withColumn("rpass", F.lit(p)))
         A_kept = A.filter(~gone)
@@ -270,7 +283,7 @@ def find_block(
         M_next = M - st.s
         alive[n] -= st.k
         p += 1
-        if opts.early_exit and M_next > 0 and upper_bound(meas, M_next, alive, mass, ctx.cards) <= best:
+        if opts.early_exit and M_next > 0 and not by_value and upper_bound(meas, M_next, alive, mass, ctx.cards) <= best:
             # No block inside what is left can beat the best: all
             # remaining values are removed after the cut, so they are members.
             for m in range(N):
@@ -279,7 +292,7 @@ def find_block(
             A = A_kept
             log[-1].seconds = time.time() - t0
             break
-        if M_next == 0 or sum(alive) == 0:
+        if (M_next == 0 and not by_value) or sum(alive) == 0:
             # Every later density is 0 or the -1 sentinel, below the best: the
             # remaining values all belong to the block. The full peel would take
             # one more pass per dimension still alive.
@@ -312,12 +325,13 @@ def find_block(
         M = M_next
         log[-1].seconds = time.time() - t0
 
+    cut_value = None
     if cut is None:
         cards = tuple(ctx.cards)
         search_mass = mass
         cut_pass = cut_mass = None
     else:
-        cut_pass, cut_mass, cut_k, cut_s, cut_mode, m_before = cut
+        cut_pass, cut_mass, cut_k, cut_s, cut_mode, m_before, cut_value = cut
         removed = [0] * N
         for mode_q, k_q in removed_per_pass[:cut_pass]:
             removed[mode_q] += k_q
@@ -325,7 +339,7 @@ def find_block(
         cards = tuple(c - r for c, r in zip(ctx.cards, removed))
         search_mass = m_before - cut_s
     final = _values_view(A, removal_log)
-    return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, final, tuple(phantom_pass), log)
+    return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, final, tuple(phantom_pass), log, cut_value)
 
 
 def upper_bound(meas, mass: int, alive: Sequence[int], mass_all: int, cards_all: Sequence[int]) -> float:
@@ -529,8 +543,11 @@ def find_blocks(
         ctx = rel if opts is DEFAULT else replace(rel, opts=opts)
     else:
         ctx = prepare(rel, opts, cardinality)
-    key = measure.strip().lower()
-    report_measure = make_measure(key, ctx.n_dims, ctx.mass, ctx.cards)
+    if isinstance(measure, str):
+        key = measure.strip().lower()
+        report_measure = make_measure(key, ctx.n_dims, ctx.mass, ctx.cards)
+    else:  # a user measure: initialised by its own factory on (mass, cards)
+        key, report_measure = measure, measure
     R = ctx.original
     R_mass = ctx.mass
     V = first_values = ctx.all_values

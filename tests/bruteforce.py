@@ -19,6 +19,8 @@ def _prod(cards):
 
 
 def density(measure, mass, cards, n, mass_all, prod_all):
+    if callable(measure):
+        return measure(mass, _prod(cards), sum(cards))
     if measure == "ari":
         s = sum(cards)
         return -1.0 if s == 0 else float(mass) / s * n
@@ -32,6 +34,8 @@ def density(measure, mass, cards, n, mass_all, prod_all):
 
 
 def if_removed(measure, mass, cards, mode, k, s, n, mass_all, prod_all):
+    if callable(measure):
+        return measure(mass - s, _prod(cards) / cards[mode] * (cards[mode] - k), sum(cards) - k)
     if measure == "ari":
         tot = sum(cards) - k
         return -1.0 if tot == 0 else float(mass - s) / tot * n
