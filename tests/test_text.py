@@ -57,3 +57,19 @@ def test_text_round_trip_and_sinks(spark):
     rep = spark.read.option("header", True).csv(os.path.join(out, "report")).collect()
     assert len(rep) == 2
     assert "Volume: 2 X 2 X 2" in res.text()
+
+
+def test_cli_job(spark):
+    from denseblocks.plans import job
+
+    d = tempfile.mkdtemp(prefix="denseblocks-cli-")
+    src = os.path.join(d, "in.txt")
+    with open(src, "w") as f:
+        f.write("\n".join(",".join(str(x) for x in t) for t in F1) + "\nshort\n")
+    out = os.path.join(d, "out")
+    assert job.main([src, out, "3", "GEO", "density", "2.0", "2", "--malformed", "drop"]) == 0
+    rep = spark.read.option("header", True).csv(os.path.join(out, "report")).orderBy("block").collect()
+    assert [int(r["mass"]) for r in rep] == [32, 5]
+    assert spark.read.csv(os.path.join(out, "rejected")).count() == 1
+    with pytest.raises(SystemExit):
+        job.parse_args([src, out, "3", "geo", "density", "0.5", "1"])
