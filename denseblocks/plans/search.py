@@ -109,8 +109,22 @@ class Context:
 
 
 def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus_one", validate: str = "failfast") -> Context:
-    """Profile the relation and build its value table."""
+    """Profile the relation and build its value table.
+
+    A relation derived through shuffles is checkpointed once; a file scan
+    arriving in fewer partitions than cores is spread (and kept) once; a
+    plain scan is simply re-read (column-pruned) by every job.
+    """
     spark = rel.df.sparkSession
+    original = rel.df
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rel.derived:
+        original = materialize(original)
+    elif rel.scan_based:
+        spread_df, parts = spread(original, rel.n_dims)
+        if spread_df is not original:
+            original = persist(spread_df)
+    rel = replace(rel, df=original)
     prof = profile(rel)
     if prof.invalid:
         if validate == "failfast":
@@ -119,13 +133,8 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
                 "pass validate='drop' to skip them"
             )
         rel = valid_only(rel)
+        original = rel.df
         prof = profile(rel)
-    original = rel.df
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if rel.scan_based:
-        spread_df, parts = spread(original, rel.n_dims)
-        if spread_df is not original:
-            original = persist(spread_df)
     # Short lineage (source scan + one aggregation): persisted, not checkpointed.
     vm = persist(value_masses(original, rel.n_dims))
     counts = {int(r["mode"]): int(r["n"]) for r in vm.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -29,6 +29,9 @@ class Relation:
     # count can be read without running anything, and a relation that arrives
     # in too few partitions is spread once.
     scan_based: bool = False
+    # True when df comes out of shuffles (e.g. an aggregation): every job of a
+    # search reads it, so it is checkpointed once instead of recomputed.
+    derived: bool = False
 
     @property
     def dims(self) -> list[str]:
@@ -62,4 +65,4 @@ def valid_only(rel: Relation, allow_zero: bool = False) -> Relation:
     ok = F.col("v").isNotNull() & (F.col("v") >= (0 if allow_zero else 1))
     for d in rel.dims:
         ok = ok & F.col(d).isNotNull() & (F.col(d) >= 0)
-    return Relation(rel.df.filter(ok), rel.n_dims, rel.source_dims, rel.source_measure, rel.dictionaries, rel.scan_based)
+    return Relation(rel.df.filter(ok), rel.n_dims, rel.source_dims, rel.source_measure, rel.dictionaries, rel.scan_based, rel.derived)

@@ -71,7 +71,7 @@ def events_relation(spark: SparkSession, sf_dir: str) -> Relation:
         .groupBy("a0", "a1", "a2")
         .agg(F.count(F.lit(1)).cast("long").alias("v"))
     )
-    return Relation(df, 3, ["user_id", "event_type", "hour_of_month"], "count", {1: types})
+    return Relation(df, 3, ["user_id", "event_type", "hour_of_month"], "count", {1: types}, derived=True)
 
 
 RELATIONS = {"L": lineitem_relation, "P": planted_relation, "E": events_relation}

@@ -45,7 +45,7 @@ def start(
         )
         batch.filter(F.col("reason").isNull()).select(*dims, "v").write.mode("append").parquet(table_path)
         df = batch.sparkSession.read.parquet(table_path).select(*dims, "v")
-        res = find_blocks(Relation(df, n_dims), k, measure, policy, theta)
+        res = find_blocks(Relation(df, n_dims, scan_based=True), k, measure, policy, theta)
         write_blocks(res, f"{output.rstrip('/')}/epoch={epoch_id}")
 
     writer = parsed.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
