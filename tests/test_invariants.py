@@ -114,3 +114,13 @@ def test_early_exit_finds_the_same_blocks(spark):
             assert rep["mass"] == e["mass"]
             assert rep["density"] == pytest.approx(e["density"], rel=1e-9, abs=1e-9)
             assert rep["passes"] <= e["passes"]
+
+
+def test_shuffle_paths_give_the_same_blocks(spark):
+    """Force every membership join onto the salted shuffle path (tiny
+    broadcast limit, few hot-key partitions) for a whole k = 2 search."""
+    rel = planted_relation(spark, SF)
+    a = blocks_summary(find_blocks(rel, k=2, measure="geo", policy="cardinality", theta=2.0))
+    forced = Options(broadcast_rows=3, hot_parts=16, salts=4)
+    b = blocks_summary(find_blocks(rel, k=2, measure="geo", policy="cardinality", theta=2.0, opts=forced))
+    assert a == b
