@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ class Options:
     salts
         Number of fake join keys the tuples of hot values are spread over.
     min_partitions
-        Lower bound when the working tuples are coalesced after shrinking
+        Lower bound when the working tuples are re-partitioned after shrinking
         (their partition count follows their share of the original mass).
     """
 
@@ -45,13 +45,6 @@ class Options:
     # "histogram" (default for the built-in measures) or "values": scan the
     # chosen dimension value by value (always used for user measures).
     cut_path: str = "histogram"
-    checkpoint_every: int = 1
-    extra: dict = field(default_factory=dict)
-
-    def with_(self, **kw) -> "Options":
-        d = dict(self.__dict__)
-        d.update(kw)
-        return Options(**d)
 
 
 DEFAULT = Options()
