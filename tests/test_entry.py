@@ -12,6 +12,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle():
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(q) == set(o)
+    assert set(o) <= set(q)
+    assert {name for name in q if name != "pipeline" and not name.startswith("op")} <= set(o)
     for name, sql in o.items():
         assert sql.lstrip().upper().startswith("WITH"), name
