@@ -10,17 +10,19 @@ set-relation skipping:
   minimum hashes (its leader): a verified link puts it into the leader's
   component, and no pair inside a component has to be looked at again. A group
   of m near copies costs about m comparisons, not m * m.
-* *Skipping in the index.* Shingles are kept in one global order, those of
-  passages that many documents share last; two linked sets must share a shingle
-  among their first ``n - ceil(t n) + 1``. The index lists hold (set size,
-  position); lists are cut into blocks by set size, a probe reads its own and
-  the next block only, and skips entries whose position leaves too few shingles
-  for the threshold, and every entry of its own component.
-
-Shuffled rows: one per document for the classes, the pre-aggregated shingle
-counts (for the order), and index entries of shingles seen more than once. Both
-bitmaps sent to the workers have a fixed size (1 MB and 8 MB). A full bitmap only
-costs time: any global order is valid, and a set bit only lets an entry through.
+* *Skipping in the index.* A set whose smallest shingles by hash are mostly in no
+  other set can have no link and leaves. The others keep their shingles in one
+  global order: those of no other set first, those that many share last. Two
+  linked sets share a shingle among their first ``n - ceil(t n) + 1``. The index
+  lists hold (set size, position) and are cut into blocks by set size: a probe
+  reads its own and the next block only, and skips entries whose position leaves
+  too few shingles for the threshold, and every entry of its own component.
+
+Shuffled rows: one per document for the classes, the pre-aggregated counts of the
+smallest shingles (a first look) and of all shingles of the sets that remain, and
+index entries of shared shingles. The bitmaps sent to the workers have a fixed size
+(8, 8 and 1 MB). A full bitmap only costs time: any global order is valid, a set bit
+only lets a set or an entry through.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ NUM, DEN = 4, 5
 LEADERS = 6  # minimum hashes by which a class looks for leaders
 COMMON = 16  # a shingle counted more often goes to the back of the order
 COMMON_BITS = 23  # bitmap of common shingles: 2 ** 23 bits, 1 MB
-SHARED_BITS = 26  # bitmap of shingles seen more than once: 8 MB
+SHARED_BITS = 26  # bitmaps of shingles seen more than once: 8 MB
 
 _SEED = [np.uint64(0x2545F4914F6CDD1D * (2 * i + 1) & (1 << 64) - 1) for i in range(LEADERS)]
 
@@ -63,34 +65,40 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def _least(n: int) -> int:
+    """Shingles that a linked set has in common with the other one at least."""
+    return -(-n * NUM // DEN)
+
+
 def _profile(batches):
     from hashlib import blake2b
 
     for b in batches:
-        n, digest, keys = [], [], []
-        for t in _texts(b):
-            s = W.shingle_set(t)
-            n.append(len(s))
-            digest.append(blake2b(s.tobytes(), digest_size=16).digest())
-            keys.append(np.array([W.mix(s ^ k).min() for k in _SEED], np.uint64) if len(s) else s)
+        sets = W.shingle_sets(_texts(b))
+        keys = [np.array([W.mix(s ^ k).min() for k in _SEED], np.uint64) if len(s) else s for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [b.column("uid"), b.column("doc_id"), b.column("text"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys)],
-            names=["uid", "doc_id", "text", "n", "digest", "keys"],
+            [b.column("uid"), b.column("doc_id"), b.column("text"), pa.array(map(len, sets), pa.int64()),
+             pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists(keys),
+             pa.array([s[: 2 * _prefix(len(s))].tobytes() for s in sets], pa.binary())],
+            names=["uid", "doc_id", "text", "n", "digest", "keys", "low"],
         )
 
 
-def _counted(n: int) -> int:
-    """Shingles of a set, from the smallest hash on, that take part in the counts."""
-    return min(n, 2 * _prefix(n) + 8)
+def _added(parts: list[np.ndarray]) -> pa.RecordBatch:
+    t, c = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]), return_counts=True)
+    return pa.RecordBatch.from_arrays([_long(t), pa.array(c, pa.int64())], names=["token", "c"])
+
+
+def _low_counts(batches):
+    """(shingle, count) of the smallest shingles of each set, added up within a batch."""
+    for b in batches:
+        yield _added([np.frombuffer(x, np.uint64) for x in b.column("low").to_pylist()])
 
 
 def _counts(batches):
-    """(shingle, count) of the counted shingles of each set, added up within a batch."""
+    """(shingle, count) of all shingles of each set, added up within a batch."""
     for b in batches:
-        got = [s[: _counted(len(s))] for s in map(W.shingle_set, _texts(b)) if len(s)]
-        if got:
-            t, c = np.unique(np.concatenate(got), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_long(t), pa.array(c, pa.int64())], names=["token", "c"])
+        yield _added(W.shingle_sets(_texts(b)))
 
 
 def _bits(tokens: DataFrame, bits: int) -> np.ndarray:
@@ -110,43 +118,45 @@ def _has(bitmap: np.ndarray, bits: int, t: np.ndarray) -> np.ndarray:
     return ((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _first(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the global order."""
-    back = _has(common, COMMON_BITS, s)
-    return np.concatenate([s[~back], s[back]])[: _prefix(len(s))]
-
+def _related(shared):
+    """Sets that may have a link: enough of their smallest shingles are among the
+    smallest of other sets.
 
-def _uncounted(common):
-    """Shingles among the first of a set that took no part in the counts (sets of
-    mostly common shingles); any other set may have them too."""
+    Let sets of n and m shingles have o >= 4/9 (n + m) in common, and let k(m) = 2 floor(m/5) + 2
+    of the smaller hashes be looked at. If the other set's look ends first, it has at
+    least k(m) - (m - o) common shingles, all of them in this set's look too; as
+    4/5 m <= n <= 5/4 m, that is at least floor(n/5) more than -2. Else all common
+    shingles of this set's look are in the other's, at least k(n) - (n - o) >= floor(n/5) + 2.
+    """
 
     def run(batches):
         for b in batches:
-            got = [f[f > s[_counted(len(s)) - 1]] for s in map(W.shingle_set, _texts(b)) if len(s) for f in [_first(s, common.value)]]
-            yield pa.RecordBatch.from_arrays([_long(np.unique(np.concatenate(got or [np.empty(0, np.uint64)])))], names=["token"])
+            keep = []
+            for u, n, x in zip(b.column("uid").to_pylist(), b.column("n").to_pylist(), b.column("low").to_pylist()):
+                s = np.frombuffer(x, np.uint64)
+                if n and _has(shared.value, SHARED_BITS, s).sum() + n - len(s) >= _least(n) - 2:
+                    keep.append(u)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["uid"])
 
     return run
 
 
-def _index(common, shared):
-    """Index entries of each set: its first shingles in the global order (not common
-    before common, then by hash) that some other set may have too."""
+def _index(shared, common):
+    """Index entries of each set: of its first shingles in the global order, those
+    that some other set has too."""
 
     def run(batches):
-        s_map = shared.value
         for b in batches:
             uid, toks, poss, ns = [], [], [], []
-            for u, t in zip(b.column("uid").to_pylist(), _texts(b)):
-                s = W.shingle_set(t)
-                if not len(s):
-                    continue
-                first = _first(s, common.value)
-                pos = np.flatnonzero(_has(s_map, SHARED_BITS, first))
-                if len(pos):
+            for u, s in zip(b.column("uid").to_pylist(), W.shingle_sets(_texts(b))):
+                some, many = _has(shared.value, SHARED_BITS, s), _has(common.value, COMMON_BITS, s)
+                own, n = len(s) - int(some.sum()), len(s)
+                first = np.concatenate([s[some & ~many], s[some & many]])[: max(0, _prefix(n) - own)]
+                if len(first):
                     uid.append(u)
-                    ns.append(len(s))
-                    toks.append(first[pos])
-                    poss.append(pos)
+                    ns.append(n)
+                    toks.append(first)
+                    poss.append(np.arange(own, own + len(first)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uid, pa.int64()), pa.array(ns, pa.int64()), _lists(toks), _lists(poss, lambda x: pa.array(x.astype(np.int32), pa.int32()))],
                 names=["uid", "n", "tokens", "poss"],
@@ -158,10 +168,9 @@ def _index(common, shared):
 def _verify(batches):
     for b in batches:
         keep, last, s = [], None, None
-        for i, (x, ta, tb) in enumerate(zip(b.column("a").to_pylist(), _texts(b, "ta"), _texts(b, "tb"))):
+        for i, (x, ta, r) in enumerate(zip(b.column("a").to_pylist(), _texts(b, "ta"), W.shingle_sets(_texts(b, "tb")))):
             if x != last:
-                last, s = x, W.shingle_set(ta)
-            r = W.shingle_set(tb)
+                last, s = x, W.shingle_sets([ta])[0]
             both = len(np.intersect1d(s, r, assume_unique=True))
             if DEN * both >= NUM * (len(s) + len(r) - both):
                 keep.append(i)
@@ -195,7 +204,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     python_tasks(spark)
     stage = Stage(spark, "ngram")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prof = stage.put(rows.mapInArrow(_profile, "uid long, doc_id long, text string, n long, digest binary, keys array<long>"), "profile")
+    prof = stage.put(rows.mapInArrow(_profile, "uid long, doc_id long, text string, n long, digest binary, keys array<long>, low binary"), "profile")
 
     classes = stage.put(
         prof.where("n > 0").groupBy("digest").agg(
@@ -211,15 +220,19 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     first = stage.put(components(linked, "a", "b", stage, "near"), "near")
 
     # 2. the index of what is left
-    counts = stage.put(prof.select("text").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1"), "counts")
-    common = spark.sparkContext.broadcast(_bits(counts.where(F.col("c") > COMMON), COMMON_BITS))
-    beyond = prof.select("text").mapInArrow(_uncounted(common), "token long")
-    shared = spark.sparkContext.broadcast(_bits(counts.select("token").unionByName(beyond), SHARED_BITS))
-    entries = prof.select("uid", "text").mapInArrow(_index(common, shared), "uid long, n long, tokens array<long>, poss array<int>")
+    sent = spark.sparkContext.broadcast
+    low = prof.select("low").mapInArrow(_low_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
+    seen = sent(_bits(low.select("token"), SHARED_BITS))
     comp = F.coalesce("component", "cls").alias("comp")
-    owner = classes.join(first, classes.cls == first.vertex, "left").select("cls", comp)
+    owner = classes.join(first, classes.cls == first.vertex, "left").select(F.col("cls").alias("uid"), comp)
+    maybe = prof.select("uid", "n", "low").mapInArrow(_related(seen), "uid long")
+    owner = stage.put(owner.join(maybe, "uid"), "related")
+    texts = prof.select("uid", "text").join(small(owner.select("uid")), "uid", "left_semi")
+    counts = stage.put(texts.select("text").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1"), "counts")
+    shared, common = sent(_bits(counts, SHARED_BITS)), sent(_bits(counts.where(F.col("c") > COMMON), COMMON_BITS))
+    entries = texts.mapInArrow(_index(shared, common), "uid long, n long, tokens array<long>, poss array<int>")
     entries = stage.put(
-        entries.join(owner, entries.uid == owner.cls)
+        entries.join(owner, "uid").withColumnRenamed("uid", "cls")
         .select("cls", "comp", "n", F.explode(F.arrays_zip("tokens", "poss")).alias("e"))
         .select("cls", "comp", "n", F.col("e.tokens").alias("token"), F.col("e.poss").alias("pos"),
                 F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int").alias("block")),
@@ -236,7 +249,9 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         .where("ca <> cb AND (na < nb OR (na = nb AND a < b))")
         .where(f"{DEN} * na >= {NUM} * nb")
         .where(f"{NUM + DEN} * (1 + least(na - 1 - pa, nb - 1 - pb)) >= {NUM} * (na + nb)")
-        .select("a", "b").distinct()
+        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+        .where(f"{NUM + DEN} * (c + least(na - 1 - pa, nb - 1 - pb)) >= {NUM} * (na + nb)")
+        .select("a", "b")
     )
     pairs = stage.put(pairs, "pairs")
     more = stage.put(_links(pairs, prof), "links")
