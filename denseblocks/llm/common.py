@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import ensure_checkpoint_dir
@@ -94,3 +95,25 @@ def word_count(text):
         (F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1
     ).otherwise(0)
     return F.coalesce((F.size(parts) - empty).cast("long"), F.lit(0).cast("long"))
+
+
+def running(df: DataFrame, keys: list[str], order: list, amount, out: str, buckets: int, bucket) -> DataFrame:
+    """Add ``out``: the running sum of ``amount`` before each row, within ``keys``, in
+    the order (bucket, *order). ``bucket`` (0 to ``buckets`` - 1) splits the rows of a
+    key, so that no window holds a whole key: sums by (key, bucket) are added up over
+    at most ``buckets`` rows a key, rows within their own bucket only.
+    """
+    df = df.withColumn("_b", bucket.cast("int")).withColumn("_n", amount.cast("long"))
+    sums = df.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0).cast("long")).alias("_o"))
+    inner = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out_col = (F.coalesce(F.sum("_n").over(inner), F.lit(0).cast("long")) + F.col("_o")).alias(out)
+    at = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_b"]]
+    cond = at[0]
+    for c in at[1:]:
+        cond = cond & c
+    joined = df.alias("l").join(F.broadcast(sums.alias("r")) if buckets <= 100_000 else sums.alias("r"), cond)
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], F.col("r._o").alias("_o")).select(
+        *[c for c in df.columns if c not in ("_b", "_n")], out_col
+    )

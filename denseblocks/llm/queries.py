@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from pyspark.sql import functions as F
+
+from . import line_spread, mixing, sharding, spotsigs, token_index
+from .common import Stage, table
 from .ngram_join import ngram_components
 
 
@@ -14,9 +17,48 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+END_ID, VOCABULARY = 2, 49_408
+
+
+def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Stage(spark, "op7").path("shards")
+    token_index.write(table(spark, sf_dir, "documents"), path, vocabulary(), END_ID, VOCABULARY)
+    return token_index.read_documents(spark, path)
+
+
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_spread_lines(table(spark, sf_dir, "documents"))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op3_mixing": op3_mixing,
+        "op4_sharding": op4_sharding,
+        "op5_spotsigs": op5_spotsigs,
+        "op7_token_index": op7_token_index,
+        "op9_line_spread": op9_line_spread,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.sql(), "op9_line_spread": line_spread.sql()}
