@@ -1,11 +1,75 @@
-"""Corpus pipeline (its stages follow with their operators)."""
+"""Corpus pipeline: what five of the corpus operators decide takes effect one after another.
 
-STAGES = []
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns
+a DataFrame, which is written as Parquet and read again as the next one's ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from denseblocks.llm import decontaminate, mixing, ngram_join, quality, queries, token_index
+from denseblocks.llm.common import Stage, small, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("quality_score") >= quality.CUT_SCORE).drop("quality_score")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id (null ids last; of
+    equal ids the smallest hash of the text), of repeated rows one. Documents without
+    words belong to no group and stay."""
+    stage = Stage(spark, "groups")
+    rows = ngram_join.ngram_components(docs).where("group IS NOT NULL").select("group", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
+    rows = stage.put(rows.groupBy("group", "_d", "_t").agg(F.count("*").alias("n")), "rows")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("_d").isNull(), "_d", "_t")).alias("f"))
+    marked = rows.join(first, "group").withColumn("stays", F.col("_d").eqNullSafe(F.col("f._d")) & (F.col("_t") == F.col("f._t")))
+    gone = stage.put(marked.where("NOT stays").select("_d", "_t"), "gone")
+    again = stage.put(marked.where("stays AND n > 1").select("_d", "_t"), "again")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
+    rest = keyed.join(small(gone), same, "left_anti")
+    once = rest.join(small(again), same, "left_semi").dropDuplicates(["_id", "_h"])
+    return rest.join(small(again), same, "left_anti").unionByName(once).drop("_id", "_h")
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, or up to four rows."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token ids in indexed shards, read back from there."""
+    path = Stage(spark, "pipeline").path("shards")
+    token_index.write(docs, path, queries.vocabulary(), queries.END_ID, queries.VOCABULARY)
+    return token_index.read_documents(spark, path)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmarks),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", token_ids),
+]
+
+#: Learned scores and token ids have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    stage = Stage(spark, "corpus")
+    for i, (_, step) in enumerate(STAGES[:-1]):
+        docs = stage.put(step(spark, docs, sf_dir), f"{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -89,23 +89,40 @@ def thresholds(rows: DataFrame, goal: DataFrame, stage: Stage) -> DataFrame:
     return state.select("source", "source_size", "target", "times", "edge", ties.alias("ties"))
 
 
+def _cuts(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and hashes, and the thresholds of their sources."""
+    rows = docs.select("doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    rows = stage.put(rows.withColumn("h", id_hash(F.col("doc_id"))), "sizes")
+    return rows, thresholds(rows.select("source", "size", "h"), targets(rows, stage), stage)
+
+
+def _times():
+    return F.expr("times + CASE WHEN h < edge OR (h = edge AND ties) THEN 1 ELSE 0 END")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source; other columns are ignored):
-    ``doc_id, size, source, source_size, target, times`` (how often the mix takes it) and
+    ``doc_id, source, size, source_size, target, times`` (how often the mix takes it) and
     ``taken`` (``times * size``).
 
     Null texts have size 0. A null source is a source. Rows with equal doc_id (null
     too) have one hash and are taken alike. Reruns agree. An empty table gives an
     empty result.
     """
-    stage = Stage(docs.sparkSession, "mix")
-    rows = docs.select("doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
-    rows = stage.put(rows.withColumn("h", id_hash(F.col("doc_id"))), "sizes")
-    cuts = thresholds(rows.select("source", "size", "h"), targets(rows, stage), stage)
-    out = rows.alias("r").join(small(cuts).alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")))
-    more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("ties"))
-    times = F.col("times") + F.when(more, 1).otherwise(0)
-    return out.select("r.doc_id", "r.source", "size", "source_size", "target", times.alias("times")).withColumn("taken", F.col("times") * F.col("size"))
+    rows, cuts = _cuts(docs, Stage(docs.sparkSession, "mix"))
+    out = rows.alias("r").join(small(cuts).alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).withColumn("taken_times", _times())
+    return out.select("r.doc_id", "r.source", "size", "source_size", "target", F.col("taken_times").alias("times"), (F.col("taken_times") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns kept, each as often as the mix takes it."""
+    _, cuts = _cuts(docs, Stage(docs.sparkSession, "mix"))
+    cuts = cuts.select(F.col("source").alias("_source"), "times", "edge", "ties")
+    names = docs.columns
+    out = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], id_hash(F.col("doc_id")).alias("h"), F.col("source").cast("string").alias("_s"))
+    out = out.join(small(cuts), F.col("_s").eqNullSafe(F.col("_source"))).withColumn("n", _times()).where("n > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def sql(table: str = "documents", text: str = "text") -> str:

@@ -192,10 +192,11 @@ def _links(pairs: DataFrame, prof: DataFrame) -> DataFrame:
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
-    ``doc_id, n_shingles, component_id, n_copies``.
+    ``doc_id, n_shingles, component_id, n_copies, text_hash, group``.
 
     component_id is the smallest doc_id reachable by links, the document's own
-    included; n_copies counts the rows with an equal set. Null, empty and blank
+    included; n_copies counts the rows with an equal set; text_hash is the xxhash64 of the
+    text; group numbers the components (null without shingles), also where ids are null. Null, empty and blank
     texts have no shingle, no link and their own doc_id as component. Rows with a
     null doc_id link like others; a component of such rows only has a null id.
     Repeated rows come back repeated. An empty table gives an empty result.
@@ -259,9 +260,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     last = components(linked.unionByName(more), "a", "b", stage, "all")
     label = classes.join(last, classes.cls == last.vertex, "left").select("digest", "n_copies", "first_id", comp)
     names = label.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    label = label.join(names, "comp").select("digest", "component_id", "n_copies")
-    return prof.select("doc_id", "n", "digest").join(label, "digest", "left").select(
+    label = label.join(names, "comp").select("digest", "component_id", "n_copies", F.col("comp").alias("group"))
+    return prof.select("doc_id", "n", "digest", F.xxhash64("text").alias("text_hash")).join(label, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1).cast("long")).alias("n_copies"),
+        "text_hash", "group",
     )

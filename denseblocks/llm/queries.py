@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import line_spread, mixing, sharding, spotsigs, token_index
+from . import decontaminate, html_main, line_spread, mixing, pii, quality, sharding, spotsigs, token_index
 from .common import Stage, table
 from .ngram_join import ngram_components
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).drop("text_hash", "group")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,10 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -45,18 +53,30 @@ def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.read_documents(spark, path)
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.remove_spread_lines(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_decontamination": op2_decontamination,
         "op3_mixing": op3_mixing,
         "op4_sharding": op4_sharding,
         "op5_spotsigs": op5_spotsigs,
+        "op6_quality": op6_quality,
         "op7_token_index": op7_token_index,
+        "op8_html_main_text": op8_html_main_text,
         "op9_line_spread": op9_line_spread,
+        "op10_pii": op10_pii,
     }
 
 
