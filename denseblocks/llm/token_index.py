@@ -19,7 +19,9 @@ rejects keys that are not there by the fingerprint.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -104,6 +106,23 @@ def lookup(shard: dict, ids: np.ndarray, nulls: int = 0) -> tuple[np.ndarray, np
 _ENCODERS: dict = {}
 
 
+# A word of Latin letters and the signs after it. NFC leaves it as it is, and a
+# tokenizer that lower-cases and splits letters from other signs reads it as one
+# word and at most one run of signs.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+# Fixed value: the pattern of the vocabulary file for which that holds.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_REMEMBER = 1_000_000  # words, and as many pieces, remembered by a worker before it starts anew
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    for itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class _Pieces(dict):
     """Packed ids of the pieces of text between blanks, remembered. No token of the
     vocabulary crosses white space, so a text's ids are those of its pieces in turn."""
@@ -113,12 +132,31 @@ class _Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
+        form = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex", x["type"]) for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT, "ByteLevel"] and form["model"]["dropout"] is None
+        self.model, self.words, self.letters = self.tokenizer.model, {}, _byte_letters()
+
+    def word(self, w: str) -> bytes:
+        """Ids of one lower-case word or run of signs, straight from the merges."""
+        x = self.words.get(w)
+        if x is None:
+            if len(self.words) > _REMEMBER:
+                self.words.clear()
+            coded = w if w.isascii() else "".join(self.letters[b] for b in w.encode())
+            x = self.words[w] = np.array([t.id for t in self.model.tokenize(coded)], self.dtype).tobytes()
+        return x
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > 1_000_000:
+        if len(self) > _REMEMBER:
             self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        x = self[piece] = np.array(ids, self.dtype).tobytes()
+        m = _PLAIN.fullmatch(piece) if self.plain else None
+        if m:
+            x = self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"")
+        else:
+            x = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[piece] = x
         return x
 
 
