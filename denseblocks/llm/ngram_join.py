@@ -6,10 +6,11 @@ shingles is at least ``num / den`` (0.8). The join is exact up to collisions of
 set-relation skipping:
 
 * *Answers from a similar set.* Equal sets are one class with one answer. Then
-  every class is compared with the smallest class that shares one of its
-  minimum hashes (its leader): a verified link puts it into the leader's
-  component, and no pair inside a component has to be looked at again. A group
-  of m near copies costs about m comparisons, not m * m.
+  every class is compared with one of the classes that share one of its minimum
+  hashes (its leader), and later, on the index, with the set of a list that has the
+  fewest shingles of its own: a verified link puts it into the leader's component,
+  and no pair inside a component has to be looked at again. A group of m near
+  copies costs about m comparisons, not m * m.
 * *Skipping in the index.* A set whose smallest shingles by hash are mostly in no
   other set can have no link and leaves. The others keep their shingles in one
   global order: those of no other set first, those that many share last. Two
@@ -147,7 +148,7 @@ def _index(shared, common):
 
     def run(batches):
         for b in batches:
-            uid, toks, poss, ns = [], [], [], []
+            uid, toks, poss, ns, owns = [], [], [], [], []
             for u, s in zip(b.column("uid").to_pylist(), W.shingle_sets(_texts(b))):
                 some, many = _has(shared.value, SHARED_BITS, s), _has(common.value, COMMON_BITS, s)
                 own, n = len(s) - int(some.sum()), len(s)
@@ -155,11 +156,12 @@ def _index(shared, common):
                 if len(first):
                     uid.append(u)
                     ns.append(n)
+                    owns.append(own)
                     toks.append(first)
                     poss.append(np.arange(own, own + len(first)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), pa.array(ns, pa.int64()), _lists(toks), _lists(poss, lambda x: pa.array(x.astype(np.int32), pa.int32()))],
-                names=["uid", "n", "tokens", "poss"],
+                [pa.array(uid, pa.int64()), pa.array(ns, pa.int64()), pa.array(owns, pa.int64()), _lists(toks), _lists(poss, lambda x: pa.array(x.astype(np.int32), pa.int32()))],
+                names=["uid", "n", "own", "tokens", "poss"],
             )
 
     return run
@@ -215,7 +217,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     )
     # 1. answers from leaders
     keyed = classes.select("cls", F.posexplode("keys").alias("i", "key"))
-    lead = keyed.groupBy("i", "key").agg(F.min("cls").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+    lead = keyed.groupBy("i", "key").agg(F.min(F.struct(F.xxhash64("cls", "i"), "cls"))["cls"].alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
     star = stage.put(keyed.join(lead, ["i", "key"]).where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "star")
     linked = stage.put(_links(star, prof), "star-links")
     first = stage.put(components(linked, "a", "b", stage, "near"), "near")
@@ -231,15 +233,24 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     texts = prof.select("uid", "text").join(small(owner.select("uid")), "uid", "left_semi")
     counts = stage.put(texts.select("text").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1"), "counts")
     shared, common = sent(_bits(counts, SHARED_BITS)), sent(_bits(counts.where(F.col("c") > COMMON), COMMON_BITS))
-    entries = texts.mapInArrow(_index(shared, common), "uid long, n long, tokens array<long>, poss array<int>")
+    entries = texts.mapInArrow(_index(shared, common), "uid long, n long, own long, tokens array<long>, poss array<int>")
     entries = stage.put(
         entries.join(owner, "uid").withColumnRenamed("uid", "cls")
-        .select("cls", "comp", "n", F.explode(F.arrays_zip("tokens", "poss")).alias("e"))
-        .select("cls", "comp", "n", F.col("e.tokens").alias("token"), F.col("e.poss").alias("pos"),
+        .select("cls", "comp", "n", "own", F.explode(F.arrays_zip("tokens", "poss")).alias("e"))
+        .select("cls", "comp", "n", "own", F.col("e.tokens").alias("token"), F.col("e.poss").alias("pos"),
                 F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int").alias("block")),
         "index",
     )
-    # lists with sets of more than one component
+    # lists with sets of more than one component: first each set with the one that has
+    # the fewest shingles of its own, then the pairs of what is still apart
+    few = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "cls", "comp", "n")).alias("f")
+    best = entries.groupBy("token").agg(few, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    best = entries.join(best, "token").where(f"comp <> f.comp AND {DEN} * least(n, f.n) >= {NUM} * greatest(n, f.n)")
+    best = stage.put(best.select(F.col("f.cls").alias("a"), F.col("cls").alias("b")).distinct(), "best")
+    linked = stage.put(linked.unionByName(_links(best, prof)), "best-links")
+    near = components(linked, "a", "b", stage, "nearer")
+    entries = entries.drop("comp").join(near, entries.cls == near.vertex, "left").select("cls", comp, "n", "token", "pos", "block")
+    entries = stage.put(entries, "index-2")
     mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     index = entries.join(mixed, "token", "left_semi")
     probe = index.select("token", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"),
