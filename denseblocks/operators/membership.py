@@ -5,10 +5,9 @@ Strategy, decided from exact row counts that the caller already knows:
 
 * set size <= ``broadcast_rows``: broadcast hash semi / anti / outer join,
   no exchange at all;
-* larger: shuffle join on the key. Values so heavy that one of them could
-  hold a large share of the tuples (the *hot* set: mass >= total /
-  ``hot_parts``, so fewer than ``hot_parts`` of them exist) are decided by a
-  broadcast join first; their tuples then get one of ``salts`` fake negative
+* larger: shuffle join on the key. Values that hold a large share of the
+  tuples (the *hot* set: tuples >= total / ``hot_parts``, so at most
+  ``hot_parts`` of them exist) are decided by a broadcast join first; their tuples then get one of ``salts`` fake negative
   keys, so the shuffle spreads them evenly instead of sending them all to one
   task. Ids are validated non-negative, so fake keys never match a real one.
 """
@@ -26,7 +25,8 @@ _IN = "_in"
 
 
 def _salted_key(df: DataFrame, key: str, salts: int):
-    fake = F.lit(-1) - F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != _HOT]), F.lit(salts))
+    # dealt by place, so that identical tuples spread as well
+    fake = F.lit(-1) - F.pmod(F.monotonically_increasing_id(), F.lit(salts))
     return F.when(F.col(_HOT).isNull(), F.col(key)).otherwise(fake)
 
 
@@ -82,14 +82,14 @@ def flag(
     return x.join(r, _JK, "left").select(*cols, F.coalesce(F.col(_HOT), F.col(_IN), F.lit(False)).alias(name))
 
 
-def hot_values(vm: DataFrame, mode: int, total_mass: int, members, opts: Options = DEFAULT) -> DataFrame:
+def hot_values(vm: DataFrame, mode: int, total_tuples: int, members, opts: Options = DEFAULT) -> DataFrame:
     """Hot values of one dimension with their set membership (value, inset).
 
-    ``vm`` has (mode, value, mass); hot means ``mass * hot_parts >= total``,
-    which fewer than ``hot_parts`` values can satisfy. ``members`` is either a
+    ``vm`` has (mode, value, tuples); hot means ``tuples >= total / hot_parts``,
+    which at most ``hot_parts`` values can satisfy. ``members`` is either a
     boolean Column over ``vm`` or a DataFrame with column ``value``.
     """
-    h = vm.filter((F.col("mode") == mode) & (F.col("mass") * F.lit(opts.hot_parts) >= F.lit(max(total_mass, 1))))
+    h = vm.filter((F.col("mode") == mode) & (F.col("tuples") >= F.lit(-(-max(total_tuples, 1) // opts.hot_parts))))
     if not isinstance(members, DataFrame):
         return h.select("value", F.coalesce(members, F.lit(False)).alias("inset"))
     h = h.select("value")

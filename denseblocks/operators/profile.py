@@ -55,6 +55,12 @@ def value_masses(df: DataFrame, n_dims: int) -> DataFrame:
     return unpivot_dims(df, n_dims, ["v"]).groupBy("mode", "value").agg(F.sum("v").cast("long").alias("mass"))
 
 
+def value_table(df: DataFrame, n_dims: int) -> DataFrame:
+    """Mass and number of tuples of every attribute value: mode, value, mass, tuples."""
+    values = unpivot_dims(df, n_dims, ["v"]).groupBy("mode", "value")
+    return values.agg(F.sum("v").cast("long").alias("mass"), F.count(F.lit(1)).alias("tuples"))
+
+
 def value_masses_filled(df: DataFrame, n_dims: int, cards: tuple[int, ...]) -> DataFrame:
     """A3 plus the never-seen ids 0..card-1 with mass 0.
 

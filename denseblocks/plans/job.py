@@ -79,9 +79,9 @@ def main(argv: list[str] | None = None) -> int:
     res = find_blocks(rel, a.blocks, a.measure, a.policy, a.theta, opts=opts, cardinality=a.cardinality)
     print(res.text())
     t1 = time.time()
-    print("Writing outputs...")
+    print(f"Writing members and tuples to {a.output}")
     write_blocks(res, a.output)
-    print(f"Outputs were written. {time.time() - t1:.3f} seconds was taken. Total {time.time() - t0:.3f} seconds.")
+    print(f"Done: output took {time.time() - t1:.3f} s, the whole job {time.time() - t0:.3f} s")
     return 0
 
 

@@ -43,32 +43,16 @@ from .search import (
     surviving_tuples,
 )
 
-_CACHE: dict = {}
-
-
-def _key(spark: SparkSession, *parts) -> tuple:
-    return (spark.sparkContext.applicationId, *parts)
-
-
 def relation(spark: SparkSession, sf_dir: str, name: str):
-    k = _key(spark, "rel", sf_dir, name)
-    if k not in _CACHE:
-        _CACHE[k] = RELATIONS[name](spark, sf_dir)
-    return _CACHE[k]
+    return RELATIONS[name](spark, sf_dir)
 
 
 def context(spark: SparkSession, sf_dir: str, name: str) -> Context:
-    k = _key(spark, "ctx", sf_dir, name)
-    if k not in _CACHE:
-        _CACHE[k] = prepare(relation(spark, sf_dir, name), DEFAULT)
-    return _CACHE[k]
+    return prepare(relation(spark, sf_dir, name), DEFAULT)
 
 
 def result(spark: SparkSession, sf_dir: str, name: str, measure: str, policy: str, theta: float, k: int) -> Result:
-    key = _key(spark, "res", sf_dir, name, measure, policy, theta, k)
-    if key not in _CACHE:
-        _CACHE[key] = find_blocks(context(spark, sf_dir, name), k, measure, policy, theta)
-    return _CACHE[key]
+    return find_blocks(context(spark, sf_dir, name), k, measure, policy, theta)
 
 
 def digits(measure: str) -> int:
@@ -186,9 +170,6 @@ def q_choose_mode(spark, sf_dir, policy, measure="geo", rel="P", theta=2.0):
 def _first_pass(spark, sf_dir, rel="P", measure="geo", policy="density", theta=2.0):
     """(ctx, chosen mode, alive values after the removal, removal log, tuples
     left, removed count) after one pass."""
-    key = _key(spark, "pass1", sf_dir, rel, measure, policy, theta)
-    if key in _CACHE:
-        return _CACHE[key]
     ctx = context(spark, sf_dir, rel)
     meas = make_measure(measure, ctx.n_dims, ctx.mass, ctx.cards)
     state = _first_state(ctx, theta)
@@ -196,16 +177,15 @@ def _first_pass(spark, sf_dir, rel="P", measure="geo", policy="density", theta=2
     n = choose_mode(policy, stats, ctx.cards)
     thr = float(ctx.mass) * theta / ctx.cards[n]
     gone = (F.col("mode") == n) & (F.col("mass").cast("double") <= F.lit(thr))
-    A = ctx.all_values.select("mode", "value", "mass")
+    A = ctx.all_values
     A_kept = A.filter(~gone)
     logged = A.filter(gone).withColumn("rpass", F.lit(0))
     removed = [0] * ctx.n_dims
     removed[n] = stats[n].k - ctx.phantoms[n]
     alive = [c - ph for c, ph in zip(ctx.cards, ctx.phantoms)]
     alive[n] = ctx.cards[n] - stats[n].k
-    B1, _ = surviving_tuples(ctx.original, _values_view(A_kept, [logged]), 0, removed, alive, ctx.mass, ctx.opts)
-    _CACHE[key] = (ctx, n, A_kept, logged, B1, removed[n])
-    return _CACHE[key]
+    B1, _ = surviving_tuples(ctx.original, _values_view(A_kept, [logged]), 0, removed, alive, ctx.tuples, ctx.opts)
+    return ctx, n, A_kept, logged, B1, removed[n]
 
 
 def q_remove_values(spark, sf_dir):
@@ -214,13 +194,13 @@ def q_remove_values(spark, sf_dir):
 
 def q_update_masses_recompute(spark, sf_dir):
     ctx, n, A_kept, logged, B1, _ = _first_pass(spark, sf_dir)
-    return _values_view(_update_values(A_kept, B1, ctx.n_dims, ctx.opts), [logged])
+    return _values_view(_update_values(A_kept, B1, ctx.n_dims, ctx.opts), [logged]).drop("tuples")
 
 
 def q_update_masses_delta(spark, sf_dir):
     ctx, n, A_kept, logged, B1, removed = _first_pass(spark, sf_dir)
     gone = mem.restrict(ctx.original, f"a{n}", logged.select("value"), removed, keep=True, opts=ctx.opts)
-    return _values_view(_update_values_delta(A_kept, gone, ctx.n_dims), [logged])
+    return _values_view(_update_values_delta(A_kept, gone, ctx.n_dims), [logged]).drop("tuples")
 
 
 # ---------------------------------------------------------------------------
@@ -235,7 +215,7 @@ def _block1(spark, sf_dir, rel="P", measure="geo", policy="density", theta=2.0):
 
 def q_block_tuples(spark, sf_dir):
     ctx, b = _block1(spark, sf_dir)
-    return block_tuples(ctx, ctx.original, b.members, b.found.cards, ctx.all_values, ctx.mass)
+    return block_tuples(ctx, ctx.original, b.members, b.found.cards, ctx.all_values, ctx.tuples)
 
 
 def q_block_mass(spark, sf_dir):
@@ -250,7 +230,7 @@ def q_block_cardinalities(spark, sf_dir):
 
 def q_deflate(spark, sf_dir):
     ctx, b = _block1(spark, sf_dir)
-    return deflate(ctx, ctx.original, b.members, b.found.cards, ctx.all_values, ctx.mass)
+    return deflate(ctx, ctx.original, b.members, b.found.cards, ctx.all_values, ctx.tuples)
 
 
 def q_find_block(spark, sf_dir, rel, measure, policy, theta=2.0):

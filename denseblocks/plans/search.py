@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options, materialize, persist
-from ..functions.density import MEASURES, make_measure, product_py
+from ..functions.density import Arithmetic, Geometric, Suspiciousness, make_measure, product_py
 from ..operators import membership as mem
 from ..operators.peel import (
     PassState,
@@ -39,7 +39,7 @@ from ..operators.peel import (
     histogram,
     mode_stats_df,
 )
-from ..operators.profile import profile, unpivot_dims, value_masses
+from ..operators.profile import profile, unpivot_dims, value_table
 from ..relation import Relation, valid_only
 
 
@@ -99,7 +99,7 @@ class Context:
     distinct: tuple[int, ...]  # values seen per dimension
     mass: int
     tuples: int
-    all_values: DataFrame  # (mode, value, mass) on the original, materialised
+    all_values: DataFrame  # (mode, value, mass, tuples) on the original, materialised
     opts: Options
     partitions: int = 1  # partitions of the original relation
 
@@ -136,7 +136,7 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
         original = rel.df
         prof = profile(rel)
     # Short lineage (source scan + one aggregation): persisted, not checkpointed.
-    vm = persist(value_masses(original, rel.n_dims))
+    vm = persist(value_table(original, rel.n_dims))
     counts = {int(r["mode"]): int(r["n"]) for r in vm.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}
     distinct = tuple(counts.get(i, 0) for i in range(rel.n_dims))
     if cardinality == "max_plus_one":
@@ -153,10 +153,14 @@ def _start_values(ctx: Context, current: DataFrame | None) -> DataFrame:
     with its mass in ``current`` (0 if absent). One aggregation over the union
     of the value rows and the unpivoted tuples; no join."""
     if current is None:
-        return ctx.all_values.select("mode", "value", "mass")
-    vrows = ctx.all_values.select("mode", "value", F.lit(0).cast("long").alias("nm"))
-    trows = unpivot_dims(current, ctx.n_dims, ["v"]).select("mode", "value", F.col("v").alias("nm"))
-    return vrows.unionByName(trows).groupBy("mode", "value").agg(F.sum("nm").cast("long").alias("mass"))
+        return ctx.all_values.select("mode", "value", "mass", "tuples")
+    return _update_values(ctx.all_values, current, ctx.n_dims, ctx.opts)
+
+
+def _count_tuples(values: DataFrame) -> int:
+    """Tuples of the relation whose value table this is: every tuple has one value of
+    the first dimension."""
+    return int(values.filter(F.col("mode") == 0).agg(F.coalesce(F.sum("tuples"), F.lit(0))).first()[0])
 
 
 def surviving_tuples(
@@ -165,7 +169,7 @@ def surviving_tuples(
     base_pass: int,
     removed_obs: Sequence[int],
     alive_obs: Sequence[int],
-    base_mass: int,
+    base_tuples: int,
     opts: Options,
 ) -> tuple[DataFrame, bool]:
     """Tuples of ``B_base`` none of whose values was removed since pass
@@ -192,32 +196,32 @@ def surviving_tuples(
             out = mem.restrict(out, key, vm_m.filter(gone).select("value"), r, keep=False, opts=opts)
             continue
         shuffled = True
-        hot = mem.hot_values(vm_m.filter(alive | gone), m, base_mass, gone, opts)
+        hot = mem.hot_values(vm_m.filter(alive | gone), m, base_tuples, gone, opts)
         out = mem.restrict(out, key, vm_m.filter(gone).select("value"), r, keep=False, hot=hot, opts=opts)
     return out, shuffled
 
 
 def spread(df: DataFrame, n_dims: int) -> tuple[DataFrame, int]:
-    """Hash-partition a relation that arrives in fewer partitions than the
-    cluster has cores (e.g. one large parquet row group); deterministic.
-    Returns (relation, partitions)."""
+    """Deal a relation that arrives in fewer partitions than the cluster has
+    cores (e.g. one large parquet row group) evenly over them, identical tuples
+    too. Returns (relation, partitions)."""
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     if have >= par:
         return df, have
-    return df.repartition(par, *[F.col(f"a{i}") for i in range(n_dims)], F.col("v")), par
+    return df.repartition(par), par
 
 
-def shrink(B: DataFrame, parts: int, mass: int, ctx: Context) -> tuple[DataFrame, int]:
+def shrink(B: DataFrame, parts: int, tuples: int, ctx: Context) -> tuple[DataFrame, int]:
     """Re-partition the surviving tuples to a count proportional to the share
-    of the original mass they still hold, so late passes do not schedule
-    thousands of nearly empty tasks. A hash exchange (not ``coalesce``) keeps
+    of the original tuples that they are, so late passes do not schedule
+    thousands of nearly empty tasks. An even exchange (not ``coalesce``) keeps
     the join that produces them parallel; only the small output moves."""
-    want = max(ctx.opts.min_partitions, -(-ctx.partitions * max(mass, 0) // max(ctx.mass, 1)))
+    want = max(ctx.opts.min_partitions, -(-ctx.partitions * max(tuples, 0) // max(ctx.tuples, 1)))
     if want * 2 > parts:
         return B, parts
-    return B.repartition(want, *[F.col(c) for c in B.columns]), want
+    return B.repartition(want), want
 
 
 def find_block(
@@ -244,18 +248,19 @@ def find_block(
     meas = measure if not isinstance(measure, str) else make_measure(measure, N, mass, ctx.cards)
     # The histogram shortcut relies on §4.4 (no best cut inside a run of equal
     # masses), proven for the built-in measures only.
-    by_value = opts.cut_path == "values" or getattr(meas, "name", "") not in MEASURES
+    by_value = opts.cut_path == "values" or type(meas) not in (Arithmetic, Geometric, Suspiciousness)
     alive = list(ctx.cards)
     phantoms = list(ctx.phantoms)
     phantom_pass: list[int | None] = [None] * N
     removed_per_pass: list[tuple[int, int]] = []
     log: list[PassLog] = []
     removal_log: list[DataFrame] = []  # (mode, value, mass, rpass) per pass
-    A = V.select("mode", "value", "mass")  # alive values
+    A = V.select("mode", "value", "mass", "tuples")  # alive values
     M = mass
     best = None
     cut = None  # (pass, mass, k, s, mode, mass before)
-    B_base, base_pass, base_mass = B, 0, mass
+    B_base, base_pass, base_tuples = B, 0, _count_tuples(V)
+    T = base_tuples  # tuples at the start of the pass
     B_cur = B
     b_parts = ctx.partitions
     since_base = [0] * N  # observed values removed since the base, per dimension
@@ -315,21 +320,25 @@ def find_block(
             break
         alive_obs = [alive[m] - phantoms[m] for m in range(N)]
         view = _values_view(A_kept, removal_log[base_pass:])
-        B_now, shuffled = surviving_tuples(B_base, view, base_pass, since_base, alive_obs, base_mass, opts)
+        B_now, shuffled = surviving_tuples(B_base, view, base_pass, since_base, alive_obs, base_tuples, opts)
         if opts.update == "delta":
             gone_vals = removal_log[-1].select("value")
-            gone_tuples = mem.restrict(B_cur, f"a{n}", gone_vals, removed_obs, keep=True, opts=opts)
+            hot = None
+            if removed_obs > opts.broadcast_rows:
+                hot = mem.hot_values(A, n, T, gone, opts)
+            gone_tuples = mem.restrict(B_cur, f"a{n}", gone_vals, removed_obs, keep=True, hot=hot, opts=opts)
             A_next = _update_values_delta(A_kept, gone_tuples, N)
-        if shuffled or 2 * M_next <= base_mass:
+        if shuffled or 2 * T <= base_tuples:
             # a shuffle join's output is already sized by AQE; a broadcast join keeps B's partitions
             if not shuffled:
-                B_now, b_parts = shrink(B_now, b_parts, M_next, ctx)
-            B_base, base_pass, base_mass = materialize(B_now), p, M_next
+                B_now, b_parts = shrink(B_now, b_parts, T, ctx)
+            B_base, base_pass, base_tuples = materialize(B_now), p, T
             since_base = [0] * N
             B_now = B_base
         if opts.update != "delta":
             A_next = _update_values(A_kept, B_now, N, opts)
         A = materialize(A_next)
+        T = _count_tuples(A)
         B_cur = B_now
         M = M_next
         log[-1].seconds = time.time() - t0
@@ -376,10 +385,10 @@ def upper_bound(meas, mass: int, alive: Sequence[int], mass_all: int, cards_all:
 
 
 def _values_view(alive: DataFrame, logs: list[DataFrame]) -> DataFrame:
-    """(mode, value, mass, rpass): alive values (rpass null) and logged removals."""
-    out = alive.select("mode", "value", "mass", F.lit(None).cast("int").alias("rpass"))
+    """(mode, value, mass, tuples, rpass): alive values (rpass null) and logged removals."""
+    out = alive.select("mode", "value", "mass", "tuples", F.lit(None).cast("int").alias("rpass"))
     for d in logs:
-        out = out.unionByName(d.select("mode", "value", "mass", F.col("rpass").cast("int")))
+        out = out.unionByName(d.select("mode", "value", "mass", "tuples", F.col("rpass").cast("int")))
     return out
 
 
@@ -391,21 +400,23 @@ def _update_values(alive: DataFrame, B_next: DataFrame, n_dims: int, opts: Optio
     has a single exchange, no join and no sort. Every value of a surviving
     tuple is alive, so no new key appears.
     """
-    vrows = alive.select("mode", "value", F.lit(0).cast("long").alias("nm"))
-    trows = unpivot_dims(B_next, n_dims, ["v"]).select("mode", "value", F.col("v").alias("nm"))
-    return vrows.unionByName(trows).groupBy("mode", "value").agg(F.sum("nm").cast("long").alias("mass"))
+    zero = F.lit(0).cast("long")
+    vrows = alive.select("mode", "value", zero.alias("nm"), zero.alias("nt"))
+    trows = unpivot_dims(B_next, n_dims, ["v"]).select("mode", "value", F.col("v").alias("nm"), F.lit(1).cast("long").alias("nt"))
+    sums = F.sum("nm").cast("long").alias("mass"), F.sum("nt").cast("long").alias("tuples")
+    return vrows.unionByName(trows).groupBy("mode", "value").agg(*sums)
 
 
 def _update_values_delta(alive: DataFrame, gone: DataFrame, n_dims: int) -> DataFrame:
     """P11 form: subtract the masses of the tuples that left this pass
     (``gone``) instead of recomputing from the survivors."""
-    vrows = alive.select("mode", "value", F.col("mass").alias("nm"), F.lit(1).alias("is_alive"))
-    trows = unpivot_dims(gone, n_dims, ["v"]).select("mode", "value", (-F.col("v")).alias("nm"), F.lit(0).alias("is_alive"))
+    vrows = alive.select("mode", "value", F.col("mass").alias("nm"), F.col("tuples").alias("nt"), F.lit(1).alias("is_alive"))
+    trows = unpivot_dims(gone, n_dims, ["v"]).select("mode", "value", (-F.col("v")).alias("nm"), F.lit(-1).cast("long").alias("nt"), F.lit(0).alias("is_alive"))
     agg = vrows.unionByName(trows).groupBy("mode", "value").agg(
-        F.sum("nm").cast("long").alias("mass"), F.max("is_alive").alias("is_alive")
+        F.sum("nm").cast("long").alias("mass"), F.sum("nt").cast("long").alias("tuples"), F.max("is_alive").alias("is_alive")
     )
     # tuples that left also carry the values removed this pass: keep alive keys only
-    return agg.filter(F.col("is_alive") == 1).select("mode", "value", "mass")
+    return agg.filter(F.col("is_alive") == 1).select("mode", "value", "mass", "tuples")
 
 
 # ---------------------------------------------------------------------------
@@ -440,7 +451,7 @@ def member_set(members: DataFrame, mode: int) -> DataFrame:
     return members.filter(F.col("mode") == mode).select("value")
 
 
-def block_tuples(ctx: Context, rel_df: DataFrame, members: DataFrame, cards: Sequence[int], vm: DataFrame, mass: int) -> DataFrame:
+def block_tuples(ctx: Context, rel_df: DataFrame, members: DataFrame, cards: Sequence[int], vm: DataFrame, tuples: int) -> DataFrame:
     """Tuples with every value in the block (J1): N semi joins, most selective
     first; bag semantics (duplicates kept)."""
     opts = ctx.opts
@@ -450,19 +461,19 @@ def block_tuples(ctx: Context, rel_df: DataFrame, members: DataFrame, cards: Seq
         if cards[m] >= ctx.cards[m] and ctx.phantoms[m] == 0 and cards[m] == ctx.distinct[m]:
             continue  # every value of this dimension is a member
         vals = member_set(members, m)
-        hot = mem.hot_values(vm, m, mass, vals, opts) if cards[m] > opts.broadcast_rows else None
+        hot = mem.hot_values(vm, m, tuples, vals, opts) if cards[m] > opts.broadcast_rows else None
         out = mem.restrict(out, f"a{m}", vals, cards[m], keep=True, hot=hot, opts=opts)
     return out
 
 
 def block_mass(ctx: Context, members: DataFrame, cards: Sequence[int]) -> tuple[int, int]:
     """Mass and tuple count of the block on the original relation."""
-    t = block_tuples(ctx, ctx.original, members, cards, ctx.all_values, ctx.mass)
+    t = block_tuples(ctx, ctx.original, members, cards, ctx.all_values, ctx.tuples)
     r = t.agg(F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("mass"), F.count(F.lit(1)).alias("n")).collect()[0]
     return int(r["mass"]), int(r["n"])
 
 
-def deflate(ctx: Context, R: DataFrame, members: DataFrame, cards: Sequence[int], vm: DataFrame, mass: int) -> DataFrame:
+def deflate(ctx: Context, R: DataFrame, members: DataFrame, cards: Sequence[int], vm: DataFrame, tuples: int) -> DataFrame:
     """R without the tuples inside the block (J2): a tuple goes only if *all*
     its values are members, so this is N membership flags, not N anti joins."""
     opts = ctx.opts
@@ -473,7 +484,7 @@ def deflate(ctx: Context, R: DataFrame, members: DataFrame, cards: Sequence[int]
         if cards[m] >= ctx.cards[m] and ctx.phantoms[m] == 0 and cards[m] == ctx.distinct[m]:
             continue
         vals = member_set(members, m)
-        hot = mem.hot_values(vm, m, mass, vals, opts) if cards[m] > opts.broadcast_rows else None
+        hot = mem.hot_values(vm, m, tuples, vals, opts) if cards[m] > opts.broadcast_rows else None
         out = mem.flag(out, f"a{m}", vals, cards[m], f"_f{m}", hot=hot, opts=opts)
         inside = inside & F.col(f"_f{m}")
     return out.filter(~inside).select(*cols)
@@ -506,7 +517,7 @@ class Result:
 
     def members(self) -> DataFrame:
         """(block, mode, value) for all blocks."""
-        out = None
+        out = None if self.blocks else self.ctx.spark.createDataFrame([], "block int, mode int, value long")
         for b in self.blocks:
             d = b.members.select(F.lit(b.index).alias("block"), "mode", "value")
             out = d if out is None else out.unionByName(d)
@@ -514,9 +525,9 @@ class Result:
 
     def tuples(self) -> DataFrame:
         """(block, a0.., v): the original tuples of every block."""
-        out = None
+        out = None if self.blocks else self.ctx.original.limit(0).select(F.lit(0).alias("block"), "*")
         for b in self.blocks:
-            t = block_tuples(self.ctx, self.ctx.original, b.members, b.found.cards, self.ctx.all_values, self.ctx.mass)
+            t = block_tuples(self.ctx, self.ctx.original, b.members, b.found.cards, self.ctx.all_values, self.ctx.tuples)
             t = t.select(F.lit(b.index).alias("block"), *self.ctx.original.columns)
             out = t if out is None else out.unionByName(t)
         return out
@@ -546,7 +557,8 @@ def find_blocks(
     cardinality: str = "max_plus_one",
     stop_when_empty: bool = False,
 ) -> Result:
-    """The k densest blocks, each searched on what the earlier ones left."""
+    """The k densest blocks, each searched on what the earlier ones left.
+    An empty relation has no blocks."""
     t_start = time.time()
     if isinstance(rel, Context):
         ctx = rel if opts is DEFAULT else replace(rel, opts=opts)
@@ -561,7 +573,7 @@ def find_blocks(
     R_mass = ctx.mass
     V = first_values = ctx.all_values
     blocks: list[Block] = []
-    for i in range(k):
+    for i in range(k if ctx.tuples else 0):
         if stop_when_empty and R_mass == 0:
             break
         t0 = time.time()
@@ -575,8 +587,7 @@ def find_blocks(
                 R = ctx.original.filter(F.lit(False))
                 R_mass = 0
             else:
-                vm_r = V.select("mode", "value", "mass")
-                R = materialize(deflate(ctx, R, members, found.cards, vm_r, R_mass))
+                R = materialize(deflate(ctx, R, members, found.cards, V, _count_tuples(V)))
                 R_mass = R_mass - found.search_mass
             V_prev, V = V, persist(_start_values(ctx, R))
             if V_prev is not first_values:

@@ -42,13 +42,23 @@ class Relation:
         return self.dims + ["v"]
 
 
+def whole(df: DataFrame, column: str) -> Column:
+    """``column`` as BIGINT; null where it is no whole number, so that validation
+    counts the tuple instead of bending its value."""
+    kind, c = dict(df.dtypes)[column], F.col(f"`{column}`")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return c.cast("long")
+    n = c.try_cast("long")
+    return F.when(n.cast("double") == c.try_cast("double"), n)
+
+
 def from_columns(df: DataFrame, dims: Sequence[str], measure: str | Column | None = None) -> Relation:
     """Project ``df`` to a relation; ``measure=None`` counts every row as 1."""
     dims = list(dims)
     if not dims:
         raise ValueError("a relation needs at least one dimension")
-    m = F.lit(1).cast("long") if measure is None else (F.col(measure) if isinstance(measure, str) else measure)
-    cols = [F.col(d).cast("long").alias(f"a{i}") for i, d in enumerate(dims)]
+    m = F.lit(1).cast("long") if measure is None else (whole(df, measure) if isinstance(measure, str) else measure)
+    cols = [whole(df, d).alias(f"a{i}") for i, d in enumerate(dims)]
     out = df.select(*cols, m.cast("long").alias("v"))
     return Relation(out, len(dims), dims, measure if isinstance(measure, str) else "v")
 

@@ -1,67 +1,51 @@
 """Dictionary encoding of non-integer dimensions to dense ids 0..d-1.
 
-Ids follow the sort order of the keys. A dictionary of at most
-``SMALL_DICTIONARY`` keys (size checked while building it) is numbered on
-the driver and broadcast. A larger one is numbered distributed: the distinct
-keys are range-partitioned and sorted, each partition numbers its own keys,
-and a per-partition offset (one row per partition reaches the driver) makes
-the ids global. No step gathers the keys into one task.
+Ids follow the sort order of the keys. The distinct keys are range-partitioned
+and sorted, each partition numbers its own keys, and the number of keys in the
+partitions before it, from a joined table of one row per partition, makes the
+ids global. No step gathers the keys into one task.
+
+A null key has no id: the tuple keeps a null, which the profile counts as
+invalid (``failfast``) or leaves out with that count (``drop``).
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import materialize
 
-# Dictionaries up to this size are built on the driver and broadcast.
-SMALL_DICTIONARY = 10_000
-
-
-def _dictionary(df: DataFrame, column: str, partitions: int | None = None) -> tuple[DataFrame, bool]:
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(F.col(column).alias("key")).filter(F.col("key").isNotNull()).distinct()
-    # Size probe, not a cap: with more than SMALL_DICTIONARY keys the
-    # distributed numbering below handles all of them.
-    few = keys.limit(SMALL_DICTIONARY + 1).collect()
-    if len(few) <= SMALL_DICTIONARY:
-        ordered = sorted(r["key"] for r in few)
-        schema = f"key {keys.schema['key'].dataType.simpleString()}, id long"
-        return spark.createDataFrame([(k, i) for i, k in enumerate(ordered)], schema), True
-    ranged = materialize(keys.repartitionByRange(parts, "key").withColumn("pid", F.spark_partition_id()))
-    sizes = {int(r["pid"]): int(r["n"]) for r in ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = sorted(sizes)
-    starts = dict(zip(order, [0] + list(accumulate(sizes[p] for p in order))[:-1]))
-    offset = F.lit(0).cast("long")
-    for p, s in starts.items():
-        offset = F.when(F.col("pid") == p, F.lit(s)).otherwise(offset)
-    w = Window.partitionBy("pid").orderBy("key")
-    return ranged.select("key", (F.row_number().over(w) - 1 + offset).cast("long").alias("id")), False
+# A dictionary is broadcast up to this size (keys and ids, measured).
+BROADCAST_BYTES = 32 << 20
 
 
 def dictionary(df: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
     """(key, id) for the distinct non-null values of ``column``, ids dense in key order."""
-    return _dictionary(df, column, partitions)[0]
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.col(column).alias("key")).filter(F.col("key").isNotNull()).distinct()
+    ranged = materialize(keys.repartitionByRange(parts, "key").withColumn("pid", F.spark_partition_id()))
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"))
+    own = F.row_number().over(Window.partitionBy("pid").orderBy("key")) - 1
+    numbered = ranged.withColumn("own", own).join(F.broadcast(starts), "pid")
+    return numbered.select("key", (F.col("own") + F.col("start")).cast("long").alias("id"))
 
 
-def encode(df: DataFrame, column: str, dict_df: DataFrame, out: str | None = None, small: bool = False) -> DataFrame:
-    """Replace ``column`` by its id (inner join on the key; nulls drop out)."""
+def encode(df: DataFrame, column: str, dict_df: DataFrame, out: str | None = None) -> DataFrame:
+    """Replace ``column`` by its id; a null, or a key that is not in the dictionary, becomes null."""
     out = out or column
     d = dict_df.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
-    if small:
-        d = F.broadcast(d)
-    joined = df.join(d, df[column] == d["_key"], "inner")
+    size = d.agg(F.sum(F.octet_length(F.col("_key").cast("string")) + 8)).first()[0] or 0
+    joined = df.join(F.broadcast(d) if size <= BROADCAST_BYTES else d, df[column] == d["_key"], "left")
     return joined.drop(column, "_key").withColumnRenamed("_id", out)
 
 
 def encode_column(df: DataFrame, column: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Dictionary-encode ``column``; returns (encoded df, dictionary)."""
-    d, small = _dictionary(df, column)
-    return encode(df, column, d, out, small=small), d
+    d = materialize(dictionary(df, column))
+    return encode(df, column, d, out), d
 
 
 def decode(df: DataFrame, column: str, dict_df: DataFrame, out: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..relation import Relation
+from ..relation import Relation, whole
 from .encode import encode_column
 
 # Fixed values of the planted block: 10 parts x 5 suppliers, flag id 0,
@@ -36,7 +36,7 @@ def lineitem_relation(spark: SparkSession, sf_dir: str) -> Relation:
         F.col("l_partkey").cast("long").alias("a0"),
         F.col("l_suppkey").cast("long").alias("a1"),
         F.col("flag").cast("long").alias("a2"),
-        F.col("l_quantity").cast("long").alias("v"),
+        whole(enc, "l_quantity").alias("v"),
     )
     return Relation(df, 3, ["l_partkey", "l_suppkey", "l_returnflag"], "l_quantity", {2: flags}, scan_based=True)
 

@@ -5,8 +5,8 @@ by new input: a file-source stream of relation text lines is parsed with
 the same rules as the batch reader, accepted tuples are appended to a
 parquet table, and after every micro-batch the k-block search runs over the
 whole table so far and writes its blocks under ``output/epoch=<id>``.
-Rejected lines go to ``table_path/_rejected``. The stream's checkpoint makes
-the ingestion exactly-once across restarts.
+Rejected lines go to ``table_path/_rejected``. A micro-batch writes its own
+``epoch=<id>`` folder of both tables, so that a replayed one replaces itself.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ def start(
     dims = [f"a{i}" for i in range(n_dims)]
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.filter(F.col("reason").isNotNull()).select("line", "reason").write.mode("append").parquet(
-            f"{table_path.rstrip('/')}/_rejected"
+        batch.filter(F.col("reason").isNotNull()).select("line", "reason").write.mode("overwrite").parquet(
+            f"{table_path.rstrip('/')}/_rejected/epoch={epoch_id}"
         )
-        batch.filter(F.col("reason").isNull()).select(*dims, "v").write.mode("append").parquet(table_path)
+        batch.filter(F.col("reason").isNull()).select(*dims, "v").write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/epoch={epoch_id}")
         df = batch.sparkSession.read.parquet(table_path).select(*dims, "v")
         res = find_blocks(Relation(df, n_dims, scan_based=True), k, measure, policy, theta)
         write_blocks(res, f"{output.rstrip('/')}/epoch={epoch_id}")

@@ -35,7 +35,7 @@ def test_salted_shuffle_join_equals_broadcast(spark):
     ctx = prepare(planted_relation(spark, SF))
     vals = ctx.all_values.filter("mode = 0 AND mass > 5000").select("value")
     n = vals.count()
-    hot = mem.hot_values(ctx.all_values, 0, ctx.mass, vals, Options(hot_parts=8))
+    hot = mem.hot_values(ctx.all_values, 0, ctx.tuples, vals, Options(hot_parts=8))
     assert hot.count() < 8
     b = mem.restrict(ctx.original, "a0", vals, n, keep=True)
     s = mem.restrict(ctx.original, "a0", vals, n, keep=True, hot=hot, opts=Options(broadcast_rows=0, hot_parts=8, salts=4))
