@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from denseblocks.llm import decontaminate, mixing, ngram_join, quality, queries, token_index
-from denseblocks.llm.common import Stage, small, table
+from denseblocks.llm.common import Stage, keyed_rows, small, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= quality.CUT_SCORE).drop("quality_score")
+    return quality.accepted(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     marked = rows.join(first, "group").withColumn("stays", F.col("_d").eqNullSafe(F.col("f._d")) & (F.col("_t") == F.col("f._t")))
     gone = stage.put(marked.where("NOT stays").select("_d", "_t"), "gone")
     again = stage.put(marked.where("stays AND n > 1").select("_d", "_t"), "again")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    keyed = keyed_rows(docs)
     same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
     rest = keyed.join(small(gone), same, "left_anti")
     once = rest.join(small(again), same, "left_semi").dropDuplicates(["_id", "_h"])
-    return rest.join(small(again), same, "left_anti").unionByName(once).drop("_id", "_h")
+    return rest.join(small(again), same, "left_anti").unionByName(once).select("row.*")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,12 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_KEYS else df
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(row, _id, _h): whole rows, whatever their columns are called, with their id and
+    the hash of their text."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Stage, small
+from .common import SPACE, Stage, keyed_rows, small
 
 SHINGLE = 5
 RADIUS = 15  # bits; 16 blocks of 4 bits
@@ -125,4 +125,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bad = matches(keyed, benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), stage)
     bad = small(stage.put(bad.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "bad"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left_anti")
+    return keyed_rows(docs).join(bad, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti").select("row.*")

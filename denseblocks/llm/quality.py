@@ -137,9 +137,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(x[order], label[order])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (text; all columns kept) with ``quality_score`` double. Null and empty
-    texts have the score of all features zero."""
+def scorer(docs: DataFrame, model: Model):
+    """Column with the score of the ``text`` of ``docs``. Null and empty texts have the
+    score of all features zero."""
     python_tasks(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,7 +147,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(text: pa.Array) -> pa.Array:
         return pa.array(sent.value.scores(features(text.cast(pa.binary()).to_pylist())))
 
-    return docs.withColumn("quality_score", scored(F.col("text").cast("string")))
+    return scored(F.col("text").cast("string"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that the model does not reject."""
+    return docs.where(scorer(docs, model) >= CUT_SCORE)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,5 +160,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held out of nothing (``held_out`` false). An empty table gives an empty result; without
     labels of both kinds every document passes."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    out = score(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= CUT_SCORE).cast("int").alias("predicted"))
+    out = docs.select("doc_id", scorer(docs, train(docs, labels)).alias("score"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT_SCORE).cast("int").alias("predicted"))
