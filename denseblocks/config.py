@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -23,15 +24,15 @@ class Options:
         exact row count, known from the pass statistics, is at most this.
         Larger sets go through a shuffle join.
     hot_parts
-        A value whose mass is at least ``mass / hot_parts`` is *hot*. There are
-        fewer than ``hot_parts`` of them by construction (masses add up to the
-        total), so the hot set is always safe to broadcast. Hot keys are
+        A value with at least ``tuples / hot_parts`` of the tuples is *hot*. There
+        are at most ``hot_parts`` of them in a dimension (every tuple has one value
+        of it), so the hot set is always safe to broadcast. Hot keys are
         decided map-side and salted out of the shuffle.
     salts
         Number of fake join keys the tuples of hot values are spread over.
     min_partitions
         Lower bound when the working tuples are re-partitioned after shrinking
-        (their partition count follows their share of the original mass).
+        (their partition count follows their share of the original tuples).
     """
 
     broadcast_rows: int = 2_000_000
@@ -85,6 +86,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """Cut the lineage of ``df`` with a Parquet table in the checkpoint folder, which
+    later jobs read column by column. Returns the table and its path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`stored` that no later plan reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Keep ``df`` once computed (memory, spilling to disk); lazy, so the next
     action that needs it fills the cache instead of an extra job. Used for

@@ -15,8 +15,11 @@ The driver receives one row per dimension. Cuts inside a run of equal masses
 never beat both ends of the run for the three measures, so the order among
 equal masses does not matter and no total order of values is needed.
 
-The histogram has at most about sqrt(2M) rows per dimension, so each window
-partition is small however many values a dimension has.
+The running sums are a two-level prefix sum: masses fall into buckets by their
+logarithm (BUCKETS for each factor of 2, so at most 63 * BUCKETS of a
+dimension), a window runs inside each bucket, and the sums of the buckets before
+it come from a broadcast table of one row per bucket. No window holds a
+dimension's whole histogram.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 
 from ..functions.density import Measure, dlit, if_removed_sql, of_cards_sql, product_py
 
+BUCKETS = 64  # mass buckets for each factor of 2
+# Grows with the mass, so that the order of buckets is the order of masses.
+_BUCKET = f"CAST(floor(log2(CAST(mass AS DOUBLE) + 1) * {BUCKETS}) AS INT)"
+
 
 @dataclass(frozen=True)
 class PassState:
@@ -83,9 +90,13 @@ def candidates(hist: DataFrame, state: PassState) -> DataFrame:
 
 def prefix_densities(hist: DataFrame, state: PassState, measure: Measure) -> DataFrame:
     """Every cut of the pass: (mode, mass, cnt, k, s, density)."""
-    cand = candidates(hist, state)
-    w = Window.partitionBy("mode").orderBy("mass").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cand = candidates(hist, state).withColumn("bucket", F.expr(_BUCKET)).repartition("mode", "bucket")
+    sums = cand.groupBy("mode", "bucket").agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.col("mass")).alias("m"))
+    before = Window.partitionBy("mode").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 63 * BUCKETS rows at most
+    starts = sums.select("mode", "bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("n", "m")])
+    w = Window.partitionBy("mode", "bucket").orderBy("mass").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cand = cand.withColumn("k", F.sum("cnt").over(w)).withColumn("s", F.sum(F.col("cnt") * F.col("mass")).over(w))
+    cand = cand.join(F.broadcast(starts), ["mode", "bucket"]).select("mode", "mass", "cnt", (F.col("k") + F.col("n0")).alias("k"), (F.col("s") + F.col("m0")).alias("s"))
     cards = [f"CASE WHEN mode = {m} THEN CAST({c} AS BIGINT) - k ELSE CAST({c} AS BIGINT) END" for m, c in enumerate(state.alive)]
     return cand.withColumn("density", F.expr(of_cards_sql(measure, f"CAST({state.mass} AS BIGINT) - s", cards)))
 
@@ -180,8 +191,8 @@ def best_cut_by_value(
     order (P5, P6 for measures without the run property of §4.4).
 
     A distributed prefix sum: candidates are range-partitioned by (mass,
-    value), one (count, sum) row per partition gives the offsets, and a
-    window inside each range partition finishes the running sums. Never-seen
+    value), a window runs inside each range partition, and the counts and sums of
+    the partitions before it are joined from one row per partition. Never-seen
     values (mass 0) form a prefix and are cut as a whole.
     """
     from ..config import materialize
@@ -192,37 +203,22 @@ def best_cut_by_value(
     ranged = materialize(
         cand.select("mass", "value").repartitionByRange(max(1, partitions), "mass", "value").withColumn("pid", F.spark_partition_id())
     )
-    sizes = {
-        int(r["pid"]): (int(r["n"]), int(r["m"]))
-        for r in ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("m")).collect()
-    }
-    off_k, off_s, run_k, run_s = {}, {}, ph, 0
-    for pid in sorted(sizes):
-        off_k[pid], off_s[pid] = run_k, run_s
-        run_k += sizes[pid][0]
-        run_s += sizes[pid][1]
     cards = [f"CASE WHEN {m} = {mode} THEN CAST({c} AS BIGINT) - k ELSE CAST({c} AS BIGINT) END" for m, c in enumerate(state.alive)]
     best = None
     if ph:
         d0 = measure.value(state.mass, [c - ph if m == mode else c for m, c in enumerate(state.alive)])
         best = ValueCut(float(d0), ph, 0, 0, -1)
-    if sizes:
-        w = Window.partitionBy("pid").orderBy("mass", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = ranged.select(
-            "mass",
-            "value",
-            (F.count(F.lit(1)).over(w) + F.expr(_per_pid_sql(off_k))).alias("k"),
-            (F.sum("mass").over(w) + F.expr(_per_pid_sql(off_s))).alias("s"),
-        )
-        dens = F.expr(of_cards_sql(measure, f"CAST({state.mass} AS BIGINT) - s", cards))
-        top = rows.select(F.struct(dens.alias("d"), (-F.col("k")).alias("neg_k"), "k", "s", "mass", "value").alias("t"))
-        r = top.agg(F.max("t").alias("t")).collect()[0]["t"]
+    sizes = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("m"))
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sizes.select("pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("n", "m")])
+    w = Window.partitionBy("pid").orderBy("mass", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumn("k", F.count(F.lit(1)).over(w)).withColumn("s", F.sum("mass").over(w)).join(F.broadcast(starts), "pid")
+    rows = rows.select("mass", "value", (F.col("k") + F.col("n0") + F.lit(ph)).alias("k"), (F.col("s") + F.col("m0")).alias("s"))
+    dens = F.expr(of_cards_sql(measure, f"CAST({state.mass} AS BIGINT) - s", cards))
+    top = rows.select(F.struct(dens.alias("d"), (-F.col("k")).alias("neg_k"), "k", "s", "mass", "value").alias("t"))
+    r = top.agg(F.max("t").alias("t")).first()["t"]
+    if r is not None:
         cut = ValueCut(float(r["d"]), int(r["k"]), int(r["s"]), int(r["mass"]), int(r["value"]))
         if best is None or cut.density > best.density:
             best = cut
     return best
-
-
-def _per_pid_sql(offsets: dict[int, int]) -> str:
-    arms = " ".join(f"WHEN pid = {p} THEN CAST({o} AS BIGINT)" for p, o in sorted(offsets.items()))
-    return f"(CASE {arms} ELSE CAST(0 AS BIGINT) END)" if arms else "CAST(0 AS BIGINT)"

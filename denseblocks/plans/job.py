@@ -2,13 +2,15 @@
 
     spark-submit -m denseblocks.plans.job INPUT OUTPUT N MEASURE POLICY THETA K \
         [--format text|parquet|csv] [--delimiter ,] [--dims c1,c2 --measure-column m] \
-        [--shuffle-partitions P] [--malformed failfast|drop] [--cardinality max_plus_one|distinct]
+        [--shuffle-partitions P] [--event-log DIR] [--malformed failfast|drop] [--cardinality max_plus_one|distinct]
 
 Positional arguments follow the reference's order: input path, output path,
 number of dimensions, density measure (ari|geo|susp), policy
 (density|cardinality), theta (>= 1), number of blocks. Text input holds
 ``a0,..,aN-1,v`` lines; parquet/csv input names its columns with --dims and
---measure-column (string keys are dictionary-encoded).
+--measure-column (columns that are not integers are dictionary-encoded; the output has
+their keys, and the dictionaries). Parsed or encoded input is kept once as Parquet in
+spark.checkpoint.dir. --event-log names a folder for Spark's event log.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from ..config import Options, ensure_checkpoint_dir
+from ..config import Options, ensure_checkpoint_dir, stored
 from ..relation import from_columns
 from ..sources.encode import encode_column
 from ..sources.sinks import write_blocks
@@ -43,6 +46,7 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--shuffle-partitions", type=int, default=None)
     p.add_argument("--malformed", default="failfast", choices=["failfast", "drop"])
     p.add_argument("--cardinality", default="max_plus_one", choices=["max_plus_one", "distinct"])
+    p.add_argument("--event-log", default=None, help="folder for Spark's event log (a session that this job starts)")
     p.add_argument("--broadcast-rows", type=int, default=Options.broadcast_rows)
     a = p.parse_args(argv)
     if a.theta < 1.0:
@@ -54,7 +58,10 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None) -> int:
     a = parse_args(sys.argv[1:] if argv is None else argv)
-    spark = SparkSession.builder.appName("denseblocks").getOrCreate()
+    builder = SparkSession.builder.appName("denseblocks")
+    if a.event_log:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", a.event_log)
+    spark = builder.getOrCreate()
     if a.shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(a.shuffle_partitions))
     ensure_checkpoint_dir(spark)
@@ -64,7 +71,8 @@ def main(argv: list[str] | None = None) -> int:
         if a.malformed == "drop":
             rejected.write.mode("overwrite").csv(f"{a.output.rstrip('/')}/rejected")
     else:
-        reader = spark.read.option("header", True) if a.format == "csv" else spark.read
+        # the schema of csv is inferred from all rows, so integers stay integers
+        reader = spark.read.option("header", True).option("inferSchema", True) if a.format == "csv" else spark.read
         df = reader.format(a.format).load(a.input)
         dims = a.dims.split(",") if a.dims else df.columns[: a.dimensions]
         if len(dims) != a.dimensions:
@@ -74,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
             if dict(df.dtypes)[d] not in ("tinyint", "smallint", "int", "bigint"):
                 df, dicts[i] = encode_column(df, d)
         rel = from_columns(df, dims, a.measure_column)
-        rel.dictionaries = dicts
+        rel = replace(rel, df=stored(rel.df, "input")[0], dictionaries=dicts, scan_based=True)
     opts = Options(broadcast_rows=a.broadcast_rows)
     res = find_blocks(rel, a.blocks, a.measure, a.policy, a.theta, opts=opts, cardinality=a.cardinality)
     print(res.text())

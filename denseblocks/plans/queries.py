@@ -4,18 +4,18 @@ callable ``(spark, sf_dir) -> DataFrame``.
 Relations: ``L`` lineitem, ``P`` lineitem plus a planted block, ``E``
 events (see ``sources.tables``). Densities are rounded to 6 digits (3 for
 suspiciousness) so that one-ulp differences of pow/ln between runtimes do
-not matter. Searches run once per (session, table set, parameters) and are
-reused by the queries that look at their results.
+not matter. Every query does its own work.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, materialize
+from ..config import DEFAULT, Options, ensure_checkpoint_dir
 from ..functions.density import if_removed_sql, make_measure, of_cards, product_py
 from ..operators import membership as mem
 from ..operators.peel import (
@@ -27,9 +27,13 @@ from ..operators.peel import (
     mode_stats_df,
     prefix_densities,
 )
-from ..operators.profile import mass_check, mass_histogram, profile_df, value_masses, value_masses_filled
-from ..sources.tables import RELATIONS, table
+from ..operators.profile import mass_check, mass_histogram, profile, profile_df, value_masses, value_masses_filled
+from ..relation import from_columns
+from ..sources.encode import dictionary, encode_column
+from ..sources.sinks import write_blocks
+from ..sources.tables import RELATIONS, planted_block, table
 from ..sources.text import classify_lines
+from . import job
 from .search import (
     Context,
     Result,
@@ -51,8 +55,9 @@ def context(spark: SparkSession, sf_dir: str, name: str) -> Context:
     return prepare(relation(spark, sf_dir, name), DEFAULT)
 
 
-def result(spark: SparkSession, sf_dir: str, name: str, measure: str, policy: str, theta: float, k: int) -> Result:
-    return find_blocks(context(spark, sf_dir, name), k, measure, policy, theta)
+def result(spark: SparkSession, sf_dir: str, name: str, measure: str, policy: str, theta: float, k: int, opts: Options = DEFAULT, cardinality: str = "max_plus_one") -> Result:
+    ctx = prepare(relation(spark, sf_dir, name), opts, cardinality)
+    return find_blocks(ctx, k, measure, policy, theta, opts=opts)
 
 
 def digits(measure: str) -> int:
@@ -100,12 +105,13 @@ def q_block_density(spark, sf_dir, measure, rel="L"):
 
 def q_start_density(spark, sf_dir, rel="L"):
     """Density of the whole relation under each measure."""
-    ctx = context(spark, sf_dir, rel)
+    r = relation(spark, sf_dir, rel)
+    p = profile(r)
     cols = []
     for m in ("ari", "geo", "susp"):
-        meas = make_measure(m, ctx.n_dims, ctx.mass, ctx.cards)
-        cols.append(F.round(of_cards(meas, ctx.mass, list(ctx.cards)), digits(m)).alias(f"density_{m}"))
-    return spark.range(1).select(*cols)
+        d = of_cards(make_measure(m, r.n_dims, p.mass, p.cards), "mass", [f"card_{i}" for i in range(r.n_dims)])
+        cols.append(F.round(d, digits(m)).alias(f"density_{m}"))
+    return profile_df(r).select(*cols)
 
 
 # ---------------------------------------------------------------------------
@@ -240,7 +246,7 @@ def q_find_block(spark, sf_dir, rel, measure, policy, theta=2.0):
 
 def rounded_report(res: Result) -> DataFrame:
     dg = digits(res.measure)
-    rep = res.report()
+    rep = res.report().drop("seconds")
     return rep.withColumn("density", F.round("density", dg)).withColumn("search_density", F.round("search_density", dg))
 
 
@@ -254,6 +260,77 @@ def q_best_density(spark, sf_dir, rel, measure, policy, theta=2.0, k=2):
     return rep.agg(F.max("density").alias("best_density"))
 
 
+#: Whole searches by other ways than the default.
+WAYS = {
+    "delta": Options(update="delta"),
+    "shuffled": Options(broadcast_rows=3, hot_parts=16, salts=4),
+    "by_value": Options(cut_path="values"),
+    "early_exit": Options(early_exit=True),
+}
+
+
+def q_find_blocks_way(spark, sf_dir, way):
+    rep = rounded_report(result(spark, sf_dir, "P", "geo", "density", 2.0, 2, WAYS[way]))
+    return rep.drop("passes", "passes_run") if way in ("by_value", "early_exit") else rep
+
+
+def q_find_blocks_distinct(spark, sf_dir):
+    return rounded_report(result(spark, sf_dir, "P", "geo", "density", 2.0, 1, cardinality="distinct"))
+
+
+def q_find_blocks_empty(spark, sf_dir):
+    """An empty relation (no quantity is negative) has no blocks."""
+    df = table(spark, sf_dir, "lineitem").where("l_quantity < 0")
+    return rounded_report(find_blocks(from_columns(df, ["l_partkey", "l_suppkey", "l_linenumber"], "l_quantity"), 2, "geo", "density", 2.0))
+
+
+# ---------------------------------------------------------------------------
+# dictionaries, rejected tuples, sinks and the job, read back from what they wrote
+# ---------------------------------------------------------------------------
+
+
+def q_dictionary(spark, sf_dir):
+    return dictionary(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k")), "k")
+
+
+def q_rejected(spark, sf_dir):
+    """Null keys (flag R) and fractional measures (halves on even lines) are counted."""
+    li = table(spark, sf_dir, "lineitem")
+    qty = F.col("l_quantity").cast("double")
+    li = li.select("l_partkey", "l_suppkey", F.expr("nullif(l_returnflag, 'R')").alias("flag"), F.when(F.col("l_linenumber") % 2 == 0, qty / 2).otherwise(qty).alias("qty"))
+    enc, _ = encode_column(li, "flag")
+    return profile_df(from_columns(enc, ["l_partkey", "l_suppkey", "flag"], "qty"))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_attributes(spark, out: str) -> DataFrame:
+    return spark.read.csv(f"{out}/attributes", schema="mode int, value string, block int")
+
+
+def _read_tuples(spark, out: str) -> DataFrame:
+    return spark.read.csv(f"{out}/tuples", schema="a0 string, a1 string, a2 string, v long, block int")
+
+
+def q_sink(spark, sf_dir, read):
+    out = _folder(spark, "sink")
+    write_blocks(result(spark, sf_dir, "P", "geo", "density", 2.0, 1), out)
+    return read(spark, out)
+
+
+def q_job_csv(spark, sf_dir, read):
+    """The command-line job on csv with integer columns and a string column."""
+    src, out = _folder(spark, "csv"), _folder(spark, "job")
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select("l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("long").alias("qty"))
+    flag = li.agg(F.min("l_returnflag")).first()[0]  # the key with id 0
+    rows.union(planted_block(spark).select("a0", "a1", F.lit(flag), "v")).write.option("header", True).csv(src)
+    job.main([src, out, "3", "geo", "density", "2.0", "1", "--format", "csv", "--dims", "l_partkey,l_suppkey,l_returnflag", "--measure-column", "qty"])
+    return read(spark, out)
+
+
 # ---------------------------------------------------------------------------
 # text source
 # ---------------------------------------------------------------------------
@@ -324,6 +401,17 @@ def catalogue() -> dict:
     q["find_blocks_report_k2_geo_density_P"] = partial(q_find_blocks_report, rel="P", measure="geo", policy="density", k=2)
     q["best_density_k2_ari_cardinality_P"] = partial(q_best_density, rel="P", measure="ari", policy="cardinality")
     q["single_removal_scores_geo_P"] = q_single_removal_scores
+    q["find_blocks_report_k3_geo_density_theta1_P"] = partial(q_find_blocks_report, rel="P", measure="geo", policy="density", theta=1.0, k=3)
+    q["find_blocks_report_k2_geo_density_H"] = partial(q_find_blocks_report, rel="H", measure="geo", policy="density", k=2)
+    for way in WAYS:
+        q[f"find_blocks_report_k2_{way}_P"] = partial(q_find_blocks_way, way=way)
+    q["find_blocks_report_distinct_P"] = q_find_blocks_distinct
+    q["find_blocks_report_empty_L"] = q_find_blocks_empty
+    q["dictionary_orders"] = q_dictionary
+    q["rejected_lineitem"] = q_rejected
+    for name, run in (("sink", q_sink), ("job_csv", q_job_csv)):
+        q[f"{name}_attributes_P"] = partial(run, read=_read_attributes)
+        q[f"{name}_tuples_P"] = partial(run, read=_read_tuples)
     q["find_blocks_report_k2_ari_cardinality_P"] = partial(
         q_find_blocks_report, rel="P", measure="ari", policy="cardinality", k=2
     )

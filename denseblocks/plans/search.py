@@ -28,7 +28,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Options, materialize, persist
+from ..config import DEFAULT, Options, materialize, persist, release, stored
 from ..functions.density import Arithmetic, Geometric, Suspiciousness, make_measure, product_py
 from ..operators import membership as mem
 from ..operators.peel import (
@@ -102,6 +102,7 @@ class Context:
     all_values: DataFrame  # (mode, value, mass, tuples) on the original, materialised
     opts: Options
     partitions: int = 1  # partitions of the original relation
+    dictionaries: dict = field(default_factory=dict)  # mode -> DataFrame(key, id)
 
     @property
     def phantoms(self) -> tuple[int, ...]:
@@ -119,7 +120,8 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
     original = rel.df
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if rel.derived:
-        original = materialize(original)
+        original, _ = stored(original, "relation")
+        parts = max(1, original.rdd.getNumPartitions())
     elif rel.scan_based:
         spread_df, parts = spread(original, rel.n_dims)
         if spread_df is not original:
@@ -145,7 +147,7 @@ def prepare(rel: Relation, opts: Options = DEFAULT, cardinality: str = "max_plus
         cards = distinct
     else:
         raise ValueError("cardinality must be 'max_plus_one' or 'distinct'")
-    return Context(spark, original, rel.n_dims, tuple(cards), distinct, prof.mass, prof.tuples, vm, opts, parts)
+    return Context(spark, original, rel.n_dims, tuple(cards), distinct, prof.mass, prof.tuples, vm, opts, parts, rel.dictionaries)
 
 
 def _start_values(ctx: Context, current: DataFrame | None) -> DataFrame:
@@ -262,6 +264,7 @@ def find_block(
     B_base, base_pass, base_tuples = B, 0, _count_tuples(V)
     T = base_tuples  # tuples at the start of the pass
     B_cur = B
+    base_path = None
     b_parts = ctx.partitions
     since_base = [0] * N  # observed values removed since the base, per dimension
     p = 0
@@ -320,6 +323,7 @@ def find_block(
             break
         alive_obs = [alive[m] - phantoms[m] for m in range(N)]
         view = _values_view(A_kept, removal_log[base_pass:])
+        old_path = None
         B_now, shuffled = surviving_tuples(B_base, view, base_pass, since_base, alive_obs, base_tuples, opts)
         if opts.update == "delta":
             gone_vals = removal_log[-1].select("value")
@@ -332,12 +336,16 @@ def find_block(
             # a shuffle join's output is already sized by AQE; a broadcast join keeps B's partitions
             if not shuffled:
                 B_now, b_parts = shrink(B_now, b_parts, T, ctx)
-            B_base, base_pass, base_tuples = materialize(B_now), p, T
+            old_path = base_path
+            B_base, base_path = stored(B_now, "alive")
+            base_pass, base_tuples = p, T
             since_base = [0] * N
             B_now = B_base
         if opts.update != "delta":
             A_next = _update_values(A_kept, B_now, N, opts)
         A = materialize(A_next)
+        if old_path:  # nothing reads the tuples before the rewrite any more
+            release(ctx.spark, old_path)
         T = _count_tuples(A)
         B_cur = B_now
         M = M_next
@@ -356,6 +364,8 @@ def find_block(
         removed[cut_mode] += cut_k
         cards = tuple(c - r for c, r in zip(ctx.cards, removed))
         search_mass = m_before - cut_s
+    if base_path:
+        release(ctx.spark, base_path)
     final = _values_view(A, removal_log)
     return BlockFound(cut_pass, cut_mass, float(best), int(search_mass), cards, p, final, tuple(phantom_pass), log, cut_value)
 
@@ -501,16 +511,17 @@ class Result:
 
     def report(self) -> DataFrame:
         """One row per block (T4, A9): cardinalities, mass and density on the
-        original, search density, passes."""
+        original, search density, passes of the full peel, passes that had to be run,
+        running time."""
         n = self.ctx.n_dims
         schema = (
             "block int, "
             + ", ".join(f"card_{i} long" for i in range(n))
-            + ", mass long, tuples long, density double, search_density double, search_mass long, passes int"
+            + ", mass long, tuples long, density double, search_density double, search_mass long, passes int, passes_run int, seconds double"
         )
         rows = [
             (b.index, *[int(c) for c in b.found.cards], b.mass, b.tuples, float(b.density), float(b.found.search_density),
-             int(b.found.search_mass), int(b.found.passes))
+             int(b.found.search_mass), int(b.found.passes), len(b.found.log), float(b.seconds))
             for b in self.blocks
         ]
         return self.ctx.spark.createDataFrame(rows, schema)
@@ -587,7 +598,7 @@ def find_blocks(
                 R = ctx.original.filter(F.lit(False))
                 R_mass = 0
             else:
-                R = materialize(deflate(ctx, R, members, found.cards, V, _count_tuples(V)))
+                R, _ = stored(deflate(ctx, R, members, found.cards, V, _count_tuples(V)), "rest")
                 R_mass = R_mass - found.search_mass
             V_prev, V = V, persist(_start_values(ctx, R))
             if V_prev is not first_values:

@@ -33,12 +33,17 @@ def dictionary(df: DataFrame, column: str, partitions: int | None = None) -> Dat
     return numbered.select("key", (F.col("own") + F.col("start")).cast("long").alias("id"))
 
 
+def _checked(d: DataFrame) -> DataFrame:
+    """A dictionary (_key, _id), marked for broadcast if it is small enough."""
+    size = d.agg(F.sum(F.octet_length(F.col("_key").cast("string")) + 8)).first()[0] or 0
+    return F.broadcast(d) if size <= BROADCAST_BYTES else d
+
+
 def encode(df: DataFrame, column: str, dict_df: DataFrame, out: str | None = None) -> DataFrame:
     """Replace ``column`` by its id; a null, or a key that is not in the dictionary, becomes null."""
     out = out or column
     d = dict_df.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
-    size = d.agg(F.sum(F.octet_length(F.col("_key").cast("string")) + 8)).first()[0] or 0
-    joined = df.join(F.broadcast(d) if size <= BROADCAST_BYTES else d, df[column] == d["_key"], "left")
+    joined = df.join(_checked(d), df[column] == d["_key"], "left")
     return joined.drop(column, "_key").withColumnRenamed("_id", out)
 
 
@@ -52,5 +57,5 @@ def decode(df: DataFrame, column: str, dict_df: DataFrame, out: str | None = Non
     """Map ids in ``column`` back to keys."""
     out = out or column
     d = dict_df.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
-    joined = df.join(d, df[column] == d["_id"], "left")
+    joined = df.join(_checked(d), df[column] == d["_id"], "left")
     return joined.drop(column, "_id").withColumnRenamed("_key", out)

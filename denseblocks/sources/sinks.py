@@ -5,21 +5,46 @@ Layout under ``out``:
 * ``attributes/block=<i>/part-*.csv`` -- lines ``mode,value`` (0-based mode);
 * ``tuples/block=<i>/part-*.csv``     -- lines ``a0,..,aN-1,v`` of the
   original relation, duplicates kept;
+* ``dictionaries/mode=<n>/``          -- Parquet (key, id) of an encoded dimension;
 * ``report/part-*.csv``               -- one row per block (header).
 
+Values are the user's own: ids of an encoded dimension are written as their keys.
 Each is one distributed write; nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.search import Result
+from .encode import decode
+
+
+def decoded_members(result: Result) -> DataFrame:
+    """(block, mode, value) with values as text, keys of encoded dimensions restored."""
+    out = result.members().select("block", F.col("mode").cast("int"), "value")
+    plain = out.where(~F.col("mode").isin(list(result.ctx.dictionaries)))
+    text = plain.withColumn("value", F.col("value").cast("string"))
+    for m, d in result.ctx.dictionaries.items():
+        part = decode(out.where(F.col("mode") == m), "value", d)
+        text = text.unionByName(part.withColumn("value", F.col("value").cast("string")))
+    return text
+
+
+def decoded_tuples(result: Result) -> DataFrame:
+    """(block, a0.., v), keys of encoded dimensions restored."""
+    out = result.tuples()
+    columns = out.columns
+    for m, d in result.ctx.dictionaries.items():
+        out = decode(out, f"a{m}", d)
+    return out.select(*columns)
 
 
 def write_blocks(result: Result, out: str, mode: str = "overwrite") -> None:
     out = out.rstrip("/")
-    members = result.members().select("block", F.col("mode").cast("int"), "value")
-    members.write.mode(mode).partitionBy("block").csv(f"{out}/attributes")
-    result.tuples().write.mode(mode).partitionBy("block").csv(f"{out}/tuples")
+    decoded_members(result).write.mode(mode).partitionBy("block").csv(f"{out}/attributes")
+    decoded_tuples(result).write.mode(mode).partitionBy("block").csv(f"{out}/tuples")
+    for m, d in result.ctx.dictionaries.items():
+        d.write.mode(mode).parquet(f"{out}/dictionaries/mode={m}")
     result.report().coalesce(1).write.mode(mode).option("header", True).csv(f"{out}/report")

@@ -3,6 +3,7 @@
 * ``L``: lineitem as (l_partkey, l_suppkey, return flag id; quantity).
 * ``P``: ``L`` plus a planted dense block: 50 tuples (p, s, 0, 20000) for
   p in 0..9 and s in 0..4.
+* ``H``: ``L`` plus the same block with a quantity of 10^9 each (nearly all of the mass).
 * ``E``: events as (user_id, event type id, hour of the month; number of
   events), one tuple per distinct triple.
 
@@ -23,6 +24,7 @@ PLANTED_PARTS = 10
 PLANTED_SUPPLIERS = 5
 PLANTED_FLAG = 0
 PLANTED_QUANTITY = 20000
+HEAVY_QUANTITY = 1_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,20 +43,20 @@ def lineitem_relation(spark: SparkSession, sf_dir: str) -> Relation:
     return Relation(df, 3, ["l_partkey", "l_suppkey", "l_returnflag"], "l_quantity", {2: flags}, scan_based=True)
 
 
-def planted_block(spark: SparkSession) -> DataFrame:
+def planted_block(spark: SparkSession, quantity: int = PLANTED_QUANTITY) -> DataFrame:
     n = PLANTED_PARTS * PLANTED_SUPPLIERS
     return spark.range(n).select(
         (F.col("id") / PLANTED_SUPPLIERS).cast("long").alias("a0"),
         F.pmod(F.col("id"), F.lit(PLANTED_SUPPLIERS)).cast("long").alias("a1"),
         F.lit(PLANTED_FLAG).cast("long").alias("a2"),
-        F.lit(PLANTED_QUANTITY).cast("long").alias("v"),
+        F.lit(quantity).cast("long").alias("v"),
     )
 
 
-def planted_relation(spark: SparkSession, sf_dir: str) -> Relation:
+def planted_relation(spark: SparkSession, sf_dir: str, quantity: int = PLANTED_QUANTITY) -> Relation:
     base = lineitem_relation(spark, sf_dir)
     return Relation(
-        base.df.unionByName(planted_block(spark)), 3, base.source_dims, base.source_measure, base.dictionaries, scan_based=True
+        base.df.unionByName(planted_block(spark, quantity)), 3, base.source_dims, base.source_measure, base.dictionaries, scan_based=True
     )
 
 
@@ -74,4 +76,8 @@ def events_relation(spark: SparkSession, sf_dir: str) -> Relation:
     return Relation(df, 3, ["user_id", "event_type", "hour_of_month"], "count", {1: types}, derived=True)
 
 
-RELATIONS = {"L": lineitem_relation, "P": planted_relation, "E": events_relation}
+def heavy_relation(spark: SparkSession, sf_dir: str) -> Relation:
+    return planted_relation(spark, sf_dir, HEAVY_QUANTITY)
+
+
+RELATIONS = {"L": lineitem_relation, "P": planted_relation, "H": heavy_relation, "E": events_relation}

@@ -20,6 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import stored
 from ..relation import Relation
 
 INTEGER_TOKEN = r"^[+-]?[0-9]+$"
@@ -64,7 +65,10 @@ def parse_lines(
     column: str = "value",
 ) -> tuple[Relation, DataFrame]:
     """(relation of accepted lines, rejected lines with reason)."""
-    cls = classify_lines(lines, n_dims, delimiter, allow_zero, column)
+    return _accepted(classify_lines(lines, n_dims, delimiter, allow_zero, column), n_dims, mode)
+
+
+def _accepted(cls: DataFrame, n_dims: int, mode: str) -> tuple[Relation, DataFrame]:
     rel_df = cls.filter(F.col("reason").isNull()).select(*[f"a{i}" for i in range(n_dims)], "v")
     rejected = cls.filter(F.col("reason").isNotNull()).select("line", "reason")
     if mode == "failfast":
@@ -84,8 +88,11 @@ def read_relation_text(
     mode: str = "drop",
     allow_zero: bool = False,
 ) -> tuple[Relation, DataFrame]:
-    """Read a relation from text files (splits follow the files)."""
-    return parse_lines(spark.read.text(path), n_dims, delimiter, mode, allow_zero)
+    """Read a relation from text files (splits follow the files). Lines are parsed once:
+    the accepted ones and the rejected ones go to one Parquet table."""
+    cls = classify_lines(spark.read.text(path), n_dims, delimiter, allow_zero)
+    cls = cls.withColumn("line", F.when(F.col("reason").isNotNull(), F.col("line")))
+    return _accepted(stored(cls, "text")[0], n_dims, mode)
 
 
 def split_malformed(lines: DataFrame, n_dims: int, delimiter: str = ",") -> DataFrame:

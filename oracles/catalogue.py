@@ -125,6 +125,26 @@ def _single_removal() -> str:
     )
 
 
+def _empty_report() -> str:
+    cols = "0::INTEGER AS block, 0::BIGINT AS card_0, 0::BIGINT AS card_1, 0::BIGINT AS card_2, 0::BIGINT AS mass, 0::BIGINT AS tuples, 0::DOUBLE AS density, 0::DOUBLE AS search_density, 0::BIGINT AS search_mass, 0::INTEGER AS passes, 0::INTEGER AS passes_run"
+    return f"SELECT {cols} FROM lineitem WHERE l_quantity < 0"
+
+
+def _dictionary() -> str:
+    """Ids of order keys as strings, in the order of the strings."""
+    return "SELECT k AS key, CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey IS NOT NULL) x"
+
+
+def _rejected() -> str:
+    """Profile of lineitem with null keys and fractional measures, invalid tuples counted."""
+    flags = "(SELECT key, row_number() OVER (ORDER BY key) - 1 AS id FROM (SELECT DISTINCT nullif(l_returnflag, 'R') AS key FROM lineitem) k WHERE key IS NOT NULL)"
+    half = "CASE WHEN l_linenumber % 2 = 0 THEN l_quantity / 2 ELSE l_quantity END"
+    rows = f"SELECT CAST(l_partkey AS BIGINT) AS a0, CAST(l_suppkey AS BIGINT) AS a1, f.id AS a2, CASE WHEN {half} = floor({half}) THEN CAST({half} AS BIGINT) END AS v FROM lineitem LEFT JOIN {flags} f ON lineitem.l_returnflag = f.key"
+    bad = " OR ".join(["v IS NULL", "v < 1"] + [f"a{i} IS NULL OR a{i} < 0" for i in range(N3)])
+    cards = ", ".join(f"CAST(coalesce(max(a{i}) + 1, 0) AS BIGINT) AS card_{i}" for i in range(N3))
+    return f"SELECT CAST(count(*) AS BIGINT) AS tuples, CAST(coalesce(sum(v), 0) AS BIGINT) AS mass, {cards}, CAST(sum(CASE WHEN {bad} THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM ({rows}) r"
+
+
 def catalogue() -> dict[str, str]:
     q = {
         "profile_L": _profile("L"),
@@ -135,7 +155,7 @@ def catalogue() -> dict[str, str]:
         "mass_histogram_L": _mass_histogram("L"),
         "start_density_L": _start_density("L"),
         "candidates_theta2_P": _first("SELECT mode, k, s FROM G1"),
-        "prefix_densities_geo_P": _first("SELECT mode, mass, k, s, round(d, 6) AS density FROM D1"),
+        "prefix_densities_geo_P": _first("SELECT mode, mass, k, s, round(d, 6) AS density FROM D1 QUALIFY row_number() OVER (PARTITION BY mode, mass ORDER BY k DESC) = 1"),
         "best_cut_geo_P": _first("SELECT mode, round(d, 6) AS best_density, mass AS best_mass FROM BE1"),
         "choose_mode_density_P": _first("SELECT mode FROM CH1"),
         "choose_mode_cardinality_P": _first("SELECT mode FROM CH1", policy="cardinality"),
@@ -167,4 +187,17 @@ def catalogue() -> dict[str, str]:
     q["find_blocks_report_k2_ari_cardinality_P"] = find_blocks_report_sql("P", "ari", "cardinality", 2.0, k=2)
     q["best_density_k2_ari_cardinality_P"] = best_density_sql("P", "ari", "cardinality", 2.0, k=2)
     q["single_removal_scores_geo_P"] = _single_removal()
+    q["find_blocks_report_k3_geo_density_theta1_P"] = find_blocks_report_sql("P", "geo", "density", 1.0, k=3)
+    q["find_blocks_report_k2_geo_density_H"] = find_blocks_report_sql("H", "geo", "density", 2.0, k=2)
+    for way in ("delta", "shuffled"):
+        q[f"find_blocks_report_k2_{way}_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2)
+    for way in ("by_value", "early_exit"):
+        q[f"find_blocks_report_k2_{way}_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2, columns="* EXCLUDE (passes, passes_run)")
+    q["find_blocks_report_distinct_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, distinct=True)
+    q["find_blocks_report_empty_L"] = _empty_report()
+    q["dictionary_orders"] = _dictionary()
+    q["rejected_lineitem"] = _rejected()
+    for name, src in (("sink", "P"), ("job_csv", "P")):
+        q[f"{name}_attributes_{src}"] = block_sql(src, "geo", "density", 2.0, "SELECT CAST(1 AS INTEGER) AS block, m.mode, coalesce(f.key, CAST(m.value AS VARCHAR)) AS value FROM MEMBERS1 m LEFT JOIN L_FLAGS f ON m.mode = 2 AND f.id = m.value")
+        q[f"{name}_tuples_{src}"] = block_sql(src, "geo", "density", 2.0, "SELECT CAST(1 AS INTEGER) AS block, CAST(a0 AS VARCHAR) AS a0, CAST(a1 AS VARCHAR) AS a1, f.key AS a2, v FROM BT1 JOIN L_FLAGS f ON f.id = a2")
     return q

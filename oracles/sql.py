@@ -3,13 +3,14 @@
 Each function returns SQL over the pre-registered test tables. The peeling
 search is unrolled into a fixed number of passes as CTEs; once every value
 is removed a pass selects nothing and changes nothing, so unrolling more
-passes than needed is harmless. No Spark here: this is the oracle.
+passes than needed is harmless. Every pass removes its values one by one in the
+order (mass, value). No Spark here: this is the oracle.
 """
 
 from __future__ import annotations
 
 N3 = 3
-PASSES = 24
+PASSES = 16
 
 
 def dbl(x) -> str:
@@ -33,6 +34,12 @@ P AS (SELECT a0, a1, a2, v FROM L
       SELECT CAST(range // 5 AS BIGINT), CAST(range % 5 AS BIGINT), CAST(0 AS BIGINT), CAST(20000 AS BIGINT)
       FROM range(50))"""
 
+REL_H = REL_L + """,
+H AS (SELECT a0, a1, a2, v FROM L
+      UNION ALL
+      SELECT CAST(range // 5 AS BIGINT), CAST(range % 5 AS BIGINT), CAST(0 AS BIGINT), CAST(1000000000 AS BIGINT)
+      FROM range(50))"""
+
 REL_E = """
 E_TYPES AS (SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS id
             FROM (SELECT DISTINCT event_type AS key FROM events WHERE event_type IS NOT NULL) k),
@@ -41,7 +48,7 @@ E AS (SELECT CAST(user_id AS BIGINT) AS a0, t.id AS a1,
       FROM events JOIN E_TYPES t ON events.event_type = t.key
       GROUP BY 1, 2, 3)"""
 
-RELATIONS = {"L": REL_L, "P": REL_P, "E": REL_E}
+RELATIONS = {"L": REL_L, "P": REL_P, "E": REL_E, "H": REL_H}
 
 
 def with_rel(rel: str, *ctes: str) -> str:
@@ -61,6 +68,11 @@ def value_masses(src: str, n: int = N3) -> str:
     )
 
 
+def distinct_cards_cte(src: str, n: int = N3) -> str:
+    rows = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS mode, CAST(count(DISTINCT a{i}) AS BIGINT) AS c FROM {src}" for i in range(n))
+    return f"CARDS AS ({rows})"
+
+
 def cards_cte(src: str, n: int = N3) -> str:
     rows = " UNION ALL ".join(
         f"SELECT CAST({i} AS INTEGER) AS mode, CAST(max(a{i}) + 1 AS BIGINT) AS c FROM {src}" for i in range(n)
@@ -109,7 +121,7 @@ def digits(measure: str) -> int:
 
 
 def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, passes: int = PASSES,
-              prefix: str = "", cards: str = "CARDS") -> tuple[list[str], str]:
+              prefix: str = "", cards: str = "CARDS", only_seen: bool = False) -> tuple[list[str], str]:
     """CTEs of a full peel of relation ``src``; returns (ctes, name of the
     last state). ``cards`` names the CTE of full cardinalities (mode, c) of
     the original relation; every name made here starts with ``prefix``.
@@ -127,14 +139,15 @@ def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, pa
     start = density_expr(measure, m0, p0, sum_expr(full), n, m0, p0)
     ctes.append(
         f"{X}S0 AS (SELECT CAST(0 AS INTEGER) AS passes, {m0} AS M, {c_sel}, {start} AS best, "
-        f"CAST(NULL AS INTEGER) AS cut_pass, CAST(NULL AS BIGINT) AS cut_mass, CAST(NULL AS INTEGER) AS chosen, "
+        f"CAST(NULL AS INTEGER) AS cut_pass, CAST(NULL AS BIGINT) AS cut_mass, CAST(NULL AS BIGINT) AS cut_value, CAST(0 AS INTEGER) AS passes_run, CAST(NULL AS INTEGER) AS chosen, "
         f"CAST(NULL AS DOUBLE) AS thr)"
     )
     seen = value_masses(src, n)
+    every = seen if only_seen else f"SELECT mode, unnest(range(0, c)) AS value FROM {cards}"
     ctes.append(
         f"{X}V0 AS MATERIALIZED (SELECT a.mode, a.value, CAST(coalesce(s.mass, 0) AS BIGINT) AS mass, "
         f"CAST(NULL AS INTEGER) AS rpass FROM "
-        f"(SELECT mode, unnest(range(0, c)) AS value FROM {cards}) a "
+        f"({every}) a "
         f"LEFT JOIN ({seen}) s ON a.mode = s.mode AND a.value = s.value)"
     )
     ctes.append(f"{X}B0 AS MATERIALIZED (SELECT * FROM {src})")
@@ -150,19 +163,18 @@ def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, pa
             f"FROM ({modes}) t WHERE {c_of_mode} > 0)"
         )
         ctes.append(
-            f"{X}H{p} AS MATERIALIZED (SELECT v.mode, v.mass, CAST(count(*) AS BIGINT) AS cnt FROM {X}V{q} v "
-            f"JOIN {X}TH{p} t ON v.mode = t.mode WHERE v.rpass IS NULL AND CAST(v.mass AS DOUBLE) <= t.thr "
-            f"GROUP BY v.mode, v.mass)"
+            f"{X}H{p} AS MATERIALIZED (SELECT v.mode, v.mass, v.value FROM {X}V{q} v "
+            f"JOIN {X}TH{p} t ON v.mode = t.mode WHERE v.rpass IS NULL AND CAST(v.mass AS DOUBLE) <= t.thr)"
         )
         ctes.append(
-            f"{X}CA{p} AS MATERIALIZED (SELECT mode, mass, "
-            f"CAST(sum(cnt) OVER (PARTITION BY mode ORDER BY mass ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS k, "
-            f"CAST(sum(cnt * mass) OVER (PARTITION BY mode ORDER BY mass ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s "
+            f"{X}CA{p} AS MATERIALIZED (SELECT mode, mass, value, "
+            f"CAST(row_number() OVER (PARTITION BY mode ORDER BY mass, value) AS BIGINT) AS k, "
+            f"CAST(sum(mass) OVER (PARTITION BY mode ORDER BY mass, value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s "
             f"FROM {X}H{p})"
         )
         cards_after = [f"(CASE WHEN ca.mode = {i} THEN {sc(f'c{i}')} - ca.k ELSE {sc(f'c{i}')} END)" for i in range(n)]
         d_row = density_expr(measure, f"({sc('M')} - ca.s)", prod_expr(cards_after), sum_expr(cards_after), n, m0, p0)
-        ctes.append(f"{X}D{p} AS MATERIALIZED (SELECT ca.mode, ca.mass, ca.k, ca.s, {d_row} AS d FROM {X}CA{p} ca)")
+        ctes.append(f"{X}D{p} AS MATERIALIZED (SELECT ca.mode, ca.mass, ca.value, ca.k, ca.s, {d_row} AS d FROM {X}CA{p} ca)")
         cur = [sc(f"c{i}") for i in range(n)]
         c_g = "CASE " + " ".join(f"WHEN g.mode = {i} THEN {sc(f'c{i}')}" for i in range(n)) + " END"
         prod_scaled = f"({prod_expr(cur)} / CAST({c_g} AS DOUBLE) * CAST({c_g} - g.k AS DOUBLE))"
@@ -171,13 +183,13 @@ def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, pa
             f"{X}G{p} AS MATERIALIZED (SELECT mode, max(k) AS k, max(s) AS s FROM {X}D{p} GROUP BY mode)"
         )
         ctes.append(
-            f"{X}BE{p} AS MATERIALIZED (SELECT mode, d, mass, k, s FROM (SELECT *, row_number() OVER "
-            f"(PARTITION BY mode ORDER BY d DESC, mass ASC) AS rn FROM {X}D{p}) x WHERE rn = 1)"
+            f"{X}BE{p} AS MATERIALIZED (SELECT mode, d, mass, value, k, s FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY mode ORDER BY d DESC, k ASC) AS rn FROM {X}D{p}) x WHERE rn = 1)"
         )
         ctes.append(f"{X}SC{p} AS MATERIALIZED (SELECT g.mode, g.k, g.s, {score} AS score, {c_g} AS c FROM {X}G{p} g)")
         pol = "CAST(g.c AS DOUBLE)" if policy == "cardinality" else "g.score"
         ctes.append(
-            f"{X}CH{p} AS MATERIALIZED (SELECT g.mode, g.k, g.s, b.d, b.mass AS bmass, t.thr, {pol} AS pscore "
+            f"{X}CH{p} AS MATERIALIZED (SELECT g.mode, g.k, g.s, b.d, b.mass AS bmass, b.value AS bvalue, t.thr, {pol} AS pscore "
             f"FROM {X}SC{p} g JOIN {X}BE{p} b ON g.mode = b.mode JOIN {X}TH{p} t ON g.mode = t.mode "
             f"ORDER BY pscore DESC, g.mode DESC LIMIT 1)"
         )
@@ -192,6 +204,8 @@ def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, pa
             f"CASE WHEN {better} THEN {ch('d')} ELSE {sc('best')} END AS best, "
             f"CASE WHEN {better} THEN CAST({q} AS INTEGER) ELSE {sc('cut_pass')} END AS cut_pass, "
             f"CASE WHEN {better} THEN {ch('bmass')} ELSE {sc('cut_mass')} END AS cut_mass, "
+            f"CASE WHEN {better} THEN {ch('bvalue')} ELSE {sc('cut_value')} END AS cut_value, "
+            f"{sc('passes_run')} + CASE WHEN {ch('mode')} IS NOT NULL AND ({q} = 0 OR {sc('M')} > 0) THEN 1 ELSE 0 END AS passes_run, "
             f"{ch('mode')} AS chosen, {ch('thr')} AS thr)"
         )
         gone = (
@@ -219,7 +233,7 @@ def members_cte(name: str, prefix: str, last_state: str, passes: int = PASSES) -
     return (
         f"{name} AS MATERIALIZED (SELECT v.mode, v.value FROM {V} v WHERE (SELECT cut_pass FROM {S}) IS NULL "
         f"OR v.rpass IS NULL OR v.rpass > (SELECT cut_pass FROM {S}) "
-        f"OR (v.rpass = (SELECT cut_pass FROM {S}) AND v.mass > (SELECT cut_mass FROM {S})))"
+        f"OR (v.rpass = (SELECT cut_pass FROM {S}) AND (v.mass, v.value) > (SELECT (cut_mass, cut_value) FROM {S})))"
     )
 
 
@@ -227,15 +241,15 @@ def inside(alias: str, members: str, n: int = N3) -> str:
     return " AND ".join(f"{alias}.a{i} IN (SELECT value FROM {members} WHERE mode = {i})" for i in range(n))
 
 
-def search(rel: str, measure: str, policy: str, theta: float, k: int = 1, n: int = N3) -> tuple[list[str], list[tuple[str, str]]]:
+def search(rel: str, measure: str, policy: str, theta: float, k: int = 1, n: int = N3, distinct: bool = False) -> tuple[list[str], list[tuple[str, str]]]:
     """CTEs for k blocks: each search runs on what the earlier blocks left.
     Returns (ctes, [(members cte, last state) per block])."""
-    ctes = [cards_cte(rel, n)]
+    ctes = [distinct_cards_cte(rel, n) if distinct else cards_cte(rel, n)]
     out = []
     src = rel
     for b in range(1, k + 1):
         prefix = "" if b == 1 else f"K{b}_"
-        pc, last = peel_ctes(src, measure, policy, theta, n, prefix=prefix)
+        pc, last = peel_ctes(src, measure, policy, theta, n, prefix=prefix, only_seen=distinct)
         ctes += pc
         mem = f"MEMBERS{b}"
         ctes.append(members_cte(mem, prefix, last))
@@ -266,7 +280,7 @@ def report_select(rel: str, measure: str, blocks: list[tuple[str, str]], n: int
             f"SELECT CAST({b} AS INTEGER) AS block, {card_cols}, CAST({mass} AS BIGINT) AS mass, "
             f"CAST((SELECT count(*) FROM {bt}) AS BIGINT) AS tuples, round({dens}, {dg}) AS density, "
             f"round((SELECT best FROM {last}), {dg}) AS search_density, CAST({search_mass} AS BIGINT) AS search_mass, "
-            f"(SELECT passes FROM {last}) AS passes"
+            f"(SELECT passes FROM {last}) AS passes, (SELECT passes_run FROM {last}) AS passes_run"
         )
     return ctes, "\nUNION ALL\n".join(selects)
 
@@ -276,10 +290,10 @@ def find_block_sql(rel: str, measure: str, policy: str, theta: float) -> str:
     return with_rel(rel, *ctes) + f"\nSELECT mode, value FROM {blocks[0][0]}"
 
 
-def find_blocks_report_sql(rel: str, measure: str, policy: str, theta: float, k: int = 1) -> str:
-    ctes, blocks = search(rel, measure, policy, theta, k)
+def find_blocks_report_sql(rel: str, measure: str, policy: str, theta: float, k: int = 1, columns: str = "*", distinct: bool = False) -> str:
+    ctes, blocks = search(rel, measure, policy, theta, k, distinct=distinct)
     rc, body = report_select(rel, measure, blocks)
-    return with_rel(rel, *ctes, *rc) + "\n" + body
+    return with_rel(rel, *ctes, *rc) + f"\nSELECT {columns} FROM ({body}) r"
 
 
 def first_pass_sql(rel: str, measure: str, policy: str, theta: float, select: str) -> str:

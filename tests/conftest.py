@@ -32,7 +32,7 @@ def blocks_summary(res):
     """Per block: members per mode (sorted lists), report row as dict."""
     n = res.ctx.n_dims
     mem = res.members().collect()
-    rep = {r["block"]: r.asDict() for r in res.report().collect()}
+    rep = {r["block"]: r.asDict() for r in res.report().drop("seconds").collect()}
     out = []
     for b in sorted(rep):
         sets = [sorted(r["value"] for r in mem if r["block"] == b and r["mode"] == m) for m in range(n)]

@@ -42,4 +42,4 @@ def test_huge_masses(spark):
     rel = from_columns(spark.createDataFrame(rows, "a long, b long, w long"), ["a", "b"], "w")
     forced = find_blocks(rel, 1, "geo", "density", 2.0, opts=Options(broadcast_rows=0, salts=4))
     plain = find_blocks(rel, 1, "geo", "density", 2.0)
-    assert forced.report().collect() == plain.report().collect()
+    assert forced.report().drop("seconds").collect() == plain.report().drop("seconds").collect()
