@@ -244,14 +244,15 @@ def q_find_block(spark, sf_dir, rel, measure, policy, theta=2.0):
     return res.blocks[0].members.select("mode", "value")
 
 
-def rounded_report(res: Result) -> DataFrame:
-    dg = digits(res.measure)
+def rounded_report(res: Result, places: int | None = None) -> DataFrame:
+    dg = digits(res.measure) if places is None else places
     rep = res.report().drop("seconds")
     return rep.withColumn("density", F.round("density", dg)).withColumn("search_density", F.round("search_density", dg))
 
 
 def q_find_blocks_report(spark, sf_dir, rel, measure, policy, theta=2.0, k=1):
-    return rounded_report(result(spark, sf_dir, rel, measure, policy, theta, k))
+    # densities of H are above 10^10: six places would be beyond a double
+    return rounded_report(result(spark, sf_dir, rel, measure, policy, theta, k), 3 if rel == "H" else None)
 
 
 def q_best_density(spark, sf_dir, rel, measure, policy, theta=2.0, k=2):

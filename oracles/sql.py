@@ -265,7 +265,7 @@ def report_select(rel: str, measure: str, blocks: list[tuple[str, str]], n: int
     full = [f"(SELECT c FROM CARDS WHERE mode = {i})" for i in range(n)]
     p0 = prod_expr(full)
     m0 = "(SELECT M FROM SMASS)"
-    dg = digits(measure)
+    dg = 3 if rel == "H" else digits(measure)
     ctes, selects = [], []
     for b, (mem, last) in enumerate(blocks, start=1):
         bt = f"BT{b}"
