@@ -127,12 +127,12 @@ def _single_removal() -> str:
 
 def _empty_report() -> str:
     cols = "0::INTEGER AS block, 0::BIGINT AS card_0, 0::BIGINT AS card_1, 0::BIGINT AS card_2, 0::BIGINT AS mass, 0::BIGINT AS tuples, 0::DOUBLE AS density, 0::DOUBLE AS search_density, 0::BIGINT AS search_mass, 0::INTEGER AS passes, 0::INTEGER AS passes_run"
-    return f"SELECT {cols} FROM lineitem WHERE l_quantity < 0"
+    return f"WITH NONE_LEFT AS (SELECT * FROM lineitem WHERE l_quantity < 0)\nSELECT {cols} FROM NONE_LEFT"
 
 
 def _dictionary() -> str:
     """Ids of order keys as strings, in the order of the strings."""
-    return "SELECT k AS key, CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey IS NOT NULL) x"
+    return "WITH KEYS AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey IS NOT NULL)\nSELECT k AS key, CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS id FROM KEYS"
 
 
 def _rejected() -> str:
@@ -142,7 +142,7 @@ def _rejected() -> str:
     rows = f"SELECT CAST(l_partkey AS BIGINT) AS a0, CAST(l_suppkey AS BIGINT) AS a1, f.id AS a2, CASE WHEN {half} = floor({half}) THEN CAST({half} AS BIGINT) END AS v FROM lineitem LEFT JOIN {flags} f ON lineitem.l_returnflag = f.key"
     bad = " OR ".join(["v IS NULL", "v < 1"] + [f"a{i} IS NULL OR a{i} < 0" for i in range(N3)])
     cards = ", ".join(f"CAST(coalesce(max(a{i}) + 1, 0) AS BIGINT) AS card_{i}" for i in range(N3))
-    return f"SELECT CAST(count(*) AS BIGINT) AS tuples, CAST(coalesce(sum(v), 0) AS BIGINT) AS mass, {cards}, CAST(sum(CASE WHEN {bad} THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM ({rows}) r"
+    return f"WITH R AS ({rows})\nSELECT CAST(count(*) AS BIGINT) AS tuples, CAST(coalesce(sum(v), 0) AS BIGINT) AS mass, {cards}, CAST(sum(CASE WHEN {bad} THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM R"
 
 
 def catalogue() -> dict[str, str]:
