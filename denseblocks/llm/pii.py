@@ -34,7 +34,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What else may be one.
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+ ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+ ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{3,4}){3,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z.])(?:\+|00)?\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
@@ -53,6 +53,9 @@ LABELERS = 5
 FORMS = 4  # length of the span in classes
 PATTERNS = len(KINDS) * 3**LABELERS * FORMS
 ROUNDS = 50
+# IP has the same matches from the start of a run of digits only, as what follows its
+# first part stands after the run; a try at each digit would be quadratic in long runs.
+_IP_STARTS = re.compile(r"(?<![0-9])" + IP.pattern)
 _BEFORE = re.compile(r"[^\W\d_][\w-]*")
 
 
@@ -85,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points: leftmost, non-overlapping within a kind; a match
     that fails its check is dropped without another try."""
     out = [(0, *s) for s in _emails(text)]
-    for m in IP.finditer(text):
+    for m in _IP_STARTS.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):

@@ -116,21 +116,30 @@ def fit(x: np.ndarray, label: np.ndarray) -> Model:
     return Model(edges, w, float(cut), float(max(s.std(), 1e-6)))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled documents (``labels``: doc_id, quality) whose crc32 of the id is
-    not divisible by 5. Rows without a label, and labels other than 0 and 1, take no part."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, x): label and features of at most SAMPLE labelled documents
+    (``labels``: doc_id, quality) whose crc32 of the id is not divisible by 5. Rows without
+    a label, and labels other than 0 and 1, take no part; of rows with equal ids the one
+    with the smallest hash of its text does, so that a hot id adds one row only."""
     python_tasks(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(fold).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(fold).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def run(batches):
         for b in batches:
             x = features(b.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32()), pa.array(x.ravel()))], names=["quality", "x"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("o"), lists], names=["doc_id", "quality", "o", "x"])
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    rows = found.select("quality", "text", F.xxhash64("doc_id", "text").alias("o")).orderBy("o").select("quality", "text").mapInArrow(run, "quality int, x array<double>").toArrow()
+    rows = found.select("doc_id", "quality", F.xxhash64("text").alias("o"), "text").mapInArrow(run, "doc_id long, quality int, o long, x array<double>")
+    return rows.groupBy("doc_id", "quality").agg(F.min_by("x", "o").alias("x"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on the sample of labelled documents."""
+    rows = sample(docs, labels).select("quality", "x").toArrow()
     x = np.array(rows.column("x").combine_chunks().values if rows.num_rows else [], np.float64).reshape(-1, FEATURES)
     label = rows.column("quality").to_numpy()
     order = np.lexsort([*x.T, label])  # the same model whatever the order of the rows

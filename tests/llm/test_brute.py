@@ -1,7 +1,9 @@
 """Operators against plain-Python versions, exact round trips, SQL and held-out accuracy."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,6 +172,25 @@ def test_base_spans():
     assert pii.base_spans("4111 1111 1111 1111 x") == [(2, 0, 19)] and pii.base_spans("256.1.1.1") == []
 
 
+def test_long_runs_are_linear():
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice("12. a") for _ in range(rng.randint(0, 60)))
+        assert [m.span() for m in pii._IP_STARTS.finditer(text)] == [m.span() for m in pii.IP.finditer(text)]
+    start = time.time()
+    for text in ["1" * 400_000, "a" * 400_000 + " x@y at dot", "1." * 200_000, "1 " * 200_000, "+1" + "." * 400_000]:
+        pii.candidates(text)
+    assert time.time() - start < 60
+
+
+def test_quality_sample_has_one_row_for_a_hot_id(spark):
+    docs = spark.createDataFrame([(7, f"text {i} of a hot id") for i in range(500)] + [(3, None), (3, "x"), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality.sample(docs, labels).collect()}
+    assert set(rows) == {3, 7} and all(len(r.x) == quality.FEATURES for r in rows.values())
+    assert quality.sample(docs, labels).count() == len(rows)
+
+
 def test_shingle_sets():
     texts = [t.encode() for _, t in near_copies()] + [None, b"", b" a  b\n", "É é".encode()]
     sizes = [len(s) for s in W.shingle_sets(texts)]
