@@ -5,6 +5,8 @@ import pytest
 from denseblocks import find_blocks, prepare
 from denseblocks.sources.tables import events_relation, planted_relation
 
+from . import bruteforce
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -44,3 +46,16 @@ def test_events_block(spark):
     assert r["density"] == pytest.approx(128.426928, abs=1e-6)
     assert r["passes"] == 4
     assert res.ctx.cards[2] == 720 and res.ctx.distinct[2] == 531  # phantoms in the hour dimension
+
+
+def test_three_blocks_at_theta_1(spark):
+    """Blocks, densities and pass counts of a long search against the plain-Python peel."""
+    rel = planted_relation(spark, SF)
+    rows = [tuple(r) for r in rel.df.select("a0", "a1", "a2", "v").collect()]
+    expected = bruteforce.find_blocks(rows, 3, 3, "geo", "density", 1.0)
+    report = find_blocks(rel, k=3, measure="geo", policy="density", theta=1.0).report().orderBy("block").collect()
+    assert max(e["passes"] for e in expected) > 10
+    for r, e in zip(report, expected, strict=True):
+        assert [r[f"card_{i}"] for i in range(3)] == e["cards"]
+        assert (r["mass"], r["tuples"], r["search_mass"], r["passes"]) == (e["mass"], e["tuples"], e["search_mass"], e["passes"])
+        assert r["density"] == pytest.approx(e["density"], rel=1e-9) and r["search_density"] == pytest.approx(e["search_density"], rel=1e-9)
