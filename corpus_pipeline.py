@@ -43,7 +43,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, or up to four rows."""
+    """Every document as often as the mix takes it: not at all, or up to three rows."""
     return mixing.mixed(docs)
 
 
