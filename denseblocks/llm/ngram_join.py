@@ -19,6 +19,11 @@ set-relation skipping:
   reads its own and the next block only, and skips entries whose position leaves
   too few shingles for the threshold, and every entry of its own component.
 
+The components are closed under links, so that all links of a set are found among the
+sets of its component: ``ngram_links`` counts them exactly. A component is dealt out in
+cells of bounded size, and a task gets two cells and counts what their sets share by a
+matrix product; cells whose set sizes are too far apart never meet.
+
 Shuffled rows: one per document for the classes, the pre-aggregated counts of the
 smallest shingles (a first look) and of all shingles of the sets that remain, and
 index entries of shared shingles. The bitmaps sent to the workers have a fixed size
@@ -42,6 +47,9 @@ LEADERS = 6  # minimum hashes by which a class looks for leaders
 COMMON = 16  # a shingle counted more often goes to the back of the order
 COMMON_BITS = 23  # bitmap of common shingles: 2 ** 23 bits, 1 MB
 SHARED_BITS = 26  # bitmaps of shingles seen more than once: 8 MB
+CELL = 512  # sets of a component that a task compares with as many others
+CELL_SHINGLES = 1 << 20  # shingles of these sets
+COLUMNS = 4096  # shingles that one matrix product takes
 
 _SEED = [np.uint64(0x2545F4914F6CDD1D * (2 * i + 1) & (1 << 64) - 1) for i in range(LEADERS)]
 
@@ -192,6 +200,60 @@ def _links(pairs: DataFrame, prof: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
+def _partners(key, group):
+    """(cls, links): for each set of two cells the rows of the other one (of its own one,
+    if both are the same) whose sets are linked to it."""
+    _, low, high = (k.as_py() for k in key)
+    sets = W.shingle_sets(_texts(group))
+    n, copies, home = (group.column(c).to_numpy() for c in ("n", "n_copies", "home"))
+    token, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who, many = np.repeat(np.arange(len(sets)), n), count[at] > 1
+    at = (np.cumsum(count > 1) - 1)[at[many]]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[many][order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        i, j = np.searchsorted(at, [start, start + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[who[i:j], at[i:j] - start] = 1
+        both += (x @ x.T).astype(np.int64)
+    linked = DEN * both >= NUM * (n[:, None] + n[None, :] - both)
+    linked &= home[:, None] != home[None, :] if low != high else ~np.eye(len(sets), dtype=bool)
+    return pa.table({"cls": group.column("cls"), "links": pa.array((linked * copies[None, :]).sum(1), pa.int64())})
+
+
+def _link_counts(prof: DataFrame, label: DataFrame, stage: Stage) -> DataFrame:
+    """(cls, links): for each class that has links to others, the rows of those."""
+    sizes = label.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
+    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("long")
+    parted = F.when((F.col("m") > CELL) | (F.col("all") > CELL_SHINGLES), block).otherwise(F.lit(0).cast("long"))
+    sets = label.join(small(sizes), "comp").select("cls", "comp", "n", "n_copies", parted.alias("block"))
+    sets = stage.put(sets, "members")
+    cells = sets.groupBy("comp", "block").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("long").alias("cells"))
+    cells = stage.put(cells, "cells")
+    # sets of one size block, or of two next to each other, may be linked
+    other = cells.select("comp", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("other"), F.col("cells").alias("others"))
+    meets = stage.put(cells.join(other, ["comp", "block"]), "meets")
+    home = (F.shiftleft("block", 32) + F.pmod(F.xxhash64("cls"), F.col("cells"))).alias("home")
+    sets = sets.join(small(meets), ["comp", "block"]).select(
+        "cls", "comp", "n", "n_copies", home, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda i: F.shiftleft("other", 32) + i)).alias("away"))
+    sets = sets.select("cls", "comp", "n", "n_copies", "home", F.least("home", "away").alias("low"), F.greatest("home", "away").alias("high"))
+    dealt = prof.select(F.col("uid").alias("cls"), "text").join(small(sets), "cls")
+    found = dealt.groupBy("comp", "low", "high").applyInArrow(_partners, "cls long, links long")
+    return found.groupBy("cls").agg(F.sum("links").alias("links"))
+
+
+def ngram_links(docs: DataFrame) -> DataFrame:
+    """The rows of ``ngram_components`` with one more column, ``n_links``: the exact
+    number of other rows whose sets reach the threshold with this one's, those with an
+    equal set among them. Rows without shingles have none."""
+    stage, prof, label = _classes(docs)
+    counts = stage.put(_link_counts(prof, label, stage), "link-counts")
+    links = label.select(F.col("cls").alias("of"), "digest").join(counts, F.col("of") == F.col("cls")).select("digest", "links")
+    label = label.join(links, "digest", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("links", F.lit(0)))
+    return _rows(prof, label, F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
     ``doc_id, n_shingles, component_id, n_copies, text_hash, group``.
@@ -203,6 +265,23 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     null doc_id link like others; a component of such rows only has a null id.
     Repeated rows come back repeated. An empty table gives an empty result.
     """
+    _, prof, label = _classes(docs)
+    return _rows(prof, label)
+
+
+def _rows(prof: DataFrame, label: DataFrame, *more) -> DataFrame:
+    label = label.select("digest", "component_id", "n_copies", F.col("comp").alias("group"), *[c for c in label.columns if c == "n_links"])
+    return prof.select("doc_id", "n", "digest", F.xxhash64("text").alias("text_hash")).join(label, "digest", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1).cast("long")).alias("n_copies"),
+        "text_hash", "group", *more,
+    )
+
+
+def _classes(docs: DataFrame) -> tuple[Stage, DataFrame, DataFrame]:
+    """The stage, the profile of each row, and (cls, digest, n, n_copies, comp,
+    component_id) of each class of equal sets."""
     spark = docs.sparkSession
     python_tasks(spark)
     stage = Stage(spark, "ngram")
@@ -269,12 +348,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     more = stage.put(_links(pairs, prof), "links")
 
     last = components(linked.unionByName(more), "a", "b", stage, "all")
-    label = classes.join(last, classes.cls == last.vertex, "left").select("digest", "n_copies", "first_id", comp)
+    for name in ("star", "related", "counts", "index", "best", "index-2", "pairs"):
+        stage.drop(name)
+    label = classes.join(last, classes.cls == last.vertex, "left").select("cls", "digest", "n", "n_copies", "first_id", comp)
     names = label.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    label = label.join(names, "comp").select("digest", "component_id", "n_copies", F.col("comp").alias("group"))
-    return prof.select("doc_id", "n", "digest", F.xxhash64("text").alias("text_hash")).join(label, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1).cast("long")).alias("n_copies"),
-        "text_hash", "group",
-    )
+    return stage, prof, stage.put(label.join(names, "comp").drop("first_id"), "label")

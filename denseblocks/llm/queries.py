@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_main, line_spread, mixing, pii, quality, sharding, spotsigs, token_index
 from .common import Stage, table
-from .ngram_join import ngram_components
+from .ngram_join import ngram_links
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents")).drop("text_hash", "group")
+    return ngram_links(table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

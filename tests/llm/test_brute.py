@@ -69,6 +69,19 @@ def test_ngram_join(spark, which):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(docs)
 
 
+@pytest.mark.parametrize("cell", [512, 7])
+def test_ngram_links(spark, cell, monkeypatch):
+    """Links inside a group of near copies are counted, whatever cells it is dealt out in."""
+    docs = near_copies()
+    docs += [(1000 + i, docs[i % 3][1]) for i in range(9)] + [(2000, ""), (2001, None)]
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    sets = {d: shingles(t) for d, t in docs}
+    likes = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {d: sum(likes(s, sets[e]) for e in sets if e != d) for d, s in sets.items()}
+    got = ngram_join.ngram_links(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 50
+
+
 def test_decontamination(spark):
     items = [(i, t.lower().split()) for i, t in rows(spark, "benchmark")]
     docs = [(r[0], r[1]) for r in rows(spark)][:120]
