@@ -1,13 +1,15 @@
 """Main text of web pages, with site template removal.
 
-Pass one hashes the element subtrees of every page and Spark counts, for each host, on
-how many of its pages a subtree recurs. Pass two deletes subtrees that recur on many
-pages of their host, as well as those that are no main text by their tag, role or class
+Pass one hashes the element subtrees of every page and Spark counts, for each host, with
+how many different main texts a subtree recurs. Pass two deletes subtrees that recur with
+many main texts of their host, as well as those that are no main text by their tag, role or class
 (menus, headers, footers, sidebars, notices, adverts, forms, comments), and writes the
 text blocks of the article that are left, in page order.
 
 Text blocks of an article (paragraphs, headings, items, cells) and parts that make up
-much of it are never counted as template: copies of an article on one host stay whole.
+much of it are never counted as template by themselves. All else, lists, tables and
+sections of an article and the paragraphs of pages without one included, counts once for
+all pages of equal main text: copies of a page on one host stay whole.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, python_tasks
+from .common import Stage, python_tasks, small
 
-MANY = 10  # a subtree on so many pages of a host is template
+MANY = 10  # a subtree with so many main texts of a host is template
 DEEPEST = 300  # what is nested deeper reads as if it stood at this depth
 MOST_SHARE = 0.3  # a part with more of the article's text than this is no template
 
@@ -175,6 +177,10 @@ def _plain(node: Node, drop: set[int] = frozenset(), inside: bool = True) -> str
     return " ".join("".join(out).split())
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _candidates(root: Node) -> list[tuple[Node, int]]:
     """Subtrees that may be template, with their hashes: elements other than page and
     article; in an article no text blocks and nothing that makes up much of it."""
@@ -187,8 +193,7 @@ def _candidates(root: Node) -> list[tuple[Node, int]]:
             continue
         text = _plain(node)
         if text and (len(text) <= MOST_SHARE * total or not (inside or whole)):
-            key = f"{node.tag}\\0{node.labels}\\0{text}".encode("utf-8", "surrogatepass")
-            out.append((node, int.from_bytes(blake2b(key, digest_size=8).digest(), "big", signed=True)))
+            out.append((node, _hash(f"{node.tag}\\0{node.labels}\\0{text}")))
     return out
 
 
@@ -206,8 +211,11 @@ def host(url: str | None) -> str:
 def _subtrees(batches):
     for b in batches:
         urls, pages = b.column("url").to_pylist(), b.column("html").to_pylist()
-        hashes = [sorted({h for _, h in _candidates(parse(p or ""))}) for p in pages]
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("th"), pa.array(map(host, urls), pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "th", "host", "subtrees"])
+        roots = [parse(p or "") for p in pages]
+        hashes = [sorted({h for _, h in _candidates(r)}) for r in roots]
+        mains = [_hash(" ".join(_plain(m, inside=m is not r) for m in _mains(r))) for r in roots]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("th"), pa.array(map(host, urls), pa.string()), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                                         names=["page_id", "th", "host", "main", "subtrees"])
 
 
 def _extract(batches):
@@ -222,17 +230,19 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     ``page_id, url, text, n_chars, n_template`` (subtrees of the page that are template).
 
     A null or empty page has an empty text. Pages without a host in their url are one
-    site. Repeated rows come back repeated and count as pages. An empty table gives an
-    empty result.
+    site. Repeated rows come back repeated; pages of a host with equal main texts (before
+    templates go) count once. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     python_tasks(spark)
     stage = Stage(spark, "html")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     keyed = pages.withColumn("th", F.xxhash64("html", "url"))
-    nodes = keyed.select("page_id", "th", "url", "html").mapInArrow(_subtrees, "page_id long, th long, host string, subtrees array<long>")
-    nodes = stage.put(nodes, "subtrees").select("page_id", "th", "host", F.explode("subtrees").alias("subtree"))
-    template = stage.put(nodes.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).drop("n"), "template")
+    nodes = keyed.select("page_id", "th", "url", "html").mapInArrow(_subtrees, "page_id long, th long, host string, main long, subtrees array<long>")
+    nodes = stage.put(nodes, "subtrees").select("page_id", "th", "host", "main", F.explode("subtrees").alias("subtree"))
+    often = stage.put(nodes.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).drop("n"), "often")
+    mains = nodes.select("host", "subtree", "main").join(small(often), ["host", "subtree"]).distinct()
+    template = stage.put(mains.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).drop("n"), "template")
     hits = nodes.join(template, ["host", "subtree"]).groupBy("page_id", "th").agg(F.collect_set("subtree").alias("template"))
     hits = hits.withColumnRenamed("page_id", "p").withColumnRenamed("th", "t")
     both = keyed.join(hits, keyed.page_id.eqNullSafe(hits.p) & (keyed.th == hits.t), "left")

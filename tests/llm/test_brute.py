@@ -178,6 +178,17 @@ def test_template_goes_and_copies_stay():
     assert html_main.main_text(odd) == "T & x one two three a b"
 
 
+def test_copies_of_a_page_count_once(spark):
+    plain = "<body><h2>Title</h2>" + "".join(f"<p>paragraph {i} of a page without an article</p>" for i in range(5)) + "</body>"
+    lists = "<article><h1>T</h1><p>" + "long words " * 40 + "</p><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table><section>short end</section></article>"
+    own = "<body><div>Top bar</div><p>text number {} of its own, long enough to be most of what the page says</p><p>All rights reserved</p></body>"
+    pages = [(i, f"http://a.example/{i}", plain) for i in range(12)] + [(20, "http://a.example/20", plain)] * 3
+    pages += [(100 + i, f"http://b.example/{i}", lists) for i in range(12)] + [(200 + i, f"http://c.example/{i}", own.format(i)) for i in range(12)]
+    got = [(r.page_id, r.text) for r in html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    want = {i: html_main.main_text(h) if i < 200 else f"text number {i - 200} of its own, long enough to be most of what the page says" for i, _, h in pages}
+    assert sorted(got) == sorted((i, want[i]) for i, _, _ in pages) and "paragraph 4" in want[20] and "two cell short end" in want[100]
+
+
 def test_base_spans():
     for text in ["a@b.c.d x..@y-z.com @ a@b", "1.2.3.4.5 256.1.1.1 1.2.3", "4111 1111 1111 1111 4111111111111112", "+1 (212) 555-1234 5 +12 +" + "1" * 20, "", "é+4 9.9.9.9é@x.y"]:
         got = [s for s in pii.base_spans(text) if s[0] == 0]
