@@ -124,6 +124,15 @@ def test_shards(spark):
     assert all(zlib.crc32(text[r.doc_id].encode()) == r.text_crc32 for r in got.itertuples())
 
 
+def test_groups_are_cut_by_room_only(spark):
+    """Of 1000 rows on ten shards, groups of 60 stay whole and one of 333 is on four shards."""
+    texts = ["hot"] * 333 + [f"group {i}" for i in range(5) for _ in range(60)] + [f"pair {i // 2}" for i in range(200)] + [f"own {i}" for i in range(167)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), shards=10).toPandas()
+    assert sorted(got.doc_id) == list(range(1000)) and (got.groupby("shard").size() == 100).all()
+    on = got.assign(t=got.doc_id.map(dict(enumerate(texts)))).groupby("t").shard.nunique()
+    assert on["hot"] == 4 and (on.drop("hot") == 1).all()
+
+
 def test_spots(spark):
     docs = sorted((r[0], r[1]) for r in rows(spark))
     got = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()}
