@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_main, line_spread, mixing, pii, quality, sharding, spotsigs, token_index
+from . import decontaminate, hard_negatives, host_rules, html_main, line_spread, mixing, pii, prefix_trie, quality, sharding, spotsigs, token_index
 from .common import Stage, table
 from .ngram_join import ngram_links
 
@@ -65,6 +65,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -77,8 +89,17 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_main_text": op8_html_main_text,
         "op9_line_spread": op9_line_spread,
         "op10_pii": op10_pii,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_host_rules": op13_host_rules,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mixing": mixing.sql(), "op9_line_spread": line_spread.sql()}
+    return {
+        "op3_mixing": mixing.sql(),
+        "op9_line_spread": line_spread.sql(),
+        "op11_hard_negatives": hard_negatives.sql(),
+        "op12_prefix_trie": prefix_trie.sql(),
+        "op13_host_rules": host_rules.sql(),
+    }
