@@ -189,11 +189,10 @@ def catalogue() -> dict[str, str]:
     q["single_removal_scores_geo_P"] = _single_removal()
     q["find_blocks_report_k3_geo_density_theta1_P"] = find_blocks_report_sql("P", "geo", "density", 1.0, k=3)
     q["find_blocks_report_k2_geo_density_H"] = find_blocks_report_sql("H", "geo", "density", 2.0, k=2)
-    for way in ("delta", "shuffled"):
-        q[f"find_blocks_report_k2_{way}_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2)
-    for way in ("by_value", "early_exit"):
-        q[f"find_blocks_report_k2_{way}_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2, columns="* EXCLUDE (passes, passes_run)")
-    q["find_blocks_report_distinct_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, distinct=True)
+    for way, left_out in {"delta": "", "shuffled": "", "by_value": "passes_run", "early_exit": "passes, passes_run"}.items():
+        columns = f"* EXCLUDE ({left_out})" if left_out else "*"
+        q[f"find_blocks_report_k2_{way}_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2, columns=columns)
+    q["find_blocks_report_distinct_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, unseen="none")
     q["find_blocks_report_empty_L"] = _empty_report()
     q["dictionary_orders"] = _dictionary()
     q["rejected_lineitem"] = _rejected()

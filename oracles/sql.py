@@ -1,16 +1,15 @@
 """ANSI SQL (DuckDB dialect) text for the driver's correctness check.
 
 Each function returns SQL over the pre-registered test tables. The peeling
-search is unrolled into a fixed number of passes as CTEs; once every value
-is removed a pass selects nothing and changes nothing, so unrolling more
-passes than needed is harmless. Every pass removes its values one by one in the
-order (mass, value). No Spark here: this is the oracle.
+search is a recursive CTE with one row per value, which runs until every value is
+removed, however many passes that takes; the first pass alone is also written
+out as CTEs of its own, for the queries on its parts. Every pass removes its values one
+by one in the order (mass, value). No Spark here: this is the oracle.
 """
 
 from __future__ import annotations
 
 N3 = 3
-PASSES = 16
 
 
 def dbl(x) -> str:
@@ -53,7 +52,7 @@ RELATIONS = {"L": REL_L, "P": REL_P, "E": REL_E, "H": REL_H}
 
 def with_rel(rel: str, *ctes: str) -> str:
     parts = [RELATIONS[rel].strip()] + [c.strip() for c in ctes if c]
-    return "WITH " + ",\n".join(parts)
+    return "WITH RECURSIVE " + ",\n".join(parts)
 
 
 def unpivot(src: str, n: int = N3, measure: str = "v") -> str:
@@ -116,13 +115,13 @@ def digits(measure: str) -> int:
 
 
 # ---------------------------------------------------------------------------
-# the unrolled search
+# the first pass, part by part
 # ---------------------------------------------------------------------------
 
 
-def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, passes: int = PASSES,
-              prefix: str = "", cards: str = "CARDS", only_seen: bool = False) -> tuple[list[str], str]:
-    """CTEs of a full peel of relation ``src``; returns (ctes, name of the
+def first_pass_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, passes: int = 1,
+                    prefix: str = "", cards: str = "CARDS") -> tuple[list[str], str]:
+    """CTEs of the first pass over relation ``src``; returns (ctes, name of the
     last state). ``cards`` names the CTE of full cardinalities (mode, c) of
     the original relation; every name made here starts with ``prefix``.
 
@@ -143,7 +142,7 @@ def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, pa
         f"CAST(NULL AS DOUBLE) AS thr)"
     )
     seen = value_masses(src, n)
-    every = seen if only_seen else f"SELECT mode, unnest(range(0, c)) AS value FROM {cards}"
+    every = f"SELECT mode, unnest(range(0, c)) AS value FROM {cards}"
     ctes.append(
         f"{X}V0 AS MATERIALIZED (SELECT a.mode, a.value, CAST(coalesce(s.mass, 0) AS BIGINT) AS mass, "
         f"CAST(NULL AS INTEGER) AS rpass FROM "
@@ -227,11 +226,83 @@ def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, pa
     return ctes, f"{X}S{passes}"
 
 
-def members_cte(name: str, prefix: str, last_state: str, passes: int = PASSES) -> str:
-    S = last_state
-    V = f"{prefix}V{passes}"
+# ---------------------------------------------------------------------------
+# the whole search
+# ---------------------------------------------------------------------------
+
+
+def peel_ctes(src: str, measure: str, policy: str, theta: float, n: int = N3, prefix: str = "", cards: str = "CARDS", unseen: str = "rows") -> list[str]:
+    """CTEs of a full peel of relation ``src``, until no value is left.
+
+    ``{prefix}PEEL`` is the recursion: one row per value and pass, with the scalars of the
+    pass in every row; ``{prefix}V`` are its values after the last pass and ``{prefix}S``
+    its last scalars. Never-seen ids are ``rows`` of their own, one row of their number
+    with value -1 (``count``: they are removed first, and together, since each removal of one
+    raises the density), or left out (``none``).
+    """
+    X = prefix
+    full = [f"(SELECT c FROM {cards} WHERE mode = {i})" for i in range(n)]
+    m0, p0 = f"(SELECT M FROM {X}SMASS)", prod_expr(full)
+    seen = value_masses(src, n)
+    every = f"SELECT DISTINCT mode, value, CAST(1 AS BIGINT) AS cnt FROM ({unpivot('ORIGINAL', n)}) u"
+    if unseen == "rows":
+        every = f"SELECT mode, unnest(range(0, c)) AS value, CAST(1 AS BIGINT) AS cnt FROM {cards}"
+    if unseen == "count":
+        every = f"SELECT * FROM ({every}) e UNION ALL SELECT k.mode, CAST(-1 AS BIGINT), k.c - s.n FROM {cards} k JOIN (SELECT mode, count(*) AS n FROM ({every}) e GROUP BY mode) s ON k.mode = s.mode WHERE k.c > s.n"
+    names = ", ".join(f"c{i}" for i in range(n))
+    start = density_expr(measure, m0, p0, sum_expr(full), n, m0, p0)
+    base = (
+        f"SELECT CAST(0 AS INTEGER) AS p, a.mode, a.value, a.cnt, CAST(coalesce(s.mass, 0) AS BIGINT) AS mass, CAST(NULL AS INTEGER) AS rpass, {m0} AS M, "
+        + ", ".join(f"{c} AS c{i}" for i, c in enumerate(full))
+        + f", {start} AS best, CAST(NULL AS INTEGER) AS cut_pass, CAST(NULL AS BIGINT) AS cut_mass, CAST(NULL AS BIGINT) AS cut_value, CAST(0 AS INTEGER) AS passes_run, "
+        f"CAST(NULL AS INTEGER) AS chosen, CAST(NULL AS BIGINT) AS ck, CAST(NULL AS BIGINT) AS cs "
+        f"FROM ({every}) a LEFT JOIN ({seen}) s ON a.mode = s.mode AND a.value = s.value"
+    )
+    of_mode = lambda alias: "CASE " + " ".join(f"WHEN {alias}.mode = {i} THEN st.c{i}" for i in range(n)) + " END"
+    modes = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS mode" for i in range(n))
+    after = [f"(CASE WHEN ca.mode = {i} THEN st.c{i} - ca.k ELSE st.c{i} END)" for i in range(n)]
+    cur = [f"st.c{i}" for i in range(n)]
+    scaled = f"({prod_expr(cur)} / CAST({of_mode('g')} AS DOUBLE) * CAST({of_mode('g')} - g.k AS DOUBLE))"
+    score = density_expr(measure, "(st.M - g.s)", scaled, f"({sum_expr(cur)} - g.k)", n, m0, p0)
+    pol = f"CAST({of_mode('g')} AS DOUBLE)" if policy == "cardinality" else score
+    gone = "(x.mode = ch.mode AND CAST(x.mass AS DOUBLE) <= ch.thr)"
+    alive = " AND ".join(f"b.a{i} IN (SELECT value FROM alive WHERE mode = {i})" for i in range(n))
+    step = f"""
+WITH cur AS MATERIALIZED (SELECT * FROM {X}PEEL),
+st AS MATERIALIZED (SELECT any_value(p) AS p, any_value(M) AS M, {", ".join(f"any_value(c{i}) AS c{i}" for i in range(n))}, any_value(best) AS best,
+    any_value(cut_pass) AS cut_pass, any_value(cut_mass) AS cut_mass, any_value(cut_value) AS cut_value, any_value(passes_run) AS passes_run FROM cur),
+th AS (SELECT t.mode, CAST(st.M AS DOUBLE) * {dbl(theta)} / CAST({of_mode('t')} AS DOUBLE) AS thr FROM ({modes}) t CROSS JOIN st WHERE {of_mode('t')} > 0),
+ca AS (SELECT v.mode, v.mass, v.value, CAST(sum(v.cnt) OVER w AS BIGINT) AS k, CAST(sum(v.cnt * v.mass) OVER w AS BIGINT) AS s
+    FROM cur v JOIN th ON v.mode = th.mode WHERE v.rpass IS NULL AND CAST(v.mass AS DOUBLE) <= th.thr
+    WINDOW w AS (PARTITION BY v.mode ORDER BY v.mass, v.value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS MATERIALIZED (SELECT ca.*, {density_expr(measure, "(st.M - ca.s)", prod_expr(after), sum_expr(after), n, m0, p0)} AS d FROM ca CROSS JOIN st),
+be AS (SELECT mode, d, mass, value FROM d QUALIFY row_number() OVER (PARTITION BY mode ORDER BY d DESC, k) = 1),
+g AS (SELECT mode, max(k) AS k, max(s) AS s FROM d GROUP BY mode),
+ch AS MATERIALIZED (SELECT g.mode, g.k, g.s, be.d, be.mass, be.value, th.thr, {pol} AS score
+    FROM g CROSS JOIN st JOIN be ON g.mode = be.mode JOIN th ON g.mode = th.mode ORDER BY score DESC, g.mode DESC LIMIT 1),
+alive AS MATERIALIZED (SELECT x.mode, x.value FROM cur x CROSS JOIN ch WHERE x.rpass IS NULL AND NOT {gone}),
+b AS MATERIALIZED (SELECT b.* FROM {src} b WHERE {alive}),
+nm AS MATERIALIZED ({value_masses("b", n)})
+SELECT st.p + 1, x.mode, x.value, x.cnt, CASE WHEN x.rpass IS NOT NULL OR {gone} THEN x.mass ELSE coalesce(nm.mass, 0) END,
+    CASE WHEN x.rpass IS NOT NULL THEN x.rpass WHEN {gone} THEN st.p END, st.M - ch.s,
+    {", ".join(f"st.c{i} - CASE WHEN ch.mode = {i} THEN ch.k ELSE 0 END" for i in range(n))},
+    CASE WHEN ch.d > st.best THEN ch.d ELSE st.best END, CASE WHEN ch.d > st.best THEN st.p ELSE st.cut_pass END,
+    CASE WHEN ch.d > st.best THEN ch.mass ELSE st.cut_mass END, CASE WHEN ch.d > st.best THEN ch.value ELSE st.cut_value END,
+    st.passes_run + CASE WHEN st.p = 0 OR st.M > 0 THEN 1 ELSE 0 END, ch.mode, ch.k, ch.s
+FROM cur x CROSS JOIN st CROSS JOIN ch LEFT JOIN nm ON x.mode = nm.mode AND x.value = nm.value"""
+    return [
+        f"{X}SMASS AS (SELECT CAST(coalesce(sum(v), 0) AS BIGINT) AS M FROM {src})",
+        f"{X}PEEL AS ({base}\nUNION ALL ({step}))",
+        f"{X}V AS MATERIALIZED (SELECT * FROM {X}PEEL WHERE p = (SELECT max(p) FROM {X}PEEL))",
+        f"{X}S AS MATERIALIZED (SELECT max(p) AS passes, any_value(best) AS best, any_value(cut_pass) AS cut_pass, any_value(cut_mass) AS cut_mass, "
+        f"any_value(cut_value) AS cut_value, any_value(passes_run) AS passes_run FROM {X}V)",
+    ]
+
+
+def members_cte(name: str, prefix: str) -> str:
+    S = f"{prefix}S"
     return (
-        f"{name} AS MATERIALIZED (SELECT v.mode, v.value FROM {V} v WHERE (SELECT cut_pass FROM {S}) IS NULL "
+        f"{name} AS MATERIALIZED (SELECT v.mode, v.value, v.cnt FROM {prefix}V v WHERE (SELECT cut_pass FROM {S}) IS NULL "
         f"OR v.rpass IS NULL OR v.rpass > (SELECT cut_pass FROM {S}) "
         f"OR (v.rpass = (SELECT cut_pass FROM {S}) AND (v.mass, v.value) > (SELECT (cut_mass, cut_value) FROM {S})))"
     )
@@ -241,19 +312,18 @@ def inside(alias: str, members: str, n: int = N3) -> str:
     return " AND ".join(f"{alias}.a{i} IN (SELECT value FROM {members} WHERE mode = {i})" for i in range(n))
 
 
-def search(rel: str, measure: str, policy: str, theta: float, k: int = 1, n: int = N3, distinct: bool = False) -> tuple[list[str], list[tuple[str, str]]]:
+def search(rel: str, measure: str, policy: str, theta: float, k: int = 1, n: int = N3, unseen: str = "rows") -> tuple[list[str], list[tuple[str, str, str]]]:
     """CTEs for k blocks: each search runs on what the earlier blocks left.
-    Returns (ctes, [(members cte, last state) per block])."""
-    ctes = [distinct_cards_cte(rel, n) if distinct else cards_cte(rel, n)]
+    Returns (ctes, [(members cte, prefix, relation searched) per block])."""
+    ctes = [distinct_cards_cte(rel, n) if unseen == "none" else cards_cte(rel, n), f"ORIGINAL AS (SELECT * FROM {rel})"]
     out = []
     src = rel
     for b in range(1, k + 1):
         prefix = "" if b == 1 else f"K{b}_"
-        pc, last = peel_ctes(src, measure, policy, theta, n, prefix=prefix, only_seen=distinct)
-        ctes += pc
+        ctes += peel_ctes(src, measure, policy, theta, n, prefix=prefix, unseen=unseen)
         mem = f"MEMBERS{b}"
-        ctes.append(members_cte(mem, prefix, last))
-        out.append((mem, last))
+        ctes.append(members_cte(mem, prefix))
+        out.append((mem, prefix, src))
         if b < k:
             nxt = f"R{b + 1}"
             ctes.append(f"{nxt} AS MATERIALIZED (SELECT r.* FROM {src} r WHERE NOT ({inside('r', mem, n)}))")
@@ -261,20 +331,20 @@ def search(rel: str, measure: str, policy: str, theta: float, k: int = 1, n: int
     return ctes, out
 
 
-def report_select(rel: str, measure: str, blocks: list[tuple[str, str]], n: int = N3) -> tuple[list[str], str]:
+def report_select(rel: str, measure: str, blocks: list[tuple[str, str, str]], n: int = N3) -> tuple[list[str], str]:
     full = [f"(SELECT c FROM CARDS WHERE mode = {i})" for i in range(n)]
     p0 = prod_expr(full)
     m0 = "(SELECT M FROM SMASS)"
     dg = 3 if rel == "H" else digits(measure)
     ctes, selects = [], []
-    for b, (mem, last) in enumerate(blocks, start=1):
+    for b, (mem, prefix, src) in enumerate(blocks, start=1):
+        last = f"{prefix}S"
         bt = f"BT{b}"
         ctes.append(f"{bt} AS MATERIALIZED (SELECT r.* FROM {rel} r WHERE {inside('r', mem, n)})")
-        cards = [f"(SELECT count(*) FROM {mem} WHERE mode = {i})" for i in range(n)]
+        cards = [f"(SELECT coalesce(sum(cnt), 0) FROM {mem} WHERE mode = {i})" for i in range(n)]
         mass = f"(SELECT coalesce(sum(v), 0) FROM {bt})"
         dens = density_expr(measure, mass, prod_expr(cards), sum_expr(cards), n, m0, p0)
-        prefix = last[: -len(f"S{PASSES}")]
-        search_mass = f"((SELECT M FROM {prefix}SMASS) - (SELECT M FROM {prefix}S0) + (SELECT coalesce(sum(v), 0) FROM {prefix}B0 r WHERE {inside('r', mem, n)}))"
+        search_mass = f"(SELECT coalesce(sum(v), 0) FROM {src} r WHERE {inside('r', mem, n)})"
         card_cols = ", ".join(f"CAST({c} AS BIGINT) AS card_{i}" for i, c in enumerate(cards))
         selects.append(
             f"SELECT CAST({b} AS INTEGER) AS block, {card_cols}, CAST({mass} AS BIGINT) AS mass, "
@@ -290,15 +360,15 @@ def find_block_sql(rel: str, measure: str, policy: str, theta: float) -> str:
     return with_rel(rel, *ctes) + f"\nSELECT mode, value FROM {blocks[0][0]}"
 
 
-def find_blocks_report_sql(rel: str, measure: str, policy: str, theta: float, k: int = 1, columns: str = "*", distinct: bool = False) -> str:
-    ctes, blocks = search(rel, measure, policy, theta, k, distinct=distinct)
+def find_blocks_report_sql(rel: str, measure: str, policy: str, theta: float, k: int = 1, columns: str = "*", unseen: str = "rows") -> str:
+    ctes, blocks = search(rel, measure, policy, theta, k, unseen=unseen)
     rc, body = report_select(rel, measure, blocks)
     return with_rel(rel, *ctes, *rc) + f"\nSELECT {columns} FROM ({body}) r"
 
 
 def first_pass_sql(rel: str, measure: str, policy: str, theta: float, select: str) -> str:
     ctes = [cards_cte(rel)]
-    pc, _ = peel_ctes(rel, measure, policy, theta, passes=1)
+    pc, _ = first_pass_ctes(rel, measure, policy, theta)
     return with_rel(rel, *ctes, *pc) + "\n" + select
 
 
