@@ -5,7 +5,10 @@ Strategy, decided from exact row counts that the caller already knows:
 
 * set size <= ``broadcast_rows``: broadcast hash semi / anti / outer join,
   no exchange at all;
-* larger: shuffle join on the key. Values that hold a large share of the
+* larger, but its bitmaps take at most ``bitmap_bytes``: ids are dense integers, so the
+  set is cut into chunks of CHUNK ids with one bit for each, the chunks are broadcast and
+  the bit is tested in the join: no exchange either, at a bit an id instead of a hashed row;
+* larger still: shuffle join on the key. Values that hold a large share of the
   tuples (the *hot* set: tuples >= total / ``hot_parts``, so at most
   ``hot_parts`` of them exist) are decided by a broadcast join first; their tuples then get one of ``salts`` fake negative
   keys, so the shuffle spreads them evenly instead of sending them all to one
@@ -14,7 +17,7 @@ Strategy, decided from exact row counts that the caller already knows:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options
@@ -22,6 +25,56 @@ from ..config import DEFAULT, Options
 _HOT = "_hot_in"
 _JK = "_jk"
 _IN = "_in"
+_CHUNK = "_chunk"
+_WORDS = "_words"
+
+CHUNK = 1 << 15  # ids of a chunk: what Spark's bitmap functions put into one bitmap
+CHUNK_BYTES = CHUNK // 8 + 128  # of a chunk as a row
+
+
+# ---------------------------------------------------------------------------
+# bitmaps
+# ---------------------------------------------------------------------------
+
+
+def bitmaps(values: DataFrame) -> DataFrame:
+    """(_chunk, _words): the set as bitmaps, 512 words of 64 bits a chunk."""
+    chunks = values.groupBy(F.bitmap_bucket_number("value").alias(_CHUNK)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("bits"))
+    word = lambda i: F.conv(F.substring(F.col("text"), i * 16 + 1, F.lit(16)), 16, -10).cast("long")
+    return chunks.select(_CHUNK, F.hex("bits").alias("text")).select(_CHUNK, F.transform(F.sequence(F.lit(0), F.lit(CHUNK // 64 - 1)), word).alias(_WORDS))
+
+
+def _bit(key: str) -> Column:
+    """Is the bit of ``key`` set in the chunk's words? A word's first byte is its highest."""
+    at = F.bitmap_bit_position(F.col(key)).cast("int")
+    bit = (F.lit(7) - F.shiftright(at.bitwiseAND(63), 3)) * 8 + at.bitwiseAND(7)
+    return F.getbit(F.get(F.col(_WORDS), F.shiftright(at, 6)), bit) == 1
+
+
+def bitmaps_fit(values: DataFrame, n_values: int, card: int | None, opts: Options) -> bool:
+    """Do the bitmaps of ``values`` take at most ``bitmap_bytes``? Known from the largest
+    id (``card`` - 1) or the number of values if those bound the chunks tightly enough; else the
+    chunks are counted."""
+    most = opts.bitmap_bytes // CHUNK_BYTES
+    if most == 0 or n_values > most * CHUNK:
+        return False
+    bound = n_values if card is None else min(n_values, card // CHUNK + 2)
+    return bound <= most or values.select(F.bitmap_bucket_number("value").alias("c")).distinct().count() <= most
+
+
+def _by_bitmap(df: DataFrame, key: str, values: DataFrame, how: str) -> DataFrame:
+    chunks = F.broadcast(bitmaps(values))
+    return df.join(chunks, (F.bitmap_bucket_number(F.col(key)) == F.col(_CHUNK)) & _bit(key), how)
+
+
+# ---------------------------------------------------------------------------
+# sets of values
+# ---------------------------------------------------------------------------
+
+
+def shuffles(values: DataFrame, n_values: int, opts: Options, card: int | None = None) -> bool:
+    """Is the set too large for both kinds of broadcast?"""
+    return n_values > opts.broadcast_rows and not bitmaps_fit(values, n_values, card, opts)
 
 
 def _salted_key(df: DataFrame, key: str, salts: int):
@@ -39,6 +92,7 @@ def restrict(
     keep: bool,
     hot: DataFrame | None = None,
     opts: Options = DEFAULT,
+    card: int | None = None,
 ) -> DataFrame:
     """Tuples of ``df`` whose ``key`` is (keep=True) or is not (keep=False) in
     ``values`` (one distinct column ``value``)."""
@@ -46,6 +100,8 @@ def restrict(
     right = values.select(F.col("value").alias(key))
     if n_values <= opts.broadcast_rows:
         return df.join(F.broadcast(right), key, how)
+    if bitmaps_fit(values, n_values, card, opts):
+        return _by_bitmap(df, key, values, how)
     if hot is None:
         return df.join(right, key, how)
     cols = df.columns
@@ -69,13 +125,17 @@ def flag(
     *,
     hot: DataFrame | None = None,
     opts: Options = DEFAULT,
+    card: int | None = None,
 ) -> DataFrame:
     """``df`` plus a non-null boolean column ``name``: is ``key`` in ``values``."""
     cols = df.columns
     right = values.select(F.col("value").alias(key), F.lit(True).alias(_IN))
-    if n_values <= opts.broadcast_rows or hot is None:
-        r = F.broadcast(right) if n_values <= opts.broadcast_rows else right
-        return df.join(r, key, "left").select(*cols, F.coalesce(F.col(_IN), F.lit(False)).alias(name))
+    if n_values <= opts.broadcast_rows:
+        return df.join(F.broadcast(right), key, "left").select(*cols, F.coalesce(F.col(_IN), F.lit(False)).alias(name))
+    if bitmaps_fit(values, n_values, card, opts):
+        return _by_bitmap(df, key, values, "left").select(*cols, F.col(_CHUNK).isNotNull().alias(name))
+    if hot is None:
+        return df.join(right, key, "left").select(*cols, F.coalesce(F.col(_IN), F.lit(False)).alias(name))
     x = df.join(F.broadcast(hot.select(F.col("value").alias(key), F.col("inset").alias(_HOT))), key, "left")
     x = x.withColumn(_JK, _salted_key(x, key, opts.salts))
     r = values.select(F.col("value").alias(_JK), F.lit(True).alias(_IN))

@@ -74,12 +74,23 @@ def _per_mode_sql(mapping: dict[int, float | int], default: str = "NULL") -> str
 
 def histogram(alive_values: DataFrame, phantoms: Sequence[int]) -> DataFrame:
     """(mode, mass, cnt) over alive values plus the never-seen ones at mass 0."""
-    spark = alive_values.sparkSession
-    rows = alive_values.select("mode", "mass", F.lit(1).cast("long").alias("cnt"))
+    return add_unseen(alive_values.select("mode", "mass", F.lit(1).cast("long").alias("cnt")), phantoms, always=True)
+
+
+def add_unseen(hist: DataFrame, phantoms: Sequence[int], always: bool = False) -> DataFrame:
+    """Histogram rows with the never-seen values at mass 0, each (mode, mass) once."""
     ph = [(m, 0, int(c)) for m, c in enumerate(phantoms) if c > 0]
     if ph:
-        rows = rows.unionByName(spark.createDataFrame(ph, "mode int, mass long, cnt long"))
-    return rows.groupBy("mode", "mass").agg(F.sum("cnt").cast("long").alias("cnt"))
+        hist = hist.unionByName(hist.sparkSession.createDataFrame(ph, "mode int, mass long, cnt long"))
+    return hist.groupBy("mode", "mass").agg(F.sum("cnt").cast("long").alias("cnt")) if ph or always else hist
+
+
+def moved_histogram(hist: DataFrame, changed: DataFrame) -> DataFrame:
+    """``hist`` after the masses of some values have changed (``changed``: mode, old, mass):
+    each goes from the row of its old mass to that of its new one."""
+    moves = F.array(F.struct(F.col("old").alias("mass"), F.lit(-1).cast("long").alias("cnt")), F.struct("mass", F.lit(1).cast("long").alias("cnt")))
+    rows = hist.select("mode", "mass", "cnt").unionByName(changed.select("mode", F.inline(moves)))
+    return rows.groupBy("mode", "mass").agg(F.sum("cnt").cast("long").alias("cnt")).where("cnt <> 0")
 
 
 def candidates(hist: DataFrame, state: PassState) -> DataFrame:

@@ -21,23 +21,36 @@ class Profile:
     mass: int
     cards: tuple[int, ...]  # max + 1 per dimension
     invalid: int = 0
+    coordinates: int | None = None  # estimated number of distinct coordinates
+
+
+def coordinates(n_dims: int):
+    """Estimated number of distinct coordinates, as an aggregate."""
+    return F.approx_count_distinct(F.xxhash64(*[F.col(f"a{i}") for i in range(n_dims)]))
 
 
 def profile_df(rel: Relation, allow_zero: bool = False) -> DataFrame:
     """One-row DataFrame: tuples, mass, card_i = max(a_i)+1, invalid count."""
+    return rel.df.agg(*_profile_columns(rel, allow_zero))
+
+
+def _profile_columns(rel: Relation, allow_zero: bool = False) -> list:
     aggs = [F.count(F.lit(1)).alias("tuples"), F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("mass")]
     aggs += [F.coalesce(F.max(d) + 1, F.lit(0)).cast("long").alias(f"card_{i}") for i, d in enumerate(rel.dims)]
-    aggs += validation_columns(rel, allow_zero)
-    return rel.df.agg(*aggs)
+    return aggs + validation_columns(rel, allow_zero)
+
+
+def profile(rel: Relation, allow_zero: bool = False, estimate: bool = False) -> Profile:
+    """The profile as numbers; ``estimate`` adds the number of distinct coordinates."""
+    df = profile_df(rel, allow_zero)
+    if estimate:
+        df = rel.df.agg(*_profile_columns(rel, allow_zero), coordinates(rel.n_dims).alias("coordinates"))
+    return profile_of(df.collect()[0].asDict(), rel.n_dims)
 
 
-def profile(rel: Relation, allow_zero: bool = False) -> Profile:
-    row = profile_df(rel, allow_zero).collect()[0]
+def profile_of(row: dict, n_dims: int) -> Profile:
     return Profile(
-        int(row["tuples"]),
-        int(row["mass"]),
-        tuple(int(row[f"card_{i}"]) for i in range(rel.n_dims)),
-        int(row["invalid"] or 0),
+        int(row["tuples"]), int(row["mass"] or 0), tuple(int(row[f"card_{i}"] or 0) for i in range(n_dims)), int(row.get("invalid") or 0), row.get("coordinates")
     )
 
 
@@ -65,8 +78,8 @@ def value_masses_filled(df: DataFrame, n_dims: int, cards: tuple[int, ...]) -> D
     """A3 plus the never-seen ids 0..card-1 with mass 0.
 
     Only for dense ids: with sparse ids ``card`` is the largest id + 1 and the
-    range grows with it. The search itself never builds this (phantoms are
-    kept as per-dimension counts).
+    range grows with it; ``operators.ranges.value_mass_ranges`` has the unseen ids as
+    intervals. The search itself keeps them as per-dimension counts.
     """
     spark = df.sparkSession
     seen = value_masses(df, n_dims)

@@ -221,7 +221,7 @@ def _block1(spark, sf_dir, rel="P", measure="geo", policy="density", theta=2.0):
 
 def q_block_tuples(spark, sf_dir):
     ctx, b = _block1(spark, sf_dir)
-    return block_tuples(ctx, ctx.original, b.members, b.found.cards, ctx.all_values, ctx.tuples)
+    return block_tuples(ctx, ctx.original, b.members, b.sizes, ctx.all_values, ctx.tuples)
 
 
 def q_block_mass(spark, sf_dir):
@@ -230,18 +230,18 @@ def q_block_mass(spark, sf_dir):
 
 
 def q_block_cardinalities(spark, sf_dir):
-    ctx, b = _block1(spark, sf_dir)
-    return b.members.groupBy("mode").agg(F.count(F.lit(1)).alias("n_values"))
+    res = result(spark, sf_dir, "P", "geo", "density", 2.0, 1)
+    return res.member_ranges().groupBy("mode").agg(F.sum(F.col("to") - F.col("from") + 1).alias("n_values"))
 
 
 def q_deflate(spark, sf_dir):
     ctx, b = _block1(spark, sf_dir)
-    return deflate(ctx, ctx.original, b.members, b.found.cards, ctx.all_values, ctx.tuples)
+    return deflate(ctx, ctx.original, b.members, b.sizes, ctx.all_values, ctx.tuples)
 
 
 def q_find_block(spark, sf_dir, rel, measure, policy, theta=2.0):
     res = result(spark, sf_dir, rel, measure, policy, theta, 1)
-    return res.blocks[0].members.select("mode", "value")
+    return res.members().select("mode", "value")
 
 
 def rounded_report(res: Result, places: int | None = None) -> DataFrame:
@@ -264,7 +264,7 @@ def q_best_density(spark, sf_dir, rel, measure, policy, theta=2.0, k=2):
 #: Whole searches by other ways than the default.
 WAYS = {
     "delta": Options(update="delta"),
-    "shuffled": Options(broadcast_rows=3, hot_parts=16, salts=4),
+    "shuffled": Options(broadcast_rows=3, bitmap_bytes=0, hot_parts=16, salts=4),
     "by_value": Options(cut_path="values"),
     "early_exit": Options(early_exit=True),
 }

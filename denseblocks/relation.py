@@ -32,6 +32,9 @@ class Relation:
     # True when df comes out of shuffles (e.g. an aggregation): every job of a
     # search reads it, so it is checkpointed once instead of recomputed.
     derived: bool = False
+    # What the job that stored the relation has counted (``operators.profile.Profile``),
+    # so that a search need not read it for that again.
+    profile: object = None
 
     @property
     def dims(self) -> list[str]:
@@ -49,6 +52,8 @@ def whole(df: DataFrame, column: str) -> Column:
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return c.cast("long")
     n = c.try_cast("long")
+    if kind.startswith("decimal"):  # compared as decimals: a double would lose a fraction beyond 2^53
+        return F.when(n.cast("decimal(38,18)" if kind.endswith(",18)") else "decimal(38,0)") == c, n)
     return F.when(n.cast("double") == c.try_cast("double"), n)
 
 

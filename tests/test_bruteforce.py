@@ -30,7 +30,7 @@ def test_matches_bruteforce(spark, case):
     _, n, rows, measure, policy, theta = case
     k = 2
     expected = bruteforce.find_blocks(rows, n, k, measure, policy, theta)
-    opts = Options(broadcast_rows=1) if case[0] % 2 else Options()
+    opts = [Options(merge="never"), Options(broadcast_rows=1, bitmap_bytes=0), Options(broadcast_rows=1, merge="always"), Options(histogram="delta")][case[0] % 4]
     res = find_blocks(relation_of(spark, rows, n), k=k, measure=measure, policy=policy, theta=theta, opts=opts)
     mem = res.members().collect()
     rep = {r["block"]: r for r in res.report().collect()}

@@ -40,6 +40,6 @@ def test_huge_masses(spark):
 
     rows = [(i % 5, i % 3, 1 << 50) for i in range(20)]
     rel = from_columns(spark.createDataFrame(rows, "a long, b long, w long"), ["a", "b"], "w")
-    forced = find_blocks(rel, 1, "geo", "density", 2.0, opts=Options(broadcast_rows=0, salts=4))
+    forced = find_blocks(rel, 1, "geo", "density", 2.0, opts=Options(broadcast_rows=0, bitmap_bytes=0, salts=4))
     plain = find_blocks(rel, 1, "geo", "density", 2.0)
     assert forced.report().drop("seconds").collect() == plain.report().drop("seconds").collect()

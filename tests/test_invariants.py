@@ -38,11 +38,11 @@ def test_salted_shuffle_join_equals_broadcast(spark):
     hot = mem.hot_values(ctx.all_values, 0, ctx.tuples, vals, Options(hot_parts=8))
     assert hot.count() < 8
     b = mem.restrict(ctx.original, "a0", vals, n, keep=True)
-    s = mem.restrict(ctx.original, "a0", vals, n, keep=True, hot=hot, opts=Options(broadcast_rows=0, hot_parts=8, salts=4))
-    a = mem.restrict(ctx.original, "a0", vals, n, keep=False, hot=hot, opts=Options(broadcast_rows=0, hot_parts=8, salts=4))
+    s = mem.restrict(ctx.original, "a0", vals, n, keep=True, hot=hot, opts=Options(broadcast_rows=0, bitmap_bytes=0, hot_parts=8, salts=4))
+    a = mem.restrict(ctx.original, "a0", vals, n, keep=False, hot=hot, opts=Options(broadcast_rows=0, bitmap_bytes=0, hot_parts=8, salts=4))
     assert sorted(b.collect()) == sorted(s.collect())
     assert s.count() + a.count() == ctx.original.count()
-    f = mem.flag(ctx.original, "a0", vals, n, "f", hot=hot, opts=Options(broadcast_rows=0, hot_parts=8, salts=4))
+    f = mem.flag(ctx.original, "a0", vals, n, "f", hot=hot, opts=Options(broadcast_rows=0, bitmap_bytes=0, hot_parts=8, salts=4))
     assert f.filter("f").count() == b.count()
 
 
@@ -121,6 +121,6 @@ def test_shuffle_paths_give_the_same_blocks(spark):
     broadcast limit, few hot-key partitions) for a whole k = 2 search."""
     rel = planted_relation(spark, SF)
     a = blocks_summary(find_blocks(rel, k=2, measure="geo", policy="cardinality", theta=2.0))
-    forced = Options(broadcast_rows=3, hot_parts=16, salts=4)
+    forced = Options(broadcast_rows=3, bitmap_bytes=0, hot_parts=16, salts=4)
     b = blocks_summary(find_blocks(rel, k=2, measure="geo", policy="cardinality", theta=2.0, opts=forced))
     assert a == b

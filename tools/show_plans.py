@@ -45,7 +45,7 @@ def main() -> None:
     state = PassState(ctx.mass, ctx.cards, ctx.phantoms, 2.0)
     _, n, A_kept, logged, B1, removed = Q._first_pass(spark, sf)
     vals = logged.select("value")
-    forced = Options(broadcast_rows=0, hot_parts=64, salts=16)
+    forced = Options(broadcast_rows=0, bitmap_bytes=0, hot_parts=64, salts=16)
     hot = mem.hot_values(ctx.all_values, n, ctx.tuples, vals, forced)
     sections = [
         ("Profile (S4, A1)", profile_df(rel)),
