@@ -24,9 +24,10 @@ class Profile:
     coordinates: int | None = None  # estimated number of distinct coordinates
 
 
-def coordinates(n_dims: int):
-    """Estimated number of distinct coordinates, as an aggregate."""
-    return F.approx_count_distinct(F.xxhash64(*[F.col(f"a{i}") for i in range(n_dims)]))
+def coordinates(n_dims: int, among=None):
+    """Estimated number of distinct coordinates (of the rows ``among``), as an aggregate."""
+    key = F.xxhash64(*[F.col(f"a{i}") for i in range(n_dims)])
+    return F.approx_count_distinct(key if among is None else F.when(among, key))
 
 
 def profile_df(rel: Relation, allow_zero: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
     spark-submit -m denseblocks.plans.job INPUT OUTPUT N MEASURE POLICY THETA K \
         [--format text|parquet|csv] [--delimiter ,] [--dims c1,c2 --measure-column m] \
-        [--shuffle-partitions P] [--event-log DIR] [--malformed failfast|drop] [--cardinality max_plus_one|distinct]
+        [--shuffle-partitions P] [--event-log DIR] [--malformed failfast|drop] [--cardinality max_plus_one|distinct] \
+        [--merge auto|always|never] [--layout plain|bucketed] [--histogram recompute|delta] [--journal DIR] [--publish]
 
 Positional arguments follow the reference's order: input path, output path,
 number of dimensions, density measure (ari|geo|susp), policy
@@ -10,7 +11,10 @@ number of dimensions, density measure (ari|geo|susp), policy
 ``a0,..,aN-1,v`` lines; parquet/csv input names its columns with --dims and
 --measure-column (columns that are not integers are dictionary-encoded; the output has
 their keys, and the dictionaries). Parsed or encoded input is kept once as Parquet in
-spark.checkpoint.dir. --event-log names a folder for Spark's event log.
+spark.checkpoint.dir. --event-log names a folder for Spark's event log. --journal names a
+shared folder in which every pass is written down: the same command, started again after a
+failure, goes on from there. --publish writes all outputs to a fresh folder under OUTPUT and
+makes them visible at once by a manifest (sources.sinks).
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import SparkSession
 from ..config import Options, ensure_checkpoint_dir, stored
 from ..relation import from_columns
 from ..sources.encode import encode_column
-from ..sources.sinks import write_blocks
+from ..sources.sinks import publish_blocks, write_blocks
 from ..sources.text import read_relation_text
 from .search import find_blocks
 
@@ -48,6 +52,12 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--cardinality", default="max_plus_one", choices=["max_plus_one", "distinct"])
     p.add_argument("--event-log", default=None, help="folder for Spark's event log (a session that this job starts)")
     p.add_argument("--broadcast-rows", type=int, default=Options.broadcast_rows)
+    p.add_argument("--bitmap-bytes", type=int, default=Options.bitmap_bytes)
+    p.add_argument("--merge", default=Options.merge, choices=["auto", "always", "never"])
+    p.add_argument("--layout", default=Options.layout, choices=["plain", "bucketed"])
+    p.add_argument("--histogram", default=Options.histogram, choices=["recompute", "delta"])
+    p.add_argument("--journal", default=None, help="shared folder to write every pass down in, and to go on from")
+    p.add_argument("--publish", action="store_true", help="make all outputs visible at once, by a manifest")
     a = p.parse_args(argv)
     if a.theta < 1.0:
         p.error("theta must be at least 1")
@@ -62,12 +72,20 @@ def main(argv: list[str] | None = None) -> int:
     if a.event_log:
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", a.event_log)
     spark = builder.getOrCreate()
-    if a.shuffle_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(a.shuffle_partitions))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(a.shuffle_partitions or before))
+    try:
+        return run(spark, a)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> int:
     ensure_checkpoint_dir(spark)
     t0 = time.time()
     if a.format == "text":
         rel, rejected = read_relation_text(spark, a.input, a.dimensions, a.delimiter, a.malformed)
+        print("Lines: " + ", ".join(f"{n} {c}" for n, c in rel.counts.items()))
         if a.malformed == "drop":
             rejected.write.mode("overwrite").csv(f"{a.output.rstrip('/')}/rejected")
     else:
@@ -83,12 +101,13 @@ def main(argv: list[str] | None = None) -> int:
                 df, dicts[i] = encode_column(df, d)
         rel = from_columns(df, dims, a.measure_column)
         rel = replace(rel, df=stored(rel.df, "input")[0], dictionaries=dicts, scan_based=True)
-    opts = Options(broadcast_rows=a.broadcast_rows)
-    res = find_blocks(rel, a.blocks, a.measure, a.policy, a.theta, opts=opts, cardinality=a.cardinality)
+    opts = Options(broadcast_rows=a.broadcast_rows, bitmap_bytes=a.bitmap_bytes, merge=a.merge, layout=a.layout, histogram=a.histogram)
+    res = find_blocks(rel, a.blocks, a.measure, a.policy, a.theta, opts=opts, cardinality=a.cardinality, journal=a.journal)
     print(res.text())
     t1 = time.time()
     print(f"Writing members and tuples to {a.output}")
-    write_blocks(res, a.output)
+    (publish_blocks if a.publish else write_blocks)(res, a.output)
+    res.close()
     print(f"Done: output took {time.time() - t1:.3f} s, the whole job {time.time() - t0:.3f} s")
     return 0
 

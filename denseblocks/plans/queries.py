@@ -27,12 +27,14 @@ from ..operators.peel import (
     mode_stats_df,
     prefix_densities,
 )
+from ..operators.masks import per_block
+from ..operators.ranges import value_mass_ranges
 from ..operators.profile import mass_check, mass_histogram, profile, profile_df, value_masses, value_masses_filled
 from ..relation import from_columns
 from ..sources.encode import dictionary, encode_column
-from ..sources.sinks import write_blocks
+from ..sources.sinks import publish_blocks, published, write_blocks
 from ..sources.tables import RELATIONS, planted_block, table
-from ..sources.text import classify_lines
+from ..sources.text import classify_lines, read_relation_text
 from . import job
 from .search import (
     Context,
@@ -45,6 +47,7 @@ from .search import (
     find_blocks,
     prepare,
     surviving_tuples,
+    tag_blocks,
 )
 
 def relation(spark: SparkSession, sf_dir: str, name: str):
@@ -267,6 +270,10 @@ WAYS = {
     "shuffled": Options(broadcast_rows=3, bitmap_bytes=0, hot_parts=16, salts=4),
     "by_value": Options(cut_path="values"),
     "early_exit": Options(early_exit=True),
+    # sets above the broadcast limit: by bitmaps, by tuples in buckets
+    "bitmap": Options(broadcast_rows=3),
+    "bucketed": Options(broadcast_rows=3, bitmap_bytes=0, hot_parts=16, layout="bucketed"),
+    "moved_histogram": Options(update="delta", histogram="delta"),
 }
 
 
@@ -276,6 +283,61 @@ def q_find_blocks_way(spark, sf_dir, way):
     return rep.drop(*{"by_value": ["passes_run"], "early_exit": ["passes", "passes_run"]}.get(way, []))
 
 
+def q_block_totals(spark, sf_dir, rel="P", measure="ari", policy="cardinality", theta=2.0, k=3):
+    """Mass and number of tuples of k blocks, from one scan of the relation."""
+    res = result(spark, sf_dir, rel, measure, policy, theta, k)
+    tagged = tag_blocks(res.ctx, res.ctx.rows, res.blocks, res.ctx.n_rows)
+    return per_block(tagged, k).groupBy("block").agg(F.sum("v").alias("mass"), F.sum("n").alias("tuples"))
+
+
+def q_blocks_tuples(spark, sf_dir, rel="P", measure="ari", policy="cardinality", theta=2.0, k=3):
+    """The tuples of k blocks."""
+    return result(spark, sf_dir, rel, measure, policy, theta, k).tuples()
+
+
+def q_searched_rows(spark, sf_dir, rel="F"):
+    """Tuples of a relation, and the rows that a search of it works on."""
+    ctx = context(spark, sf_dir, rel)
+    return ctx.rows.agg(F.sum("n").alias("tuples"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_member_ranges(spark, sf_dir, rel="G", k=6):
+    return result(spark, sf_dir, rel, "geo", "density", 2.0, k).member_ranges()
+
+
+def q_value_mass_ranges(spark, sf_dir, rel):
+    ctx = context(spark, sf_dir, rel)
+    return value_mass_ranges(ctx.original, ctx.n_dims, ctx.cards)
+
+
+def q_passes(spark, sf_dir, opts=DEFAULT):
+    """What each pass did, and the rows that its statistics have read."""
+    log = result(spark, sf_dir, "P", "geo", "density", 2.0, 2, opts).passes()
+    return log.select("block", "pass", "mode", "k", "s", "mass_before", "alive_0", "alive_1", "alive_2", "stat_rows")
+
+
+class Stopped(Exception):
+    pass
+
+
+def q_resumed(spark, sf_dir, theta=1.3):
+    """A search that is stopped twice and taken up again from its journal."""
+    folder = _folder(spark, "journal")
+    rel = lambda: relation(spark, sf_dir, "P")
+    for stop in ((1, 2), (2, 1)):
+
+        def after_pass(block, done):
+            if (block, done) == stop:
+                raise Stopped
+
+        try:
+            find_blocks(rel(), 2, "geo", "density", theta, journal=folder, after_pass=after_pass)
+        except Stopped:
+            continue
+        raise RuntimeError(f"the search ended before {stop}")
+    return rounded_report(find_blocks(rel(), 2, "geo", "density", theta, journal=folder))
+
+
 def q_find_blocks_distinct(spark, sf_dir):
     return rounded_report(result(spark, sf_dir, "P", "geo", "density", 2.0, 1, cardinality="distinct"))
 
@@ -322,6 +384,25 @@ def q_sink(spark, sf_dir, read):
     return read(spark, out)
 
 
+def q_published(spark, sf_dir, read):
+    """The outputs of two results under one folder: the newest manifest names the second."""
+    out = _folder(spark, "published")
+    publish_blocks(result(spark, sf_dir, "L", "geo", "density", 2.0, 1), out)
+    publish_blocks(result(spark, sf_dir, "P", "geo", "density", 2.0, 1), out)
+    return read(spark, published(spark, out))
+
+
+def q_job_passes(spark, sf_dir):
+    """The job with its further options, its passes read from the published output."""
+    src, out = _folder(spark, "text"), _folder(spark, "job")
+    table(spark, sf_dir, "lineitem").select(F.concat_ws(",", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long"))).write.text(src)
+    options = ["--shuffle-partitions", "5", "--bitmap-bytes", "1000000", "--broadcast-rows", "3", "--journal", _folder(spark, "journal"), "--publish"]
+    job.main([src, out, "3", "susp", "cardinality", "2.0", "1", *options])
+    log = spark.read.option("header", True).csv(f"{published(spark, out)}/passes", schema="block int, pass int, mode int, k long, s long, mass_before long, alive_0 long, alive_1 long, alive_2 long, stat_rows long, tuple_rows long, bytes long, seconds double")
+    timed = (F.col("seconds") > 0) & (F.col("tuple_rows") >= 0) & (F.col("bytes") >= 0)
+    return log.select("block", "pass", "mode", "k", "s", "mass_before", "alive_0", "alive_1", "alive_2", timed.alias("timed"))
+
+
 def q_job_csv(spark, sf_dir, read):
     """The command-line job on csv with integer columns and a string column."""
     src, out = _folder(spark, "csv"), _folder(spark, "job")
@@ -357,6 +438,16 @@ def q_parse_text(spark, sf_dir):
     return cls.filter(F.col("reason").isNull()).select("a0", "a1", "a2", "v")
 
 
+def q_text_counters(spark, sf_dir):
+    """Counters of the job that reads and stores the lines."""
+    src = _folder(spark, "lines")
+    lineitem_lines(spark, sf_dir).write.text(src)
+    rel, _ = read_relation_text(spark, src, 3)
+    p = rel.profile
+    names = [*rel.counts, "tuples", "mass", *[f"card_{i}" for i in range(3)]]
+    return spark.createDataFrame([(*rel.counts.values(), p.tuples, p.mass, *p.cards)], ", ".join(f"{n} long" for n in names))
+
+
 def q_malformed(spark, sf_dir):
     cls = classify_lines(lineitem_lines(spark, sf_dir), 3)
     return cls.filter(F.col("reason").isNotNull()).select("line", "reason")
@@ -409,6 +500,22 @@ def catalogue() -> dict:
         q[f"find_blocks_report_k2_{way}_P"] = partial(q_find_blocks_way, way=way)
     q["find_blocks_report_distinct_P"] = q_find_blocks_distinct
     q["find_blocks_report_empty_L"] = q_find_blocks_empty
+    q["block_totals_k3_P"] = q_block_totals
+    q["blocks_tuples_k3_P"] = q_blocks_tuples
+    q["searched_rows_F"] = q_searched_rows
+    q["find_blocks_report_k3_geo_density_F"] = partial(q_find_blocks_report, rel="F", measure="geo", policy="density", k=3)
+    q["blocks_tuples_k3_F"] = partial(q_blocks_tuples, rel="F", measure="geo", policy="density")
+    q["find_blocks_report_k6_geo_density_G"] = partial(q_find_blocks_report, rel="G", measure="geo", policy="density", k=6)
+    q["member_ranges_k6_G"] = q_member_ranges
+    q["value_mass_ranges_G"] = partial(q_value_mass_ranges, rel="G")
+    q["value_mass_ranges_E"] = partial(q_value_mass_ranges, rel="E")
+    q["text_counters_L"] = q_text_counters
+    q["passes_k2_P"] = q_passes
+    q["passes_k2_moved_histogram_P"] = partial(q_passes, opts=WAYS["moved_histogram"])
+    q["resumed_report_k2_P"] = q_resumed
+    q["published_attributes_P"] = partial(q_published, read=_read_attributes)
+    q["published_tuples_P"] = partial(q_published, read=_read_tuples)
+    q["job_passes_lineitem"] = q_job_passes
     q["dictionary_orders"] = q_dictionary
     q["rejected_lineitem"] = q_rejected
     for name, run in (("sink", q_sink), ("job_csv", q_job_csv)):

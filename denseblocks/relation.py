@@ -35,6 +35,7 @@ class Relation:
     # What the job that stored the relation has counted (``operators.profile.Profile``),
     # so that a search need not read it for that again.
     profile: object = None
+    counts: dict = field(default_factory=dict)  # further counters of that job, by name
 
     @property
     def dims(self) -> list[str]:

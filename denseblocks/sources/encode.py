@@ -18,6 +18,9 @@ from ..config import materialize
 
 # A dictionary is broadcast up to this size (keys and ids, measured).
 BROADCAST_BYTES = 32 << 20
+# Keys of at least 1 / HOT of the rows (so at most HOT of them) and at most HOT_BYTES
+# are encoded by a broadcast of their own when the whole dictionary is too large for one.
+HOT, HOT_BYTES = 4096, 4096
 
 
 def dictionary(df: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
@@ -33,18 +36,36 @@ def dictionary(df: DataFrame, column: str, partitions: int | None = None) -> Dat
     return numbered.select("key", (F.col("own") + F.col("start")).cast("long").alias("id"))
 
 
-def _checked(d: DataFrame) -> DataFrame:
-    """A dictionary (_key, _id), marked for broadcast if it is small enough."""
+def _fits(d: DataFrame) -> bool:
+    """Is a dictionary (_key, _id) small enough to be broadcast?"""
     size = d.agg(F.sum(F.octet_length(F.col("_key").cast("string")) + 8)).first()[0] or 0
-    return F.broadcast(d) if size <= BROADCAST_BYTES else d
+    return size <= BROADCAST_BYTES
+
+
+def _translate(df: DataFrame, column: str, d: DataFrame, of: str, to: str) -> DataFrame:
+    """``df`` with ``to`` of the dictionary row whose ``of`` equals ``column`` (null if there is
+    none). Beyond a broadcast, hot keys and nulls never enter the shuffle."""
+    if _fits(d):
+        return df.join(F.broadcast(d), df[column] == d[of], "left").drop(of)
+    total = df.count()
+    often = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_often")).agg(F.count(F.lit(1)).alias("n"))
+    often = often.where((F.col("n") * HOT >= total) & (F.octet_length(F.col("_often").cast("string")) <= HOT_BYTES)).select("_often")
+    often = F.broadcast(materialize(often))  # at most HOT rows of HOT_BYTES
+    hot = F.broadcast(d.join(often, d[of] == F.col("_often"), "left_semi"))
+    columns = [*df.columns, to]
+    few = df.join(often, df[column] == F.col("_often"), "left_semi")
+    few = few.join(hot, few[column] == hot[of], "left").select(*columns)
+    rest = df.where(F.col(column).isNotNull()).join(often, F.col(column) == F.col("_often"), "left_anti")
+    rest = rest.join(d, rest[column] == d[of], "left").select(*columns)
+    none = df.where(F.col(column).isNull()).withColumn(to, F.lit(None).cast(d.schema[to].dataType))
+    return few.unionByName(rest).unionByName(none.select(*columns))
 
 
 def encode(df: DataFrame, column: str, dict_df: DataFrame, out: str | None = None) -> DataFrame:
     """Replace ``column`` by its id; a null, or a key that is not in the dictionary, becomes null."""
     out = out or column
     d = dict_df.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
-    joined = df.join(_checked(d), df[column] == d["_key"], "left")
-    return joined.drop(column, "_key").withColumnRenamed("_id", out)
+    return _translate(df, column, d, "_key", "_id").drop(column).withColumnRenamed("_id", out)
 
 
 def encode_column(df: DataFrame, column: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -57,5 +78,4 @@ def decode(df: DataFrame, column: str, dict_df: DataFrame, out: str | None = Non
     """Map ids in ``column`` back to keys."""
     out = out or column
     d = dict_df.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
-    joined = df.join(_checked(d), df[column] == d["_id"], "left")
-    return joined.drop(column, "_id").withColumnRenamed("_key", out)
+    return _translate(df, column, d, "_id", "_key").drop(column).withColumnRenamed("_key", out)

@@ -4,6 +4,9 @@
 * ``P``: ``L`` plus a planted dense block: 50 tuples (p, s, 0, 20000) for
   p in 0..9 and s in 0..4.
 * ``H``: ``L`` plus the same block with a quantity of 10^9 each (nearly all of the mass).
+* ``F``: lineitem as (return flag id, status id, line number; quantity): a few
+  coordinates, each of them very often.
+* ``G``: ``F`` with flag ids 5 * 10^11 apart, so that nearly all ids are never seen.
 * ``E``: events as (user_id, event type id, hour of the month; number of
   events), one tuple per distinct triple.
 
@@ -25,6 +28,7 @@ PLANTED_SUPPLIERS = 5
 PLANTED_FLAG = 0
 PLANTED_QUANTITY = 20000
 HEAVY_QUANTITY = 1_000_000_000
+APART = 500_000_000_000  # distance of the flag ids of G
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +84,23 @@ def heavy_relation(spark: SparkSession, sf_dir: str) -> Relation:
     return planted_relation(spark, sf_dir, HEAVY_QUANTITY)
 
 
-RELATIONS = {"L": lineitem_relation, "P": planted_relation, "H": heavy_relation, "E": events_relation}
+def flags_relation(spark: SparkSession, sf_dir: str, apart: int = 1) -> Relation:
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+    enc, _ = encode_column(li, "l_returnflag", "flag")
+    enc, states = encode_column(enc, "l_linestatus", "status")
+    df = enc.select((F.col("flag") * apart).alias("a0"), F.col("status").alias("a1"), F.col("l_linenumber").cast("long").alias("a2"), whole(enc, "l_quantity").alias("v"))
+    return Relation(df, 3, ["l_returnflag", "l_linestatus", "l_linenumber"], "l_quantity", {1: states}, scan_based=True)
+
+
+def sparse_relation(spark: SparkSession, sf_dir: str) -> Relation:
+    return flags_relation(spark, sf_dir, APART)
+
+
+RELATIONS = {
+    "L": lineitem_relation,
+    "P": planted_relation,
+    "H": heavy_relation,
+    "E": events_relation,
+    "F": flags_relation,
+    "G": sparse_relation,
+}

@@ -11,6 +11,11 @@ for every line:
 
 ``mode="failfast"`` raises on any rejected line, ``"drop"`` keeps them out
 of the relation and returns them with their reason.
+
+The job that reads the lines also counts them: lines, rejects by reason, and the
+profile of the accepted tuples (number, mass, largest ids, estimated distinct
+coordinates) are observed while it stores the relation, so neither the search nor
+``failfast`` reads the text again.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import stored
+from ..config import counted
+from ..operators.profile import coordinates, profile_of
 from ..relation import Relation
 
 INTEGER_TOKEN = r"^[+-]?[0-9]+$"
@@ -88,11 +94,30 @@ def read_relation_text(
     mode: str = "drop",
     allow_zero: bool = False,
 ) -> tuple[Relation, DataFrame]:
-    """Read a relation from text files (splits follow the files). Lines are parsed once:
-    the accepted ones and the rejected ones go to one Parquet table."""
+    """Read a relation from text files (splits follow the files). Lines are read and parsed once:
+    the accepted ones and the rejected ones go to one Parquet table, and the counters of
+    that job to ``Relation.profile`` and ``Relation.counts``."""
     cls = classify_lines(spark.read.text(path), n_dims, delimiter, allow_zero)
     cls = cls.withColumn("line", F.when(F.col("reason").isNotNull(), F.col("line")))
-    return _accepted(stored(cls, "text")[0], n_dims, mode)
+    table, _, seen = counted(cls, "text", counters(n_dims))
+    counts = {n: int(seen[n] or 0) for n in ("lines", *REASONS)}
+    rel, rejected = _accepted(table, n_dims, mode if any(counts[r] for r in REASONS) else "drop")
+    rel.profile, rel.counts = profile_of(seen, n_dims), counts
+    return rel, rejected
+
+
+REASONS = ("short", "bad_token", "invalid")
+
+
+def counters(n_dims: int) -> dict[str, Column]:
+    """Counters over classified lines: lines, rejects by reason, and the profile of the
+    accepted ones."""
+    good = F.col("reason").isNull()
+    out = {"lines": F.count(F.lit(1)), "tuples": F.sum(good.cast("long"))}
+    out |= {r: F.sum((F.col("reason") == r).cast("long")) for r in REASONS}
+    out["mass"] = F.sum(F.when(good, F.col("v")))
+    out |= {f"card_{i}": F.max(F.when(good, F.col(f"a{i}"))) + 1 for i in range(n_dims)}
+    return out | {"coordinates": coordinates(n_dims, good)}
 
 
 def split_malformed(lines: DataFrame, n_dims: int, delimiter: str = ",") -> DataFrame:

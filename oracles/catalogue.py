@@ -6,13 +6,17 @@ from .sql import (
     N3,
     best_density_sql,
     block_sql,
+    blocks_sql,
     cards_cte,
     density_expr,
     digits,
     find_block_sql,
     find_blocks_report_sql,
     first_pass_sql,
+    gaps,
     inside,
+    member_ranges_sql,
+    passes_sql,
     prod_expr,
     sum_expr,
     value_masses,
@@ -111,6 +115,18 @@ def _lines() -> str:
     )
 
 
+def _text_counters() -> str:
+    reasons = ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ("short", "bad_token", "invalid"))
+    cards = ", ".join(f"max(a{i}) FILTER (reason IS NULL) + 1 AS card_{i}" for i in range(N3))
+    return _lines() + f"SELECT count(*) AS lines, {reasons}, count(*) FILTER (reason IS NULL) AS tuples, CAST(sum(v) FILTER (reason IS NULL) AS BIGINT) AS mass, {cards} FROM CLS"
+
+
+def _value_mass_ranges(rel: str) -> str:
+    return with_rel(rel, cards_cte(rel)) + (
+        f'\nSELECT mode, value AS "from", value AS "to", mass FROM ({value_masses(rel)}) s\nUNION ALL\nSELECT mode, "from", "to", CAST(0 AS BIGINT) FROM ({gaps(rel, "CARDS")}) g'
+    )
+
+
 def _single_removal() -> str:
     """Density if only the lightest value of each dimension went."""
     cur = [f"(SELECT c FROM CARDS WHERE mode = {i})" for i in range(N3)]
@@ -194,9 +210,28 @@ def catalogue() -> dict[str, str]:
         q[f"find_blocks_report_k2_{way}_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2, columns=columns)
     q["find_blocks_report_distinct_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, unseen="none")
     q["find_blocks_report_empty_L"] = _empty_report()
+    for way in ("bitmap", "bucketed", "moved_histogram"):
+        q[f"find_blocks_report_k2_{way}_P"] = find_blocks_report_sql("P", "geo", "density", 2.0, k=2)
+    q["block_totals_k3_P"] = blocks_sql(
+        "P", "ari", "cardinality", 2.0, 3, lambda b, bt: f"SELECT CAST({b} AS INTEGER) AS block, CAST(sum(v) AS BIGINT) AS mass, count(*) AS tuples FROM {bt} HAVING count(*) > 0"
+    )
+    every = lambda b, bt: f"SELECT CAST({b} AS INTEGER) AS block, a0, a1, a2, v FROM {bt}"
+    q["blocks_tuples_k3_P"] = blocks_sql("P", "ari", "cardinality", 2.0, 3, every)
+    q["blocks_tuples_k3_F"] = blocks_sql("F", "geo", "density", 2.0, 3, every)
+    q["searched_rows_F"] = with_rel("F") + "\nSELECT count(*) AS tuples, count(DISTINCT (a0, a1, a2)) AS n_rows FROM F"
+    q["find_blocks_report_k3_geo_density_F"] = find_blocks_report_sql("F", "geo", "density", 2.0, k=3)
+    q["find_blocks_report_k6_geo_density_G"] = find_blocks_report_sql("G", "geo", "density", 2.0, k=6, unseen="count")
+    q["member_ranges_k6_G"] = member_ranges_sql("G", "geo", "density", 2.0, 6)
+    q["value_mass_ranges_G"] = _value_mass_ranges("G")
+    q["value_mass_ranges_E"] = _value_mass_ranges("E")
+    q["text_counters_L"] = _text_counters()
+    q["passes_k2_P"] = passes_sql("P", "geo", "density", 2.0, 2)
+    q["passes_k2_moved_histogram_P"] = passes_sql("P", "geo", "density", 2.0, 2, moved=True)
+    q["resumed_report_k2_P"] = find_blocks_report_sql("P", "geo", "density", 1.3, k=2)
+    q["job_passes_lineitem"] = passes_sql("N", "susp", "cardinality", 2.0, 1, columns="* EXCLUDE (stat_rows), true AS timed")
     q["dictionary_orders"] = _dictionary()
     q["rejected_lineitem"] = _rejected()
-    for name, src in (("sink", "P"), ("job_csv", "P")):
+    for name, src in (("sink", "P"), ("job_csv", "P"), ("published", "P")):
         q[f"{name}_attributes_{src}"] = block_sql(src, "geo", "density", 2.0, "SELECT CAST(1 AS INTEGER) AS block, m.mode, coalesce(f.key, CAST(m.value AS VARCHAR)) AS value FROM MEMBERS1 m LEFT JOIN L_FLAGS f ON m.mode = 2 AND f.id = m.value")
         q[f"{name}_tuples_{src}"] = block_sql(src, "geo", "density", 2.0, "SELECT CAST(1 AS INTEGER) AS block, CAST(a0 AS VARCHAR) AS a0, CAST(a1 AS VARCHAR) AS a1, f.key AS a2, v FROM BT1 JOIN L_FLAGS f ON f.id = a2")
     return q

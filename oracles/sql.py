@@ -47,7 +47,19 @@ E AS (SELECT CAST(user_id AS BIGINT) AS a0, t.id AS a1,
       FROM events JOIN E_TYPES t ON events.event_type = t.key
       GROUP BY 1, 2, 3)"""
 
-RELATIONS = {"L": REL_L, "P": REL_P, "E": REL_E, "H": REL_H}
+REL_F = REL_L + """,
+L_STATES AS (SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS id
+             FROM (SELECT DISTINCT l_linestatus AS key FROM lineitem WHERE l_linestatus IS NOT NULL) k),
+F AS (SELECT f.id AS a0, s.id AS a1, CAST(l_linenumber AS BIGINT) AS a2, CAST(l_quantity AS BIGINT) AS v
+      FROM lineitem JOIN L_FLAGS f ON lineitem.l_returnflag = f.key JOIN L_STATES s ON lineitem.l_linestatus = s.key)"""
+
+REL_G = REL_F + """,
+G AS (SELECT a0 * 500000000000 AS a0, a1, a2, v FROM F)"""
+
+REL_N = """
+N AS (SELECT CAST(l_partkey AS BIGINT) AS a0, CAST(l_suppkey AS BIGINT) AS a1, CAST(l_linenumber AS BIGINT) AS a2, CAST(l_quantity AS BIGINT) AS v FROM lineitem)"""
+
+RELATIONS = {"L": REL_L, "P": REL_P, "E": REL_E, "H": REL_H, "F": REL_F, "G": REL_G, "N": REL_N}
 
 
 def with_rel(rel: str, *ctes: str) -> str:
@@ -277,9 +289,9 @@ ca AS (SELECT v.mode, v.mass, v.value, CAST(sum(v.cnt) OVER w AS BIGINT) AS k, C
     WINDOW w AS (PARTITION BY v.mode ORDER BY v.mass, v.value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 d AS MATERIALIZED (SELECT ca.*, {density_expr(measure, "(st.M - ca.s)", prod_expr(after), sum_expr(after), n, m0, p0)} AS d FROM ca CROSS JOIN st),
 be AS (SELECT mode, d, mass, value FROM d QUALIFY row_number() OVER (PARTITION BY mode ORDER BY d DESC, k) = 1),
-g AS (SELECT mode, max(k) AS k, max(s) AS s FROM d GROUP BY mode),
+picks AS (SELECT mode, max(k) AS k, max(s) AS s FROM d GROUP BY mode),
 ch AS MATERIALIZED (SELECT g.mode, g.k, g.s, be.d, be.mass, be.value, th.thr, {pol} AS score
-    FROM g CROSS JOIN st JOIN be ON g.mode = be.mode JOIN th ON g.mode = th.mode ORDER BY score DESC, g.mode DESC LIMIT 1),
+    FROM picks g CROSS JOIN st JOIN be ON g.mode = be.mode JOIN th ON g.mode = th.mode ORDER BY score DESC, g.mode DESC LIMIT 1),
 alive AS MATERIALIZED (SELECT x.mode, x.value FROM cur x CROSS JOIN ch WHERE x.rpass IS NULL AND NOT {gone}),
 b AS MATERIALIZED (SELECT b.* FROM {src} b WHERE {alive}),
 nm AS MATERIALIZED ({value_masses("b", n)})
@@ -383,3 +395,48 @@ def best_density_sql(rel: str, measure: str, policy: str, theta: float, k: int)
     ctes, blocks = search(rel, measure, policy, theta, k)
     rc, body = report_select(rel, measure, blocks)
     return with_rel(rel, *ctes, *rc) + f"\nSELECT max(density) AS best_density FROM ({body}) r"
+
+
+def blocks_sql(rel: str, measure: str, policy: str, theta: float, k: int, select, unseen: str = "rows") -> str:
+    """``select(block number, name of the CTE of its tuples)`` for k blocks, one after the other."""
+    ctes, blocks = search(rel, measure, policy, theta, k, unseen=unseen)
+    ctes += [f"BT{b} AS MATERIALIZED (SELECT r.* FROM {rel} r WHERE {inside('r', mem)})" for b, (mem, _, _) in enumerate(blocks, start=1)]
+    return with_rel(rel, *ctes) + "\n" + "\nUNION ALL\n".join(select(b, f"BT{b}") for b in range(1, k + 1))
+
+
+def gaps(src: str, cards: str, n: int = N3) -> str:
+    """(mode, from, to): the intervals without a value of ``src`` (0 to the largest id)."""
+    marks = f"SELECT mode, value FROM ({unpivot(src, n)}) u UNION SELECT mode, -1 FROM {cards} UNION SELECT mode, c FROM {cards}"
+    step = f"SELECT mode, lag(value) OVER (PARTITION BY mode ORDER BY value) + 1 AS a, value - 1 AS b FROM ({marks}) m"
+    return f'SELECT CAST(mode AS INTEGER) AS mode, a AS "from", b AS "to" FROM ({step}) s WHERE a <= b'
+
+
+def member_ranges_sql(rel: str, measure: str, policy: str, theta: float, k: int) -> str:
+    """Members of k blocks: seen values one by one, never-seen ids as intervals."""
+    ctes, blocks = search(rel, measure, policy, theta, k, unseen="count")
+    rows = []
+    for b, (mem, _, _) in enumerate(blocks, start=1):
+        rows.append(f'SELECT CAST({b} AS INTEGER) AS block, mode, value AS "from", value AS "to" FROM {mem} WHERE value >= 0')
+        rows.append(f'SELECT CAST({b} AS INTEGER), mode, "from", "to" FROM ({gaps("ORIGINAL", "CARDS")}) g WHERE mode IN (SELECT mode FROM {mem} WHERE value = -1)')
+    return with_rel(rel, *ctes) + "\n" + "\nUNION ALL\n".join(rows)
+
+
+def passes_sql(rel: str, measure: str, policy: str, theta: float, k: int, moved: bool = False, columns: str = "*") -> str:
+    """The passes of k searches that have to be run. ``stat_rows`` is what the statistics of a pass
+    read: the alive seen values; with a kept histogram the values whose mass has changed
+    (at first: all) and the histogram."""
+    ctes, blocks = search(rel, measure, policy, theta, k, unseen="count")
+    rows = []
+    for b, (_, X, _) in enumerate(blocks, start=1):
+        alive = "count(*) FILTER (rpass IS NULL AND value >= 0)"
+        if moved:
+            alive = "count(*) FILTER (rpass IS NULL AND value >= 0 AND (before IS NULL OR before <> mass)) + count(DISTINCT (mode, mass)) FILTER (rpass IS NULL AND value >= 0)"
+        ctes.append(
+            f"{X}LOG AS (SELECT p, any_value(M) AS M, any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2, any_value(chosen) AS chosen, any_value(ck) AS ck, any_value(cs) AS cs, "
+            f"{alive} AS r FROM (SELECT *, lag(mass) OVER (PARTITION BY mode, value ORDER BY p) AS before FROM {X}PEEL) x GROUP BY p)"
+        )
+        rows.append(
+            f"SELECT CAST({b} AS INTEGER) AS block, a.p AS pass, n.chosen AS mode, n.ck AS k, n.cs AS s, a.M AS mass_before, a.c0 AS alive_0, a.c1 AS alive_1, a.c2 AS alive_2, "
+            f"CAST(a.r AS BIGINT) AS stat_rows FROM {X}LOG a JOIN {X}LOG n ON n.p = a.p + 1 WHERE a.p = 0 OR a.M > 0"
+        )
+    return with_rel(rel, *ctes) + f"\nSELECT {columns} FROM (" + "\nUNION ALL\n".join(rows) + ") r"
