@@ -907,6 +907,17 @@ def find_blocks(
     R = spark.read.schema(rows_schema).parquet(R_path) if R_path else ctx.rows
     V = spark.read.schema("mode int, value long, mass long, tuples long").parquet(V_path) if V_path else ctx.all_values
     tables: list[str] = []
+
+    def take_out(block: Block) -> None:
+        """Go on with what the block leaves of the relation."""
+        nonlocal R, V, R_path, V_path, R_mass
+        if block.found.cut_pass is None:
+            left, R_mass = ctx.rows.filter(F.lit(False)), 0
+        else:
+            left, R_mass = deflate(ctx, R, block.members, block.sizes, V, _count_tuples(V)), R_mass - block.found.search_mass
+        R, R_path = stored(left, "rest", folder)
+        V, V_path = stored(_start_values(ctx, R).select(F.col("mode").cast("int"), "value", "mass", "tuples"), "start", folder)
+
     blocks: list[Block] = []
 
     def note(state: dict | None) -> None:
@@ -922,6 +933,8 @@ def find_blocks(
             found = BlockFound(b["cut"][0], b["cut"][1], b["density"], b["mass"], tuple(b["cards"]), b["passes"], members, tuple(b["phantom_pass"]), log, b["cut"][2])
             blocks.append(Block(i + 1, found, members, block_unseen(ctx, found), 0, 0, 0.0, b["seconds"]))
             tables.append(b["members"])
+            if len(done) < k and not past["rest"][0]:  # more blocks are wanted now than then
+                take_out(blocks[-1])
             continue
         if stop_when_empty and R_mass == 0:
             break
@@ -938,14 +951,11 @@ def find_blocks(
         block = Block(i + 1, found, members, block_unseen(ctx, found), 0, 0, 0.0, 0.0)
         blocks.append(block)
         old = [p for p in (R_path, V_path) if p]
+        R_path = V_path = None
         if i + 1 < k:  # no deflation after the last block
-            if found.cut_pass is None:
-                R, R_path = stored(ctx.rows.filter(F.lit(False)), "rest", folder)
-                R_mass = 0
-            else:
-                R, R_path = stored(deflate(ctx, R, members, block.sizes, V, _count_tuples(V)), "rest", folder)
-                R_mass = R_mass - found.search_mass
-            V, V_path = stored(_start_values(ctx, R).select(F.col("mode").cast("int"), "value", "mass", "tuples"), "start", folder)
+            take_out(block)
+        else:
+            R_mass = ctx.mass
         block.seconds = time.time() - t0
         done.append({
             "members": path, "cut": [found.cut_pass, found.cut_mass, found.cut_value], "density": found.search_density, "mass": found.search_mass, "cards": list(found.cards),
@@ -954,7 +964,7 @@ def find_blocks(
         note(None)
         for p in {*found.tables, *old}:  # nothing reads the tables of a finished search any more
             release(spark, p)
-    tables += [p for p in (R_path, V_path) if p]
+    tables += [p for p in (R_path, V_path) if p]  # after an early stop
     t0 = time.time()
     hits = evaluate(ctx, blocks, report_measure) if blocks else []
     for b in blocks:  # the one scan for all blocks, in equal shares

@@ -102,7 +102,7 @@ def read_relation_text(
     table, _, seen = counted(cls, "text", counters(n_dims))
     counts = {n: int(seen[n] or 0) for n in ("lines", *REASONS)}
     rel, rejected = _accepted(table, n_dims, mode if any(counts[r] for r in REASONS) else "drop")
-    rel.profile, rel.counts = profile_of(seen, n_dims), counts
+    rel.profile, rel.counts = profile_of({**seen, "invalid": 0}, n_dims), counts
     return rel, rejected
 
 
