@@ -2,19 +2,25 @@
 
 Pass one hashes the element subtrees of every page and Spark counts, for each host, with
 how many different main texts a subtree recurs. Pass two deletes subtrees that recur with
-many main texts of their host, as well as those that are no main text by their tag, role or class
-(menus, headers, footers, sidebars, notices, adverts, forms, comments), and writes the
-text blocks of the article that are left, in page order.
+many main texts of their host (SHARE of them, LEAST at least), as well as those that are no main
+text by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
+comments), and writes the text blocks of the article that are left, in page order.
 
 Text blocks of an article (paragraphs, headings, items, cells) and parts that make up
 much of it are never counted as template by themselves. All else, lists, tables and
 sections of an article and the paragraphs of pages without one included, counts once for
 all pages of equal main text: copies of a page on one host stay whole.
+
+A class condemns an element only by a whole name that is a listed word (outside articles also
+by a compound of listed and neutral words, as in ``cookie-bar``); and whatever its tag, role or class,
+an element stays that holds all articles of the page and most of its text. Pages may be
+nested to any depth: trees are walked with stacks of their own, in time linear in the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
@@ -24,8 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Stage, python_tasks, small
 
-MANY = 10  # a subtree with so many main texts of a host is template
-DEEPEST = 300  # what is nested deeper reads as if it stood at this depth
+SHARE, LEAST = 0.05, 3  # a subtree with this share of a host's main texts, and so many, is template
 MOST_SHARE = 0.3  # a part with more of the article's text than this is no template
 
 # Fixed values of HTML: elements without an end, those that hold raw text, those that
@@ -38,43 +43,71 @@ tbody td tfoot th thead tr ul""".split())
 TEXT = set("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote figcaption caption summary b i em strong a span code br hr tbody thead tfoot".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-# What is no main text.
-NO_TEXT = set("""script style noscript template head title svg math iframe object embed canvas audio video form button input
-select textarea nav footer aside menu dialog datalist map xmp noembed noframes""".split())
+# What is never text, and what is no main text unless it holds the page's articles.
+NO_TEXT = set("""script style noscript template head title svg math iframe object embed canvas audio video button input
+select textarea datalist map xmp noembed noframes""".split())
+NO_TAG = set("form nav footer aside menu dialog".split())
 NO_ROLE = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NO_CLASS = set("""ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr
 notice notices alert popup modal newsletter subscribe subscription sidebar menu navbar nav navigation breadcrumb breadcrumbs pagination
 pager header footer masthead comment comments disqus replies share sharing social related recommended widget toolbar""".split())
+COMMENTS = set("comment comments disqus replies reply".split())
+NEUTRAL = set("""site page global top bottom left right upper lower box bar area list lists wrap wrapper container section block inner
+outer group item items link links row col column panel strip unit slot holder message text form""".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|[^<]+|<""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
-_LABEL = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[-_]+")
+_MAINS = ("article", "main")
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003  # of the hashes of word sequences
 
 
 class Node:
-    __slots__ = ("tag", "labels", "gone", "kids")
+    """An element. ``gone``: never text; ``doubt``: no main text by tag, role or class
+    (COMMENT if as a reader's comment), unless it turns out to hold the articles."""
+
+    __slots__ = ("tag", "labels", "gone", "doubt", "kids")
+
+    def __init__(self, tag: str, labels: str = "", gone: bool = False, doubt: str = ""):
+        self.tag, self.labels, self.gone, self.doubt, self.kids = tag, labels, gone, doubt, []
 
-    def __init__(self, tag: str, labels: str = "", gone: bool = False):
-        self.tag, self.labels, self.gone, self.kids = tag, labels, gone, []
 
+def _listed(names: list[str], inside: bool) -> bool:
+    """Does one of the class names say that this is no main text?"""
+    for name in names:
+        if name in NO_CLASS:
+            return True
+        parts = set(filter(None, _PART.split(name)))
+        if not inside and parts <= NO_CLASS | NEUTRAL and parts & NO_CLASS:
+            return True
+    return False
 
-def _open(token: str, tag: str) -> Node:
+
+def _open(token: str, tag: str, inside: bool) -> Node:
     attrs = {}
     for m in _ATTR.finditer(token, len(tag) + 1):
         attrs.setdefault(m[1].lower(), next((g for g in m.groups()[1:] if g is not None), ""))
     labels = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip().lower()
+    names = labels.split()
     gone = (
         tag in NO_TEXT
         or "hidden" in attrs
         or attrs.get("aria-hidden", "").lower() == "true"
-        or attrs.get("role", "").lower() in NO_ROLE
-        or tag not in ("html", "body", "article", "main") and not NO_CLASS.isdisjoint(_LABEL.findall(labels))
-        or tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(_LABEL.findall(labels))
         or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "").lower()))
     )
-    return Node(tag, labels, gone)
+    comment = not COMMENTS.isdisjoint(names)
+    doubt = ""
+    if tag in ("html", "body", "main"):
+        pass
+    elif tag == "article":
+        doubt = "comment" if comment else ""
+    elif tag in NO_TAG and tag != "form" or attrs.get("role", "").lower() in NO_ROLE:
+        doubt = "tag"
+    elif tag == "form" or _listed(names, inside):
+        doubt = "comment" if comment else "class"
+    return Node(tag, labels, gone, doubt)
 
 
 def parse(html: str) -> Node:
@@ -82,7 +115,14 @@ def parse(html: str) -> Node:
     harm; a tag that the page breaks off in is dropped."""
     root = Node("")
     stack = [root]
+    open_tags: Counter = Counter()
     at, n = 0, len(html)
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_tags[x.tag] -= 1
+        del stack[i:]
+
     while at < n:
         m = _TOKEN.match(html, at)
         token, at = m[0], m.end()
@@ -94,87 +134,140 @@ def parse(html: str) -> Node:
             continue
         tag = name[1].lower()
         if token[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_tags[tag] > 0:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             continue
-        if tag in BLOCK and stack[-1].tag != "p":  # a block ends an open paragraph, also around inline elements
+        if tag in BLOCK and open_tags["p"] > 0:  # a block ends an open paragraph, also around inline elements
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
-        elif tag in BLOCK:
-            stack.pop()
-        if tag in SAME:
+        if tag in SAME and any(open_tags[x] > 0 for x in SAME[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SAME[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE[tag]:
                     break
-        node = _open(token, tag)
+        node = _open(token, tag, open_tags["article"] + open_tags["main"] > 0)
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             stop = end.start() if end else n
             node.kids.append(html[at:stop])
             at = n if end is None else html.find(">", stop) + 1 or n
-        elif tag not in VOID and not token.endswith("/>") and len(stack) < DEEPEST:
+        elif tag not in VOID and not token.endswith("/>"):
             stack.append(node)
+            open_tags[tag] += 1
+    _settle(root)
     return root
 
 
-def _walk(node: Node, inside: bool = False):
-    """(node, whether it is in an article) for every element that is not dropped by rule."""
-    for k in node.kids:
-        if isinstance(k, Node) and not k.gone and not (k.tag == "header" and not inside):
-            now = inside or k.tag in ("article", "main")
-            yield k, now
-            yield from _walk(k, now)
+def _events(root: Node):
+    """(kid, True) on the way down and (node, False) on the way up, texts included, in
+    page order; nothing below ``gone`` elements."""
+    stack: list = [(root, iter(root.kids))]
+    while stack:
+        node, kids = stack[-1]
+        for k in kids:
+            yield k, True
+            if isinstance(k, Node) and not k.gone:
+                stack.append((k, iter(k.kids)))
+                break
+        else:
+            stack.pop()
+            if node is not root:
+                yield node, False
+
+
+def _settle(root: Node) -> None:
+    """Decide the doubtful elements: they go, unless they hold all articles and main
+    elements of the page and more than half of its text. Without any of these on the page, only a
+    class or a form can be outweighed by the text."""
+    letters = mains = 0
+    before: dict[int, tuple[int, int]] = {}
+    doubtful = []
+    for k, down in _events(root):
+        if isinstance(k, str):
+            letters += sum(map(len, k.split()))
+        elif down:
+            mains += k.tag in _MAINS and not k.gone and not k.doubt
+            if k.doubt:
+                before[id(k)] = letters, mains
+        elif k.doubt:
+            l0, m0 = before[id(k)]
+            doubtful.append((k, letters - l0, mains - m0))
+    for k, n, m in doubtful:
+        most = 2 * n > letters and m == mains
+        k.gone = not (most and (mains > 0 or k.doubt == "class"))
 
 
 def _mains(root: Node) -> list[Node]:
-    """The outermost articles, else the outermost main element, else the whole page."""
-    for tag in ("article", "main"):
-        found = []
-
-        def seek(node: Node):
-            for k in node.kids:
-                if isinstance(k, Node) and not k.gone:
-                    if k.tag == tag:
-                        found.append(k)
-                    else:
-                        seek(k)
-
-        seek(root)
+    """The outermost articles, else the outermost main elements, else the whole page."""
+    for tag in _MAINS:
+        found, depth = [], 0
+        for k, down in _events(root):
+            if isinstance(k, Node) and k.tag == tag and not k.gone:
+                if down and depth == 0:
+                    found.append(k)
+                depth += 1 if down and tag not in VOID else -1
         if found:
             return found
     return [root]
 
 
-def _text(node: Node, out: list[str], drop: set[int], inside: bool) -> None:
-    """Pieces of text; a block starts and ends with a blank piece."""
-    for k in node.kids:
-        if not isinstance(k, Node):
-            out.append(k)
-        elif k.tag in VOID:
-            out.append(" ")
-        elif not (k.gone or id(k) in drop or k.tag == "header" and not inside):
-            blank = k.tag in BLOCK
-            if blank:
-                out.append(" ")
-            _text(k, out, drop, inside or k.tag in ("article", "main"))
-            if blank:
-                out.append(" ")
+class Page:
+    """The words of a page without its ``gone`` elements, in order, and the elements by
+    the range of words that they hold."""
+
+    def __init__(self, root: Node, start: Node, inside: bool, drop: set[int] = frozenset()):
+        self.elements: list[tuple[Node, bool, int, int]] = []  # element, in an article, first word, end
+        pieces: list[str] = []
+        self.words: list[str] = []
+        within, skip = int(inside), 0
+        marks: list[tuple[int, Node, bool]] = []
+        for k, down in _events(start):
+            if isinstance(k, str):
+                if not skip:
+                    pieces.append(k)
+                continue
+            if k.tag in VOID:
+                pieces.append(" ")
+                continue
+            if k.gone:
+                continue
+            if down:
+                if skip or id(k) in drop or k.tag == "header" and within == 0:
+                    skip += 1
+                    continue
+                within += k.tag in _MAINS
+                if k.tag in BLOCK:
+                    self._flush(pieces)
+                    marks.append((len(self.words), k, within > 0))
+            elif skip:
+                skip -= 1
+            else:
+                if k.tag in BLOCK:
+                    self._flush(pieces)
+                    at, node, was = marks.pop()
+                    self.elements.append((node, was, at, len(self.words)))
+                within -= k.tag in _MAINS
+        self._flush(pieces)
+
+    def _flush(self, pieces: list[str]) -> None:
+        """A block ends the words of what is open."""
+        if pieces:
+            self.words += "".join(pieces).split()
+            pieces.clear()
 
 
 def _plain(node: Node, drop: set[int] = frozenset(), inside: bool = True) -> str:
-    out: list[str] = []
-    _text(node, out, drop, inside)
-    return " ".join("".join(out).split())
+    return " ".join(Page(node, node, inside, drop).words)
 
 
 def _hash(text: str) -> int:
@@ -185,15 +278,26 @@ def _candidates(root: Node) -> list[tuple[Node, int]]:
     """Subtrees that may be template, with their hashes: elements other than page and
     article; in an article no text blocks and nothing that makes up much of it."""
     mains = _mains(root)
-    total = sum(len(_plain(m)) for m in mains)
-    whole = mains == [root]
+    page = Page(root, root, False)
+    letters, sums, powers, known = [0], [0], [1], {}
+    for w in page.words:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = _hash(w) % _PRIME
+        letters.append(letters[-1] + len(w))
+        sums.append((sums[-1] * _BASE + h) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    whole = mains[0] is root
+    size = lambda a, b: letters[b] - letters[a] + max(b - a - 1, 0)
+    ranges = {id(node): (a, b) for node, _, a, b in page.elements}
+    total = size(0, len(page.words)) if whole else sum(size(*ranges.get(id(m), (0, 0))) for m in mains)
     out = []
-    for node, inside in _walk(root):
-        if node.tag in ("html", "body", "article", "main") or (inside and node.tag in TEXT) or node.tag not in BLOCK:
+    for node, inside, a, b in page.elements:
+        if node.tag in ("html", "body", *_MAINS) or (inside and node.tag in TEXT) or a == b:
             continue
-        text = _plain(node)
-        if text and (len(text) <= MOST_SHARE * total or not (inside or whole)):
-            out.append((node, _hash(f"{node.tag}\\0{node.labels}\\0{text}")))
+        if size(a, b) <= MOST_SHARE * total or not (inside or whole):
+            text = (sums[b] - sums[a] * powers[b - a]) % _PRIME
+            out.append((node, _hash(f"{node.tag}\0{node.labels}\0{b - a}\0{text}")))
     return out
 
 
@@ -225,13 +329,14 @@ def _extract(batches):
                                          names=["page_id", "url", "text", "n_chars", "n_template"])
 
 
-def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html; other columns are ignored):
     ``page_id, url, text, n_chars, n_template`` (subtrees of the page that are template).
 
     A null or empty page has an empty text. Pages without a host in their url are one
     site. Repeated rows come back repeated; pages of a host with equal main texts (before
-    templates go) count once. An empty table gives an empty result.
+    templates go) count once. Very long pages are read whole, and pages nested to any depth. An
+    empty table gives an empty result.
     """
     spark = pages.sparkSession
     python_tasks(spark)
@@ -239,10 +344,16 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     keyed = pages.withColumn("th", F.xxhash64("html", "url"))
     nodes = keyed.select("page_id", "th", "url", "html").mapInArrow(_subtrees, "page_id long, th long, host string, main long, subtrees array<long>")
-    nodes = stage.put(nodes, "subtrees").select("page_id", "th", "host", "main", F.explode("subtrees").alias("subtree"))
-    often = stage.put(nodes.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).drop("n"), "often")
+    rows = stage.put(nodes.withColumn("host", F.xxhash64("host")), "subtrees")
+    nodes = rows.select("page_id", "th", "host", "main", F.explode("subtrees").alias("subtree"))
+    often = stage.put(nodes.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n"), "often")
     mains = nodes.select("host", "subtree", "main").join(small(often), ["host", "subtree"]).distinct()
-    template = stage.put(mains.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).drop("n"), "template")
+    found = mains.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # only hosts of many main texts ask for more than the least count
+    hosts = rows.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") * share > least)
+    hosts = stage.put(hosts, "hosts")
+    found = found.join(small(hosts), "host", "left").where(F.col("n") >= F.coalesce("m", F.lit(0)) * share)
+    template = stage.put(found.select("host", "subtree"), "template")
     hits = nodes.join(template, ["host", "subtree"]).groupBy("page_id", "th").agg(F.collect_set("subtree").alias("template"))
     hits = hits.withColumnRenamed("page_id", "p").withColumnRenamed("th", "t")
     both = keyed.join(hits, keyed.page_id.eqNullSafe(hits.p) & (keyed.th == hits.t), "left")
