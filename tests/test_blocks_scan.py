@@ -37,7 +37,7 @@ def members_of(res):
 @pytest.mark.parametrize("opts", [Options(), Options(broadcast_rows=2), Options(broadcast_rows=2, bitmap_bytes=0, hot_parts=4, salts=3)], ids=["rows", "bits", "shuffle"])
 def test_all_blocks_from_one_scan(spark, opts):
     rows, rel = relation(spark)
-    res = find_blocks(rel, k=4, measure="ari", policy="density", theta=1.5, opts=opts)
+    res = find_blocks(rel, k=3, measure="ari", policy="density", theta=2.5, opts=opts)
     sets = members_of(res)
     inside = lambda b: sorted(t for t in rows if all(t[m] in sets[b][m] for m in range(N)))
     report = {r["block"]: r for r in res.report().collect()}
@@ -127,5 +127,5 @@ def test_bucketed_tuples_are_not_moved(spark):
 @pytest.mark.parametrize("opts", [Options(broadcast_rows=2), Options(broadcast_rows=2, bitmap_bytes=0, hot_parts=8, salts=3, layout="bucketed"), Options(update="delta", histogram="delta")], ids=["bits", "buckets", "moved"])
 def test_whole_searches_agree(spark, opts):
     _, rel = relation(spark, 5)
-    usual = blocks_summary(find_blocks(rel, k=2, measure="geo", policy="density", theta=1.2))
-    assert blocks_summary(find_blocks(rel, k=2, measure="geo", policy="density", theta=1.2, opts=opts)) == usual
+    usual = blocks_summary(find_blocks(rel, k=2, measure="geo", policy="density", theta=1.8))
+    assert blocks_summary(find_blocks(rel, k=2, measure="geo", policy="density", theta=1.8, opts=opts)) == usual
