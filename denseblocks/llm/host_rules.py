@@ -16,6 +16,9 @@ Small hosts have no verdict of their own: the prior draws them to the common rat
 from __future__ import annotations
 
 import re
+from array import array
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import Stage, python_tasks
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
+WORD = re.compile(r"[^\x20\x09-\x0D]")
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+PIECE = 1 << 20  # bytes of a text that are split into words at a time
 LEAST_WORDS = 50
 HOLDS, BLOCKED = 0.3, 0.8
 # Rules of style, as SQL over the measures of a document.
@@ -43,12 +49,23 @@ BROADCAST_HOSTS = 500_000
 MEASURES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]])
 
 
-def repeated_words(words: list[bytes]) -> int:
+def word_ids(text: bytes) -> tuple[np.ndarray, int]:
+    """The words of a text as numbers, equal words alike, and how many there are. The text is split
+    in pieces, so that only distinct words are held; bytes are split at \\x20 and \\x09-\\x0D only."""
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)
+    out, at = array("q"), 0
+    while at < len(text):
+        end = SPACE.search(text, min(at + PIECE, len(text)))  # a piece ends where a word does
+        end = end.start() if end else len(text)
+        out.extend(map(known.__getitem__, text[at:end].split()))
+        at = end
+    return np.frombuffer(out, dtype=np.int64), len(known)
+
+
+def repeated_words(ids: np.ndarray, kinds: int) -> int:
     """Number of words that stand in a window of three words which the text has twice or more."""
-    if len(words) < 4:
+    if len(ids) < 4:
         return 0
-    ids = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
-    kinds = int(ids.max()) + 1
     pairs = pd.factorize(ids[:-2] * kinds + ids[1:-1])[0]  # so that the product stays below n * n
     windows = pd.factorize(pairs * kinds + ids[2:])[0]
     again = np.bincount(windows)[windows] > 1
@@ -61,10 +78,15 @@ def repeated_words(words: list[bytes]) -> int:
 def measure(text: str | None) -> tuple[int, ...]:
     """(n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of a whole text."""
     text = text or ""
-    words = text.encode("utf-8").split()  # bytes are split at \x20 and \x09-\x0D only
-    lines = [line for line in text.split("\n") if line.encode("utf-8").split()]
+    ids, kinds = word_ids(text.encode("utf-8"))
+    seen: set[str] = set()
+    lines = 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            lines += 1
+            seen.add(line)
     spaces = sum(text.count(c) for c in " \t\n\v\f\r")
-    return len(words), len(text) - spaces, len(SYMBOLS.findall(text)), len(lines), len(lines) - len(set(lines)), repeated_words(words)
+    return len(ids), len(text) - spaces, len(SYMBOLS.findall(text)), lines, lines - len(seen), repeated_words(ids, kinds)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -73,7 +95,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [measure(t) for t in b.column(2).to_pylist()]
+            found = [measure(t.as_py()) for t in b.column(2)]
             columns = zip(*found) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in columns]], schema=MEASURES)
 
