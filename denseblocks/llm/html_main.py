@@ -21,9 +21,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +64,8 @@ _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _PART = re.compile(r"[-_]+")
 _MAINS = ("article", "main")
-_PRIME, _BASE = (1 << 61) - 1, 1_000_003  # of the hashes of word sequences
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_UNBASE = pow(_BASE, -1, 1 << 64)
 
 
 class Node:
@@ -194,7 +198,7 @@ def _settle(root: Node) -> None:
     doubtful = []
     for k, down in _events(root):
         if isinstance(k, str):
-            letters += sum(map(len, k.split()))
+            letters += len(k) - k.count(" ") - k.count("\n") - k.count("\t")
         elif down:
             mains += k.tag in _MAINS and not k.gone and not k.doubt
             if k.doubt:
@@ -274,37 +278,54 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _candidates(root: Node) -> list[tuple[Node, int]]:
+_word_hash = lru_cache(1 << 16)(_hash)
+
+
+class _Powers:
+    """Powers of _BASE and its inverse modulo 2^64, as far as a page has needed them."""
+
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            steps = np.ones(max(n, 2 * len(cls.up), 4096), np.uint64)
+            for name, base in (("up", _BASE), ("down", _UNBASE)):
+                steps[1:] = base
+                setattr(cls, name, np.multiply.accumulate(steps))
+        return cls.up[:n], cls.down[:n]
+
+
+def _candidates(root: Node, mains: list[Node] | None = None, page: Page | None = None) -> list[tuple[Node, int]]:
     """Subtrees that may be template, with their hashes: elements other than page and
     article; in an article no text blocks and nothing that makes up much of it."""
-    mains = _mains(root)
-    page = Page(root, root, False)
-    letters, sums, powers, known = [0], [0], [1], {}
-    for w in page.words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = _hash(w) % _PRIME
-        letters.append(letters[-1] + len(w))
-        sums.append((sums[-1] * _BASE + h) % _PRIME)
-        powers.append(powers[-1] * _BASE % _PRIME)
-    whole = mains[0] is root
+    mains, page = mains or _mains(root), page or Page(root, root, False)
+    whole, n = mains[0] is root, len(page.words)
+    letters = [0, *accumulate(map(len, page.words))]
     size = lambda a, b: letters[b] - letters[a] + max(b - a - 1, 0)
     ranges = {id(node): (a, b) for node, _, a, b in page.elements}
-    total = size(0, len(page.words)) if whole else sum(size(*ranges.get(id(m), (0, 0))) for m in mains)
-    out = []
-    for node, inside, a, b in page.elements:
-        if node.tag in ("html", "body", *_MAINS) or (inside and node.tag in TEXT) or a == b:
-            continue
-        if size(a, b) <= MOST_SHARE * total or not (inside or whole):
-            text = (sums[b] - sums[a] * powers[b - a]) % _PRIME
-            out.append((node, _hash(f"{node.tag}\0{node.labels}\0{b - a}\0{text}")))
-    return out
+    total = size(0, n) if whole else sum(size(*ranges.get(id(m), (0, 0))) for m in mains)
+    some = [
+        (node, a, b) for node, inside, a, b in page.elements
+        if a < b and node.tag not in ("html", "body", *_MAINS) and not (inside and node.tag in TEXT) and (size(a, b) <= MOST_SHARE * total or not (inside or whole))
+    ]
+    if not some:
+        return []
+    # a hash of the words from a to b, whatever stands before them: the sum of word hashes times powers
+    up, down = _Powers.upto(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.fromiter(map(_word_hash, page.words), np.int64, n).view(np.uint64) * up, out=sums[1:])
+    a, b = np.array([x[1] for x in some]), np.array([x[2] for x in some])
+    texts = ((sums[b] - sums[a]) * down[a]).tolist()
+    return [(node, _hash(f"{node.tag}\0{node.labels}\0{z - y}\0{t}")) for (node, y, z), t in zip(some, texts)]
 
 
 def main_text(html: str | None, template: set[int] = frozenset()) -> str:
     root = parse(html or "")
-    drop = {id(n) for n, h in _candidates(root) if h in template} if template else set()
-    return " ".join(filter(None, (_plain(m, drop, m is not root) for m in _mains(root))))
+    mains = _mains(root)
+    drop = {id(n) for n, h in _candidates(root, mains) if h in template} if template else set()
+    return " ".join(filter(None, (_plain(m, drop, m is not root) for m in mains)))
 
 
 def host(url: str | None) -> str:
@@ -314,11 +335,15 @@ def host(url: str | None) -> str:
 
 def _subtrees(batches):
     for b in batches:
-        urls, pages = b.column("url").to_pylist(), b.column("html").to_pylist()
-        roots = [parse(p or "") for p in pages]
-        hashes = [sorted({h for _, h in _candidates(r)}) for r in roots]
-        mains = [_hash(" ".join(_plain(m, inside=m is not r) for m in _mains(r))) for r in roots]
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("th"), pa.array(map(host, urls), pa.string()), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+        urls, hashes, texts = b.column("url").to_pylist(), [], []
+        for html in b.column("html"):
+            root = parse(html.as_py() or "")
+            mains, page = _mains(root), Page(root, root, False)
+            hashes.append(sorted({h for _, h in _candidates(root, mains, page)}))
+            ranges = {id(node): (x, y) for node, _, x, y in page.elements} | {id(root): (0, len(page.words))}
+            parts = (" ".join(page.words[slice(*ranges[id(m)])]) if id(m) in ranges else _plain(m) for m in mains)
+            texts.append(_hash(" ".join(parts)))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("th"), pa.array(map(host, urls), pa.string()), pa.array(texts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
                                          names=["page_id", "th", "host", "main", "subtrees"])
 
 
