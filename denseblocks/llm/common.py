@@ -17,6 +17,8 @@ from ..config import ensure_checkpoint_dir
 # A set of 8-byte keys is broadcast up to this many rows (16 MB of keys); a
 # larger one goes through a shuffle join.
 BROADCAST_KEYS = 2_000_000
+BROADCAST_BYTES = 32 << 20  # of wider rows, measured
+HOT = 4096  # a key of at least 1 / HOT of the rows is hot
 # Bytes of input that one Arrow batch may hold, so that a batch of very long
 # texts stays small whatever its row count.
 BATCH_BYTES = 16 << 20
@@ -79,6 +81,27 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_KEYS else df
 
 
+def small_bytes(df: DataFrame, size) -> DataFrame:
+    """Mark ``df`` for broadcast if its rows of ``size`` bytes (a column) are at most BROADCAST_BYTES."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` left-joined to ``table`` (one row a key; ``weight``: how many rows have it). Keys
+    of at least 1 / HOT of the rows, HOT of them at most, are broadcast, and rows without a
+    key joined to nothing, so that no task of the shuffle holds a hot key."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    often = table.where(F.col(weight) * HOT >= total)
+    rest = table.where(F.col(weight) * HOT < total)
+    hot = rows.join(F.broadcast(often), key)
+    cold = rows.join(F.broadcast(often.select(key)), key, "left_anti").where(F.col(key).isNotNull()).join(rest, key, "left")
+    none = rows.where(F.col(key).isNull())
+    for f in table.schema:
+        if f.name != key:
+            none = none.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return hot.unionByName(cold).unionByName(none)
+
+
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """(row, _id, _h): whole rows, whatever their columns are called, with their id and
     the hash of their text."""

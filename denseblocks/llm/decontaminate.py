@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Stage, keyed_rows, small
+from .common import SPACE, Stage, keyed_rows, small, small_bytes
 
 SHINGLE = 5
 RADIUS = 15  # bits; 16 blocks of 4 bits
@@ -91,7 +91,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, stage: Stage) -> DataFrame:
     right = items.select("item_id", "len", F.col("fp").alias("ifp"), F.explode(_blocks("fp")).alias("b")).select("item_id", "len", "ifp", "b.block", "b.bits")
     near = left.join(small(right, n_items * BLOCKS), ["len", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
     near = near.select("key", "len", "item_id").distinct()
-    near = near.join(once.select("key", "len", "ww"), ["key", "len"]).join(small(items.select("item_id", "len", "iw"), n_items), ["item_id", "len"])
+    near = near.join(once.select("key", "len", "ww"), ["key", "len"]).join(small_bytes(items.select("item_id", "len", "iw"), F.octet_length(F.array_join("iw", " ")) + 16 * F.size("iw")), ["item_id", "len"])
     near = near.withColumn("a", _counted("ww")).withColumn("b", _counted("iw"))
     both = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - both

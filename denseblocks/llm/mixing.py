@@ -86,7 +86,8 @@ def thresholds(rows: DataFrame, goal: DataFrame, stage: Stage) -> DataFrame:
         state = old.join(edge.alias("e"), F.col("o.source").eqNullSafe(F.col("e.source"))).select("o.*", "edge", "below", "at_edge")
         state = stage.put(state, f"level-{level}")
     ties = F.col("below") + F.col("at_edge") - F.col("rest") < F.col("rest") - F.col("below")
-    return state.select("source", "source_size", "target", "times", "edge", ties.alias("ties"))
+    more = F.col("rest") > 0  # else nothing is taken once more, empty documents neither
+    return state.select("source", "source_size", "target", "times", F.when(more, F.col("edge")).otherwise(0).alias("edge"), (more & ties).alias("ties"))
 
 
 def _cuts(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +116,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns kept, each as often as the mix takes it."""
+    """The rows of ``docs``, all columns kept, each as often as the mix takes it, MOST times at
+    most. Rows without words, null texts, null ids and sources, repeated rows and an empty table
+    are as in :func:`mix`."""
     _, cuts = _cuts(docs, Stage(docs.sparkSession, "mix"))
     cuts = cuts.select(F.col("source").alias("_source"), "times", "edge", "ties")
     names = docs.columns

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Stage, python_tasks, small
+from .common import Stage, hot_join, keyed_rows, python_tasks, small
 from .components import components
 
 NUM, DEN = 4, 5
@@ -271,7 +271,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 def _rows(prof: DataFrame, label: DataFrame, *more) -> DataFrame:
     label = label.select("digest", "component_id", "n_copies", F.col("comp").alias("group"), *[c for c in label.columns if c == "n_links"])
-    return prof.select("doc_id", "n", "digest", F.xxhash64("text").alias("text_hash")).join(label, "digest", "left").select(
+    rows = prof.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"), F.xxhash64("text").alias("text_hash"))
+    return hot_join(rows, label, "digest", "n_copies").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1).cast("long")).alias("n_copies"),
@@ -351,5 +352,24 @@ def _classes(docs: DataFrame) -> tuple[Stage, DataFrame, DataFrame]:
     for name in ("star", "related", "counts", "index", "best", "index-2", "pairs"):
         stage.drop(name)
     label = classes.join(last, classes.cls == last.vertex, "left").select("cls", "digest", "n", "n_copies", "first_id", comp)
-    names = label.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    return stage, prof, stage.put(label.join(names, "comp").drop("first_id"), "label")
+    names = stage.put(label.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes")), "names")
+    return stage, prof, stage.put(hot_join(label, names, "comp", "classes").drop("first_id", "classes"), "label")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns kept) without all but one of each group of linked documents:
+    the one with the smallest id stays (null ids last; of equal ids the smallest hash of the
+    text), of repeated rows one. Rows without words belong to no group and stay. An empty
+    table gives an empty result."""
+    stage = Stage(docs.sparkSession, "groups")
+    rows = ngram_components(docs).where("group IS NOT NULL").select("group", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
+    rows = stage.put(rows.groupBy("group", "_d", "_t").agg(F.count("*").alias("n")), "rows")
+    first = stage.put(rows.groupBy("group").agg(F.min(F.struct(F.col("_d").isNull(), "_d", "_t")).alias("f"), F.count("*").alias("k")), "first")
+    marked = hot_join(rows, first, "group", "k").withColumn("stays", F.col("_d").eqNullSafe(F.col("f._d")) & (F.col("_t") == F.col("f._t")))
+    gone = stage.put(marked.where("NOT stays").select("_d", "_t"), "gone")
+    again = stage.put(marked.where("stays AND n > 1").select("_d", "_t"), "again")
+    keyed = keyed_rows(docs)
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
+    rest = keyed.join(small(gone), same, "left_anti")
+    once = rest.join(small(again), same, "left_semi").dropDuplicates(["_id", "_h"])
+    return rest.join(small(again), same, "left_anti").unionByName(once).select("row.*")
