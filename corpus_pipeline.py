@@ -7,48 +7,38 @@ a DataFrame, which is written as Parquet and read again as the next one's ``docs
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from denseblocks.llm import decontaminate, mixing, ngram_join, quality, queries, token_index
-from denseblocks.llm.common import Stage, keyed_rows, small, table
+from denseblocks.llm.common import Stage, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts are scored
+    as any; repeated rows go or stay together; without labels all stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.accepted(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id (null ids last; of
-    equal ids the smallest hash of the text), of repeated rows one. Documents without
-    words belong to no group and stay."""
-    stage = Stage(spark, "groups")
-    rows = ngram_join.ngram_components(docs).where("group IS NOT NULL").select("group", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
-    rows = stage.put(rows.groupBy("group", "_d", "_t").agg(F.count("*").alias("n")), "rows")
-    first = rows.groupBy("group").agg(F.min(F.struct(F.col("_d").isNull(), "_d", "_t")).alias("f"))
-    marked = rows.join(first, "group").withColumn("stays", F.col("_d").eqNullSafe(F.col("f._d")) & (F.col("_t") == F.col("f._t")))
-    gone = stage.put(marked.where("NOT stays").select("_d", "_t"), "gone")
-    again = stage.put(marked.where("stays AND n > 1").select("_d", "_t"), "again")
-    keyed = keyed_rows(docs)
-    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
-    rest = keyed.join(small(gone), same, "left_anti")
-    once = rest.join(small(again), same, "left_semi").dropDuplicates(["_id", "_h"])
-    return rest.join(small(again), same, "left_anti").unionByName(once).select("row.*")
+    """Of each group of near copies one document, as ``ngram_join.one_of_each_group`` says."""
+    return ngram_join.one_of_each_group(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands. Null and empty texts, which have no
+    window, stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, or up to three rows."""
+    """Every document as often as the mix takes it: not at all, or up to three rows. Documents
+    without words are taken as often as their source is taken whole."""
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids in indexed shards, read back from there."""
+    """The documents as token ids in indexed shards, read back from there. A null text is empty;
+    an empty one is its end id alone; repeated rows are documents of their own."""
     path = Stage(spark, "pipeline").path("shards")
     token_index.write(docs, path, queries.vocabulary(), queries.END_ID, queries.VOCABULARY)
     return token_index.read_documents(spark, path)
@@ -67,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each on all rows and columns that the one before
+    kept. Columns besides those of ``documents`` go along, whatever their names; an empty table
+    gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     stage = Stage(spark, "corpus")
     for i, (_, step) in enumerate(STAGES[:-1]):
