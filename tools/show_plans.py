@@ -55,6 +55,9 @@ def main() -> None:
         ("Tuples surviving a pass, broadcast path (P10)", B1),
         ("Tuples surviving a pass, salted shuffle path (forced: broadcast_rows=0)",
          mem.restrict(ctx.original, f"a{n}", vals, removed, keep=False, hot=hot, opts=forced)),
+        ("Tuples surviving a pass, bitmaps (forced: broadcast_rows=0)",
+         mem.restrict(ctx.original, f"a{n}", vals, removed, keep=False, opts=Options(broadcast_rows=0), card=ctx.ids[n])),
+        ("Mass and tuples of three blocks in one scan (A6, J1)", Q.q_block_totals(spark, sf)),
         ("Alive value update (P12)", _update_values(A_kept, B1, 3, ctx.opts)),
         ("Block tuples (J1)", Q.q_block_tuples(spark, sf)),
         ("Deflation (J2)", Q.q_deflate(spark, sf)),
