@@ -8,13 +8,17 @@ Spark's commit makes a rewritten shard replace a lost one):
   unsigned 16-bit integers if the vocabulary allows it, else 32-bit (``width`` bytes);
 * ``keys``: the document ids in that order, signed 64-bit; ``nulls`` of them, the
   first ones, stand for null;
-* ``levels``, ``bits``: a minimal perfect hash of the keys. A level is a bit array; a key
-  belongs to the first level where its bit is set, and the number of bits set before it
-  is its slot. Bits are set where exactly one of the keys left falls;
-* ``slots``: per slot a 32-bit fingerprint of the key, offset and length of its ids.
-
-``lookup`` finds a key with a few array accesses, whatever the number of documents, and
-rejects keys that are not there by the fingerprint.
+* ``first``, ``last``: smallest and largest document id (null if it has null ids only);
+* ``levels``, ``bits``, ``ranks``: a minimal perfect hash of the keys. A level is a bit array;
+  a key belongs to the first level where its bit is set, and the number of bits set before
+  it, stored for each block of bits, is its slot. Bits are set where exactly one of the
+  keys left falls;
+* ``slots``: per slot a 32-bit fingerprint of the key, offset and length of its ids, and the
+  row of its key.
+
+A key is found with a few array accesses, whatever the number of documents, and one that is
+not there is rejected by the fingerprint. ``read_by_key`` takes a DataFrame of ids: the
+ranges of the shards say where each may be, and only those shards are read.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, python_tasks
+from .common import Stage, python_tasks, small
 from .words import mix
 
 SHARD_IDS = 1 << 20
 GAMMA = 2.0  # bits of a level for each key left
-SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("length", "<u4")])
+BLOCK = 512  # bits of which the number set before is stored
+GROUP = 1024  # shards of which the key map has one row on the driver
+SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("length", "<u4"), ("row", "<u4")])
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -56,16 +62,33 @@ def build_index(keys: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def slots_of(keys: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Slot of each key; -1 where no level has its bit."""
-    out = np.full(len(keys), -1, np.int64)
-    before, left = 0, np.arange(len(keys))
-    for i, bits in enumerate(levels):
-        at = _at(keys[left], i, len(bits))
-        rank = np.cumsum(bits) - 1
-        hit = bits[at]
-        out[left[hit]] = before + rank[at[hit]]
-        before, left = before + int(rank[-1]) + 1, left[~hit]
+def pack(levels: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """The stored form of an index: bits of each level; all of them in blocks of BLOCK bits,
+    each level filled up to whole blocks; the number of bits set before each block."""
+    words = [np.packbits(np.pad(x, (0, -len(x) % BLOCK)), bitorder="little").view("<u8") for x in levels]
+    words = np.concatenate([*words, np.empty(0, "<u8")])
+    ones = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
+    ranks = np.concatenate([[0], np.cumsum(ones)[:-1]])[: len(ones)]
+    return np.array([len(x) for x in levels], "<u8").tobytes(), words.tobytes(), ranks.astype("<u8").tobytes()
+
+
+def slots_of(keys: np.ndarray, packed: tuple[bytes, bytes, bytes]) -> np.ndarray:
+    """Slot of each key; -1 where no level has its bit. A key reads a word of each level
+    until its bit is set, then the count of its block and the words of that block."""
+    sizes = np.frombuffer(packed[0], "<u8").astype(np.int64)
+    words, ranks = np.frombuffer(packed[1], "<u8"), np.frombuffer(packed[2], "<u8")
+    out, left, start = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
+    for i, bits in enumerate(sizes.tolist()):
+        at = start + _at(keys[left], i, bits)
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        hit = ((words[word] >> bit) & np.uint64(1)).astype(bool)
+        word, bit, block = word[hit], bit[hit], at[hit] // BLOCK
+        rank = ranks[block] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+        for j in range(BLOCK // 64 - 1):  # whole words of the block before the key's own
+            before = block * (BLOCK // 64) + j
+            rank += np.where(before < word, np.bitwise_count(words[before]), 0).astype(np.uint64)
+        out[left[hit]] = rank.astype(np.int64)
+        left, start = left[~hit], start + bits + -bits % BLOCK
     return out
 
 
@@ -73,31 +96,35 @@ def _mark(keys: np.ndarray) -> np.ndarray:
     return (mix(keys ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _nth(ids: np.ndarray, again: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Distinct 64-bit keys of rows: their id and, for repeated ids, the number of the
+    repetition (0 for the first)."""
+    salt = again.astype(np.uint64) * np.uint64(2) + null.astype(np.uint64)
+    x = ids.astype(np.int64).view(np.uint64)
+    return np.where(salt == 0, x, mix(mix(salt) + x))
+
+
 def _hash_keys(ids: np.ndarray, nulls: int) -> np.ndarray:
-    """Distinct 64-bit keys of the rows of a shard: its id and, for repeated ids (which
-    stand together), the number of the repetition."""
-    x = ids.astype(np.int64).view(np.uint64).copy()
+    """The keys of the rows of a shard, in which repeated ids stand together."""
     new = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.empty(0, bool)
     if nulls < len(ids):
         new[nulls] = True
     first = np.flatnonzero(new)
     again = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    salt = again.astype(np.uint64) * np.uint64(2)
-    salt[:nulls] += np.uint64(1)
-    return np.where(salt == 0, x, mix(mix(salt) + x))
+    return _nth(ids, again, np.arange(len(ids)) < nulls)
+
+
+def _probe(shard: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, entry of the slot table) of each key."""
+    slots = slots_of(keys, (shard["levels"], shard["bits"], shard["ranks"]))
+    table = np.frombuffer(shard["slots"], SLOT)
+    row = table[np.maximum(slots, 0)] if len(table) else np.zeros(len(keys), SLOT)
+    return (slots >= 0) & (row["mark"] == _mark(keys)), row
 
 
 def lookup(shard: dict, ids: np.ndarray, nulls: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(found, offset, length) in a shard's payload for document ids, repeated ids together."""
-    keys, levels, at = _hash_keys(ids, nulls), [], 0
-    raw = np.frombuffer(shard["bits"], np.uint8)
-    for n in np.frombuffer(shard["levels"], "<u8").astype(int):
-        size = -(-n // 8)
-        levels.append(np.unpackbits(raw[at : at + size], count=n).astype(bool))
-        at += size
-    slots, table = slots_of(keys, levels), np.frombuffer(shard["slots"], SLOT)
-    row = table[np.maximum(slots, 0)] if len(table) else np.zeros(len(keys), SLOT)
-    found = (slots >= 0) & (row["mark"] == _mark(keys))
+    found, row = _probe(shard, _hash_keys(ids, nulls))
     return found, row["offset"].astype(np.int64), row["length"].astype(np.int64)
 
 
@@ -177,7 +204,7 @@ def _encode(path: str, width: int, end: int):
     return run
 
 
-_SHARD = "shard int, n_docs long, n_ids long, width int, nulls long, keys binary, levels binary, bits binary, slots binary, payload binary"
+_SHARD = "shard int, n_docs long, n_ids long, width int, nulls long, first long, last long, keys binary, levels binary, bits binary, ranks binary, slots binary, payload binary"
 
 
 def _shards(width: int):
@@ -193,12 +220,12 @@ def _shards(width: int):
         nulls = sum(x is None for x in ids)
         keys = np.array([0 if x is None else x for x in ids], np.int64)
         hashed = _hash_keys(keys, nulls)
-        levels = build_index(hashed)
+        packed = pack(build_index(hashed))
         table = np.zeros(len(keys), SLOT)
-        table[slots_of(hashed, levels)] = np.rec.fromarrays([_mark(hashed), np.cumsum([0] + sizes[:-1]), sizes], dtype=SLOT)
-        row = [shard, len(keys), sum(sizes), width, nulls, keys.tobytes(), np.array([len(x) for x in levels], "<u8").tobytes(),
-               b"".join(np.packbits(x).tobytes() for x in levels), table.tobytes(), b"".join(parts)]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        table[slots_of(hashed, packed)] = np.rec.fromarrays([_mark(hashed), np.cumsum([0] + sizes[:-1]), sizes, np.arange(len(keys))], dtype=SLOT)
+        ends = [int(keys[nulls]), int(keys[-1])] if nulls < len(keys) else [None, None]
+        row = [shard, len(keys), sum(sizes), width, nulls, *ends, keys.tobytes(), *packed, table.tobytes(), b"".join(parts)]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in _SHARD.split(", ")])
 
     return run
@@ -245,6 +272,71 @@ def read_documents(spark, path: str) -> DataFrame:
     shards = spark.read.schema(_SHARD).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     base = shards.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
-    columns = "shard int, width int, nulls long, keys binary, levels binary, bits binary, slots binary, payload binary, base long"
+    columns = "shard int, width int, nulls long, keys binary, levels binary, bits binary, ranks binary, slots binary, payload binary, base long"
     rows = shards.join(F.broadcast(base), "shard").select([c.split()[0] for c in columns.split(", ")])
     return rows.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _shards_of(ids: DataFrame, spans: DataFrame) -> DataFrame:
+    """(shard, key): the shards whose range may hold each of the distinct ids. Those at an end
+    of a range are found by equality, as an id of many rows may be the end of many ranges;
+    those inside of one by the last range that starts before: in its group of shards
+    (GROUP of them, by a search in their first ids), and there by a running maximum."""
+    spans = spans.where("first IS NOT NULL")
+    ends = spans.select("shard", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
+    roots = spans.withColumn("g", F.floor(F.col("shard") / GROUP)).groupBy("g").agg(F.min("first").alias("first")).orderBy("g").collect()
+    firsts, numbers = np.array([r["first"] for r in roots], np.int64), np.array([r["g"] for r in roots] or [0], np.int64)
+
+    @F.arrow_udf("long")
+    def group(k: pa.Array) -> pa.Array:
+        return pa.array(numbers[np.maximum(np.searchsorted(firsts, k.to_numpy(zero_copy_only=False)) - 1, 0)])
+
+    starts = spans.select(F.floor(F.col("shard") / GROUP).alias("g"), F.col("first").alias("key"), F.struct("shard", "last").alias("span"))
+    asked = ids.select(group("key").alias("g"), "key", F.lit(None).cast("struct<shard:int,last:bigint>").alias("span"))
+    # a group's first range may start after the end of the one before it, which then holds no key of it
+    order = Window.partitionBy("g").orderBy("key", F.col("span").isNotNull(), "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = starts.unionByName(asked).withColumn("at", F.last("span", ignorenulls=True).over(order)).where("span IS NULL AND key < at.last")
+    return inside.select("at.shard", "key").unionByName(ends.join(ids, "key").select("shard", "key")).distinct()
+
+
+def _by_key(batches):
+    """Rows of a shard: itself (key null), then the keys asked for. Holds one shard."""
+    shard = None
+    for b in batches:
+        asked = b.column("key")
+        null = asked.is_null().to_numpy(zero_copy_only=False)
+        for i, j in zip(cuts := np.unique(np.concatenate([[0], np.flatnonzero(null), np.flatnonzero(null) + 1, [len(null)]])), cuts[1:]):
+            if null[i]:
+                shard = b.slice(i, 1).to_pylist()[0]
+                continue
+            ids = asked.slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)
+            own, again = np.frombuffer(shard["keys"], np.int64), 0
+            while len(ids):  # the first row of each id, the second one of those that have it, ...
+                found, row = _probe(shard, _nth(ids, np.full(len(ids), again), np.zeros(len(ids), bool)))
+                found[found] = (own[row["row"][found]] == ids[found]) & (row["row"][found] >= shard["nulls"])
+                ids, row, again = ids[found], row[found], again + 1
+                for k in range(0, len(ids), 256):
+                    some, w = row[k : k + 256], shard["width"]
+                    parts = [np.frombuffer(shard["payload"], f"<u{w}", n, o * w).astype(np.int64) for o, n in zip(some["offset"].tolist(), some["length"].tolist())]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(np.concatenate(parts)))
+                    start = pa.array(some["offset"].astype(np.int64) + shard["base"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256]), start, lists], names=["doc_id", "start", "ids"])
+
+
+def read_by_key(spark, path: str, keys: DataFrame) -> DataFrame:
+    """``doc_id, start, ids`` (array of long) of every document whose id is in the column
+    ``doc_id`` of ``keys`` (other columns are ignored). Ids asked for several times count once, null
+    ones and those that are not there give no row; a document's rows with equal ids all
+    come. Only shards whose range holds an id are read whole."""
+    python_tasks(spark)
+    shards = spark.read.schema(_SHARD).parquet(path)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    base = shards.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
+    ids = keys.select(F.col("doc_id").cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    asked = Stage(spark, "keys").put(_shards_of(ids, shards.select("shard", "first", "last")), "asked")
+    held = shards.join(small(base), "shard").join(small(asked.select("shard").distinct()), "shard", "left_semi")
+    columns = ["shard", "key", "base", "width", "nulls", "keys", "levels", "bits", "ranks", "slots", "payload"]
+    held = held.withColumn("key", F.lit(None).cast("long")).select(columns)
+    asked = asked.select(*[c if c in ("shard", "key") else F.lit(None).cast(held.schema[c].dataType).alias(c) for c in columns])
+    dealt = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
+    return dealt.mapInArrow(_by_key, "doc_id long, start long, ids array<long>")
