@@ -20,9 +20,13 @@ set-relation skipping:
   too few shingles for the threshold, and every entry of its own component.
 
 The components are closed under links, so that all links of a set are found among the
-sets of its component: ``ngram_links`` counts them exactly. A component is dealt out in
-cells of bounded size, and a task gets two cells and counts what their sets share by a
-matrix product; cells whose set sizes are too far apart never meet.
+sets of its component: ``ngram_links`` counts them exactly, from what each set differs in
+from one of the component (its pivot, the one with the most links found). Two sets that differ
+in x and y shingles from the pivot differ in ``|x xor y|`` from each other, so the pivot's
+answers are only corrected by short lists. Their lengths bound that number: sets
+in bands by length are linked or apart band by band, without a look at them. Bands that are
+left open are dealt out in cells of bounded size; a task gets two cells and counts what
+their lists share by a matrix product.
 
 Shuffled rows: one per document for the classes, the pre-aggregated counts of the
 smallest shingles (a first look) and of all shingles of the sets that remain, and
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Stage, hot_join, keyed_rows, python_tasks, small
+from .common import BROADCAST_BYTES, Stage, hot_join, keyed_rows, python_tasks, small
 from .components import components
 
 NUM, DEN = 4, 5
@@ -50,6 +54,9 @@ SHARED_BITS = 26  # bitmaps of shingles seen more than once: 8 MB
 CELL = 512  # sets of a component that a task compares with as many others
 CELL_SHINGLES = 1 << 20  # shingles of these sets
 COLUMNS = 4096  # shingles that one matrix product takes
+BANDS = 256  # by the number of shingles in which a set differs from its pivot
+# Sets are linked if they differ in at most NEAR / FAR of the sum of their sizes.
+NEAR, FAR = DEN - NUM, DEN + NUM
 
 _SEED = [np.uint64(0x2545F4914F6CDD1D * (2 * i + 1) & (1 << 64) - 1) for i in range(LEADERS)]
 
@@ -200,14 +207,27 @@ def _links(pairs: DataFrame, prof: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
+def _differ(batches):
+    """Of each set the shingles that only it or only the set of its component's pivot has."""
+    for b in batches:
+        comps = b.column("comp").to_numpy()
+        at, row = np.unique(comps, return_index=True)
+        pivots = dict(zip(at.tolist(), W.shingle_sets(_texts(b.select(["pivot"]).take(pa.array(row)), "pivot"))))
+        diffs = [np.setxor1d(x, pivots[c], assume_unique=True) for x, c in zip(W.shingle_sets(_texts(b)), comps.tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(c) for c in ("cls", "comp", "n", "n_copies")], pa.array(map(len, diffs), pa.int64()), pa.array([x.tobytes() for x in diffs], pa.binary())],
+            names=["cls", "comp", "n", "n_copies", "d", "diff"],
+        )
+
+
 def _partners(key, group):
     """(cls, links): for each set of two cells the rows of the other one (of its own one,
     if both are the same) whose sets are linked to it."""
     _, low, high = (k.as_py() for k in key)
-    sets = W.shingle_sets(_texts(group))
-    n, copies, home = (group.column(c).to_numpy() for c in ("n", "n_copies", "home"))
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("diff").to_pylist()]
+    n, d, copies, home = (group.column(c).to_numpy() for c in ("n", "d", "n_copies", "home"))
     token, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    who, many = np.repeat(np.arange(len(sets)), n), count[at] > 1
+    who, many = np.repeat(np.arange(len(sets)), d), count[at] > 1
     at = (np.cumsum(count > 1) - 1)[at[many]]
     order = np.argsort(at, kind="stable")
     at, who = at[order], who[many][order]
@@ -217,30 +237,59 @@ def _partners(key, group):
         x = np.zeros((len(sets), COLUMNS), np.float32)
         x[who[i:j], at[i:j] - start] = 1
         both += (x @ x.T).astype(np.int64)
-    linked = DEN * both >= NUM * (n[:, None] + n[None, :] - both)
+    linked = FAR * (d[:, None] + d[None, :] - 2 * both) <= NEAR * (n[:, None] + n[None, :])
     linked &= home[:, None] != home[None, :] if low != high else ~np.eye(len(sets), dtype=bool)
     return pa.table({"cls": group.column("cls"), "links": pa.array((linked * copies[None, :]).sum(1), pa.int64())})
 
 
-def _link_counts(prof: DataFrame, label: DataFrame, stage: Stage) -> DataFrame:
+def _differences(prof: DataFrame, label: DataFrame, linked: DataFrame, stage: Stage) -> DataFrame:
+    """(cls, comp, n, n_copies, d, diff): the classes of components of several, with
+    what each differs in from the pivot, the class with the most links found so far."""
+    sizes = label.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1")
+    degree = linked.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    best = degree.join(label.select("cls", "comp"), "cls").groupBy("comp").agg(F.max(F.struct("links", "cls"))["cls"].alias("uid"))
+    pivots = stage.put(sizes.join(best, "comp"), "pivots")
+    members = stage.put(label.join(small(pivots.select("comp")), "comp").select(F.col("cls").alias("uid"), "comp", "n", "n_copies"), "members")
+    texts = prof.select("uid", "text")
+    pivots = stage.put(texts.join(small(pivots), "uid").select("comp", "m", F.col("text").alias("pivot")), "pivot-texts")
+    rows = texts.join(small(members), "uid").withColumnRenamed("uid", "cls")
+    size = pivots.agg(F.sum(F.octet_length("pivot") + 16)).first()[0] or 0
+    rows = rows.join(F.broadcast(pivots), "comp") if size <= BROADCAST_BYTES else hot_join(rows, pivots, "comp", "m")
+    rows = rows.select("cls", "comp", "n", "n_copies", "text", "pivot")
+    return stage.put(rows.mapInArrow(_differ, "cls long, comp long, n long, n_copies long, d long, diff binary"), "differences")
+
+
+def _link_counts(prof: DataFrame, label: DataFrame, linked: DataFrame, stage: Stage) -> DataFrame:
     """(cls, links): for each class that has links to others, the rows of those."""
-    sizes = label.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("long")
-    parted = F.when((F.col("m") > CELL) | (F.col("all") > CELL_SHINGLES), block).otherwise(F.lit(0).cast("long"))
-    sets = label.join(small(sizes), "comp").select("cls", "comp", "n", "n_copies", parted.alias("block"))
-    sets = stage.put(sets, "members")
-    cells = sets.groupBy("comp", "block").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("long").alias("cells"))
-    cells = stage.put(cells, "cells")
-    # sets of one size block, or of two next to each other, may be linked
-    other = cells.select("comp", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("other"), F.col("cells").alias("others"))
-    meets = stage.put(cells.join(other, ["comp", "block"]), "meets")
-    home = (F.shiftleft("block", 32) + F.pmod(F.xxhash64("cls"), F.col("cells"))).alias("home")
-    sets = sets.join(small(meets), ["comp", "block"]).select(
-        "cls", "comp", "n", "n_copies", home, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda i: F.shiftleft("other", 32) + i)).alias("away"))
-    sets = sets.select("cls", "comp", "n", "n_copies", "home", F.least("home", "away").alias("low"), F.greatest("home", "away").alias("high"))
-    dealt = prof.select(F.col("uid").alias("cls"), "text").join(small(sets), "cls")
-    found = dealt.groupBy("comp", "low", "high").applyInArrow(_partners, "cls long, links long")
-    return found.groupBy("cls").agg(F.sum("links").alias("links"))
+    diffs = _differences(prof, label, linked, stage)
+    sizes = diffs.groupBy("comp").agg(F.count("*").alias("m"), F.sum("d").alias("all"), F.max("d").alias("most"))
+    large = (F.col("m") > CELL) | (F.col("all") > CELL_SHINGLES)
+    block = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))).otherwise(F.lit(0)).cast("long")
+    band = F.when(large, F.floor(F.col("d") * BANDS / (F.col("most") + 1))).otherwise(F.lit(0)).cast("long")
+    narrow = diffs.select("cls", "comp", "n", "n_copies", "d").join(small(sizes), "comp")
+    narrow = stage.put(narrow.select("cls", "comp", "n", "n_copies", "d", block.alias("block"), band.alias("band")), "bands")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("n", "d") for f in (F.min, F.max)]
+    cells = F.ceil(F.greatest(F.count("*") / CELL, F.sum("d") / CELL_SHINGLES)).cast("long").alias("cells")
+    cells = stage.put(narrow.groupBy("comp", "block", "band").agg(cells, F.sum("n_copies").alias("rows"), *ends), "cells")
+    # sets of one size block, or of two next to each other, may be linked; the sizes of the
+    # differences decide most of them: two sets differ by their sum at most and by what one exceeds the other at least
+    other = cells.select("comp", *[F.col(c).alias(f"o_{c}") for c in cells.columns if c != "comp"])
+    meets = cells.join(other, "comp").where("abs(block - o_block) <= 1")
+    sure = FAR * (F.col("max_d") + F.col("o_max_d")) <= NEAR * (F.col("min_n") + F.col("o_min_n"))
+    never = F.greatest(F.col("min_d") - F.col("o_max_d"), F.col("o_min_d") - F.col("max_d")) * FAR > NEAR * (F.col("max_n") + F.col("o_max_n"))
+    verdict = F.when(never, 0).when(sure, 1).otherwise(2)
+    meets = stage.put(meets.withColumn("verdict", verdict).where("verdict > 0"), "meets")
+    whole = meets.where("verdict = 1").groupBy("comp", "block", "band").agg(
+        F.sum("o_rows").alias("rows"), F.max((F.col("block") == F.col("o_block")) & (F.col("band") == F.col("o_band"))).alias("own"))
+    known = narrow.join(small(whole), ["comp", "block", "band"]).select("cls", (F.col("rows") - F.when(F.col("own"), F.col("n_copies")).otherwise(0)).alias("links"))
+    code = lambda block, band: F.shiftleft(block, 40) + F.shiftleft(band, 30)
+    home = (code("block", "band") + F.pmod(F.xxhash64("cls"), F.col("cells"))).alias("home")
+    away = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("o_cells") - 1), lambda i: code("o_block", "o_band") + i)).alias("away")
+    open_ = meets.where("verdict = 2").select("comp", "block", "band", "cells", "o_block", "o_band", "o_cells")
+    dealt = narrow.join(small(open_), ["comp", "block", "band"]).select("cls", home, away)
+    dealt = dealt.select("cls", "home", F.least("home", "away").alias("low"), F.greatest("home", "away").alias("high"))
+    found = diffs.join(small(dealt), "cls").groupBy("comp", "low", "high").applyInArrow(_partners, "cls long, links long")
+    return known.unionByName(found).groupBy("cls").agg(F.sum("links").alias("links"))
 
 
 def ngram_links(docs: DataFrame) -> DataFrame:
@@ -248,7 +297,8 @@ def ngram_links(docs: DataFrame) -> DataFrame:
     number of other rows whose sets reach the threshold with this one's, those with an
     equal set among them. Rows without shingles have none."""
     stage, prof, label = _classes(docs)
-    counts = stage.put(_link_counts(prof, label, stage), "link-counts")
+    found = [stage.spark.read.schema("a long, b long").parquet(stage.path(x)) for x in ("star-links", "best-links", "links")]
+    counts = stage.put(_link_counts(prof, label, found[0].unionByName(found[1]).unionByName(found[2]), stage), "link-counts")
     links = label.select(F.col("cls").alias("of"), "digest").join(counts, F.col("of") == F.col("cls")).select("digest", "links")
     label = label.join(links, "digest", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("links", F.lit(0)))
     return _rows(prof, label, F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
