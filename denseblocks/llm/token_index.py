@@ -26,10 +26,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +142,7 @@ _ENCODERS: dict = {}
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 # Fixed value: the pattern of the vocabulary file for which that holds.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CHUNK = 16 << 20  # bytes of text encoded at once (a longer one alone)
 _REMEMBER = 1_000_000  # words, and as many pieces, remembered by a worker before it starts anew
 
 
@@ -150,20 +154,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class _Pieces(dict):
-    """Packed ids of the pieces of text between blanks, remembered. No token of the
-    vocabulary crosses white space, so a text's ids are those of its pieces in turn."""
+class _Pieces:
+    """Packed ids of the pieces of text between blanks. No token of the
+    vocabulary crosses white space, so a text's ids are those of its pieces in turn. Pieces
+    met before are remembered as an Arrow array, in which those of a batch are looked up at once."""
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
+        self.tokenizer, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
         form = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex", x["type"]) for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT, "ByteLevel"] and form["model"]["dropout"] is None
-        self.model, self.words, self.letters = self.tokenizer.model, {}, _byte_letters()
+        self.model, self.words, self.letters = self.tokenizer.model, {}, dict(enumerate(_byte_letters()))
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def pack(self, ids: list[int]) -> bytes:
+        x = array(self.code, ids)
+        if sys.byteorder == "big":
+            x.byteswap()
+        return x.tobytes()
 
     def word(self, w: str) -> bytes:
         """Ids of one lower-case word or run of signs, straight from the merges."""
@@ -171,20 +183,41 @@ class _Pieces(dict):
         if x is None:
             if len(self.words) > _REMEMBER:
                 self.words.clear()
-            coded = w if w.isascii() else "".join(self.letters[b] for b in w.encode())
-            x = self.words[w] = np.array([t.id for t in self.model.tokenize(coded)], self.dtype).tobytes()
+            coded = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            x = self.words[w] = self.pack([t.id for t in self.model.tokenize(coded)])
         return x
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > _REMEMBER:
-            self.clear()
+    def piece(self, piece: str) -> bytes:
         m = _PLAIN.fullmatch(piece) if self.plain else None
         if m:
-            x = self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"")
-        else:
-            x = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[piece] = x
-        return x
+            return self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"")
+        return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def places(self, pieces: pa.Array) -> pa.Array:
+        """Where in ``ids`` those of each of the distinct pieces stand."""
+        if len(self.known) > _REMEMBER:
+            self.known, self.ids = self.known[:0], self.ids[:0]
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at))
+        if len(new):
+            start = len(self.known)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = pa.concat_arrays([self.ids, pa.array(map(self.piece, new.to_pylist()), pa.binary())])
+            at = pc.replace_with_mask(at, pc.is_null(at), pa.array(np.arange(start, start + len(new), dtype=np.int32)))
+        return at
+
+
+def _coded(texts: pa.Array, pieces: _Pieces, stop: bytes) -> pa.Array:
+    """Packed ids of each text and the end id. The pieces are numbered by Arrow, only the
+    distinct ones are looked up, and their ids put in a row by one ``take``."""
+    split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    numbered = split.flatten().dictionary_encode()
+    places, ends = pieces.places(numbered.dictionary).take(numbered.indices), split.offsets.to_numpy()[1:]
+    at = np.insert(places.to_numpy(), ends, len(pieces.ids))
+    row = pa.concat_arrays([pieces.ids, pa.array([stop], pa.binary())]).take(pa.array(at))
+    _, offsets, data = row.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[np.append(0, ends + np.arange(1, len(texts) + 1))]
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.tobytes()), data])
 
 
 def _encode(path: str, width: int, end: int):
@@ -194,12 +227,14 @@ def _encode(path: str, width: int, end: int):
             pieces = _ENCODERS[path, width] = _Pieces(path, width)
         stop = np.array([end], f"<u{width}").tobytes()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            out = [b"".join(map(pieces.__getitem__, (t or "").replace("\n", " ").split(" "))) + stop for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("tie"), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())],
-                names=["doc_id", "tie", "n", "ids"],
-            )
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = np.searchsorted(size, np.arange(CHUNK, size[-1] if len(size) else 0, CHUNK)) + 1
+            cuts = np.unique(np.concatenate([[0], cuts, [b.num_rows]])).tolist()
+            for i, j in zip(cuts, cuts[1:]):
+                part = b.slice(i, j - i)
+                out = _coded(part.column("text"), pieces, stop)
+                n = pc.divide(pc.cast(pc.binary_length(out), pa.int64()), width)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), n, out], names=["doc_id", "tie", "n", "ids"])
 
     return run
 
