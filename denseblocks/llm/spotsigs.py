@@ -6,9 +6,9 @@ sorted 32-bit hashes in hexadecimal. Anchors stand in running prose, so menus an
 add little, and a text that is embedded or cut keeps most of its signatures.
 
 ``likeness`` is the Jaccard similarity of two fingerprints. ``similar`` finds all pairs
-of documents above a threshold: sets are partitioned by length, and only sets of a
+of different fingerprints above a threshold, ``links`` counts them for each document: sets are partitioned by length, and only sets of a
 partition and the next one are compared, from the inverted lists of their first
-signatures.
+signatures. Equal fingerprints are one class; long lists are dealt out in cells.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Stage, default_partitions, python_tasks
+from .common import Stage, default_partitions, hot_join, python_tasks, small
 
 CHAIN = 3
+TASK_BYTES = 512 << 20  # of text that a task reads in order, more in a task only for rows of one id
+CELL = 1024  # entries of an inverted list that one task compares with the probes of that list
 # Very common words of English, German, French and Spanish.
 ANCHORS = """
 the of and to in is it that was for on are as with be this by at from have or an not which
@@ -117,13 +119,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     equal ids stand in the order of their texts, null ids and texts first. A null text counts
     as empty. The edited text has its last floor(n / 2) characters replaced by the first
     as many of the next document's text. A single row is its own next one.
+
+    Ranges of ids, one for each TASK_BYTES of text or more of them, are dealt to tasks, which
+    stream their rows in order; the driver holds one id for each range.
     """
     spark = docs.sparkSession
     python_tasks(spark)
     low = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(low).cast("long")))
-    parts = min(2000, default_partitions(spark))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
+    parts = max(default_partitions(spark), -(-size // TASK_BYTES))
     cuts = rows.select(F.col("k").cast("double")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     cuts = np.unique(np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in cuts], np.int64))
 
@@ -143,32 +149,74 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "text", "last").mapInArrow(_with_next, _OUT)
 
 
-def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness), a < b: pairs of distinct fingerprints of ``docs`` (doc_id, text)
-    with a likeness of at least ``least``; a and b are the smallest ids that have them.
-    Texts without words have no pair."""
-    spark = docs.sparkSession
-    python_tasks(spark)
-    stage = Stage(spark, "spots")
-
-    def run(batches):
-        for b in batches:
-            sigs = signatures(b.column("text").cast(pa.binary()).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sigs]), pa.int32()), pa.array(np.concatenate([*sigs, np.empty(0, np.uint32)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], names=["doc_id", "sigs"])
-
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, sigs array<long>").where("size(sigs) > 0")
-    sets = stage.put(sets.groupBy("sigs").agg(F.min("doc_id").alias("id")), "sets")
-    entry = sets.select("id", F.size("sigs").alias("n"), F.posexplode("sigs").alias("pos", "sig")).withColumn("part", F.floor(F.log("n") / F.log(F.lit(1 / least))).cast("int"))
+def _sets(batches):
+    for b in batches:
+        sigs = signatures(b.column("text").cast(pa.binary()).to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sigs]), pa.int32()), pa.array(np.concatenate([*sigs, np.empty(0, np.uint32)]).astype(np.int64)))
+        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sigs]
+        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(digest, pa.binary()), lists], names=["uid", "doc_id", "digest", "sigs"])
+
+
+def _alike(docs: DataFrame, least: float) -> tuple[Stage, DataFrame, DataFrame, DataFrame]:
+    """The stage, (doc_id, digest) of each row, (cls, digest, class_id, n_copies, sigs) of each class
+    of equal fingerprints, and (x, y, likeness) of the pairs of classes that are alike, each once."""
+    python_tasks(docs.sparkSession)
+    stage = Stage(docs.sparkSession, "spots")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = stage.put(rows.mapInArrow(_sets, "uid long, doc_id long, digest binary, sigs array<long>"), "rows")
+    sets = rows.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("uid").alias("cls"), F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.first("sigs").alias("sigs"))
+    sets = stage.put(sets, "sets")
+    # by length: two sets that are alike are of one partition or of two next to each other
+    part = F.floor(F.log("n") / F.log(F.lit(1 / least))).cast("int") if least < 1 else F.col("n")
+    entry = sets.select(F.col("cls").alias("id"), F.size("sigs").alias("n"), F.posexplode("sigs").alias("pos", "sig")).withColumn("part", part)
     # rarest first: how often a signature occurs decides its place in every set
-    entry = entry.join(entry.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "sig")
+    often = stage.put(entry.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "often")
+    entry = hot_join(entry, often, "sig", "m").where("m IS NOT NULL")
     placed = entry.groupBy("id", "n", "part").agg(F.array_sort(F.collect_list(F.struct("m", "sig"))).alias("s"))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1 - (F.col("n") - F.size("s"))
-    index = placed.where(first > 0).select("id", "n", "part", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(1)).cast("int"))).alias("e")).select("id", "n", "part", "e.sig")
+    index = placed.where(first > 0).select("id", "n", "part", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(1)).cast("int"))).alias("e"))
+    index = stage.put(index.select("id", "n", "part", "e.sig"), "index")
+    # a long list is dealt out in cells; each probe of it goes to all of them
+    long = small(index.groupBy("sig", "part").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("cells > 1"))
+    cells = F.coalesce("cells", F.lit(1))
+    held = index.join(long, ["sig", "part"], "left").withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int")).drop("cells")
     probe = index.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("id").alias("x"), F.col("n").alias("nx"))
-    pairs = probe.join(index, ["sig", "part"]).where(((F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("id")))) & (F.col("nx") >= F.col("n") * least)).select("x", "id").distinct()
-    left, right = sets.select(F.col("id").alias("x"), F.col("sigs").alias("sx")), sets
-    both = pairs.join(left, "x").join(right, "id")
-    common = F.size(F.array_intersect("sx", "sigs"))
-    out = both.withColumn("likeness", common / (F.size("sx") + F.size("sigs") - common)).where(F.col("likeness") >= least)
-    return out.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), "likeness")
+    probe = probe.join(long, ["sig", "part"], "left").select("sig", "part", "x", "nx", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+    once = (F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("id")))
+    pairs = probe.join(held, ["sig", "part", "cell"]).where(once & (F.col("nx") >= F.col("n") * least)).select("x", F.col("id").alias("y")).distinct()
+    left, right = (sets.select(F.col("cls").alias(c), F.col("sigs").alias(f"s{c}")) for c in "xy")
+    both = pairs.join(left, "x").join(right, "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    both = both.select("x", "y", (common / (F.size("sx") + F.size("sy") - common)).alias("likeness"))
+    return stage, rows, sets, stage.put(both.where(F.col("likeness") >= least), "pairs")
+
+
+def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, likeness), a < b: pairs of different fingerprints of ``docs`` (doc_id, text; other
+    columns are ignored) with a likeness of at least ``least``; a and b are the smallest ids that have them,
+    null (first) if only rows without an id do. Texts without words, null ones among them, have
+    no pair; repeated rows count once; an empty table gives an empty result. ``links`` says which
+    documents have which fingerprint."""
+    _, _, sets, pairs = _alike(docs, least)
+    names = [sets.select(F.col("cls").alias(c), F.col("class_id").alias(f"i{c}")) for c in "xy"]
+    a, b = F.col("ix"), F.col("iy")
+    swap = b.isNull() | (a > b)
+    return pairs.join(names[0], "x").join(names[1], "y").select(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"), "likeness")
+
+
+def links(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, n_copies, n_links``: the smallest id with an
+    equal fingerprint, the rows that have it, and the exact number of other rows whose likeness is at
+    least ``least``. Texts without words are alone in their class, without links. Rows with a null id
+    count like others; repeated rows come back repeated; an empty table gives an empty result."""
+    stage, rows, sets, pairs = _alike(docs, least)
+    copies = sets.select("cls", "n_copies")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("of"), F.col("y").alias("cls")), F.struct(F.col("y").alias("of"), F.col("x").alias("cls")))).alias("e")).select("e.*")
+    counts = ends.join(copies, "cls").groupBy("of").agg(F.sum("n_copies").alias("links"))
+    label = sets.join(counts, F.col("cls") == F.col("of"), "left")
+    label = label.select("digest", "class_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = hot_join(rows.select("doc_id", "digest"), stage.put(label, "label"), "digest", "n_copies")
+    own = F.col("digest").isNull()
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, none + 1).otherwise(F.col("n_copies")).alias("n_copies"), F.when(own, none).otherwise(F.col("n_links")).alias("n_links"))
