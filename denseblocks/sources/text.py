@@ -59,7 +59,10 @@ def classify_lines(lines: DataFrame, n_dims: int, delimiter: str = ",", allow_ze
         .when(~ok, F.lit("bad_token"))
         .when(~valid, F.lit("invalid"))
     )
-    return df.select("line", *[f"a{i}" for i in range(n_dims)], "v", reason.alias("reason"))
+    names = ["line", *[f"a{i}" for i in range(n_dims)], "v", "reason"]
+    # A filter of ``reason`` would be pushed below these steps with the whole parse written out
+    # at each of its mentions; it stops at a generator, so that each line is parsed once.
+    return df.withColumn("reason", reason).select(F.inline(F.array(F.struct(*names))))
 
 
 def parse_lines(
