@@ -45,6 +45,13 @@ def test_accepted_lines_are_parsed_once(spark):
     assert _splits(accepted) == 1
 
 
+def test_rejected_lines_are_parsed_once(spark):
+    cls = classify_lines(_lines(spark, ["1,2,3", "4,5", "6,x,7", "1,-1,2"]), 2)
+    rejected = cls.filter("reason IS NOT NULL").select("line", "reason")
+    assert {tuple(r) for r in rejected.collect()} == {("4,5", "short"), ("6,x,7", "bad_token"), ("1,-1,2", "invalid")}
+    assert _splits(rejected) == 1
+
+
 def test_failfast(spark):
     with pytest.raises(ValueError):
         parse_lines(_lines(spark, ["1,2,3", "6,x,7"]), 2, mode="failfast")
