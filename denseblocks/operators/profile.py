@@ -55,10 +55,17 @@ def profile_of(row: dict, n_dims: int) -> Profile:
     )
 
 
-def unpivot_dims(df: DataFrame, n_dims: int, keep: list[str] | None = None) -> DataFrame:
-    """One row per (tuple, dimension): columns mode INT, value BIGINT, + ``keep``."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("mode"), F.col(f"a{i}").alias("value")) for i in range(n_dims)])
-    return df.select(*(keep or []), F.inline(pairs))
+def unpivot_dims(df: DataFrame, n_dims: int, keep: list[str] | None = None, without: int | None = None) -> DataFrame:
+    """One row per (tuple, dimension but ``without``): columns mode INT, value BIGINT, + ``keep``.
+
+    The exploded array is a constant, the value is picked per row: no array of structs is built
+    for each tuple."""
+    modes = [i for i in range(n_dims) if i != without]
+    value = F.col(f"a{modes[-1]}")
+    for i in modes[-2::-1]:
+        value = F.when(F.col("mode") == i, F.col(f"a{i}")).otherwise(value)
+    rows = df.withColumn("mode", F.explode(F.array(*[F.lit(i) for i in modes])))
+    return rows.select(*(keep or []), "mode", value.alias("value"))
 
 
 def value_masses(df: DataFrame, n_dims: int) -> DataFrame:

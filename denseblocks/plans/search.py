@@ -209,6 +209,13 @@ def _start_values(ctx: Context, current: DataFrame) -> DataFrame:
     return _update_values(ctx.all_values, current, ctx.n_dims, ctx.opts)
 
 
+def _values_without(ctx: Context, R: DataFrame, V: DataFrame, block: Block) -> DataFrame:
+    """:func:`_start_values` of what ``block`` leaves of ``R``, whose values are ``V``: only
+    the tuples of the block are added up, and subtracted."""
+    gone = block_tuples(ctx, R, block.members, block.sizes, V, _count_tuples(V))
+    return _update_values_delta(V, gone, ctx.n_dims)
+
+
 def _count_tuples(values: DataFrame) -> int:
     """Rows of the relation whose value table this is: every row has one value of
     the first dimension."""
@@ -494,7 +501,7 @@ class _Peel:
                 now = cold if hot is None else cold.unionByName(hot)
                 log.tuple_rows += s.tuples
                 read += size(*new_base.paths())
-            new = _update_values_delta(kept, gone, N) if opts.update == "delta" else _update_values(kept, now, N, opts)
+            new = _update_values_delta(kept, gone, N, n) if opts.update == "delta" else _update_values(kept, now, N, opts)
             if new_base:
                 s.written += base.paths()
                 s.base, s.base_pass, s.base_tuples, s.since_base = asdict(new_base), s.p, s.tuples, [0] * N
@@ -651,12 +658,14 @@ def _update_values(alive: DataFrame, B_next: DataFrame, n_dims: int, opts: Optio
     return vrows.unionByName(trows).groupBy("mode", "value").agg(*sums)
 
 
-def _update_values_delta(alive: DataFrame, gone: DataFrame, n_dims: int) -> DataFrame:
+def _update_values_delta(alive: DataFrame, gone: DataFrame, n_dims: int, peeled: int | None = None) -> DataFrame:
     """P11 form: subtract the masses of the tuples that left this pass
-    (``gone``) instead of recomputing from the survivors."""
+    (``gone``) instead of recomputing from the survivors. In the dimension ``peeled`` every value of
+    a tuple that left was removed, and none of those is alive: nothing is added up for it."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     vrows = alive.select("mode", "value", F.col("mass").alias("nm"), F.col("tuples").alias("nt"), F.col("mass").alias("om"), F.lit(1).alias("is_alive"))
-    trows = unpivot_dims(gone, n_dims, ["v"]).select("mode", "value", (-F.col("v")).alias("nm"), (-one).alias("nt"), zero.alias("om"), F.lit(0).alias("is_alive"))
+    without = peeled if n_dims > 1 else None
+    trows = unpivot_dims(gone, n_dims, ["v"], without).select("mode", "value", (-F.col("v")).alias("nm"), (-one).alias("nt"), zero.alias("om"), F.lit(0).alias("is_alive"))
     sums = F.sum("nm").cast("long").alias("mass"), F.sum("nt").cast("long").alias("tuples"), F.sum("om").cast("long").alias("old")
     agg = vrows.unionByName(trows).groupBy("mode", "value").agg(*sums, F.max("is_alive").alias("is_alive"))
     # tuples that left also carry the values removed this pass: keep alive keys only
@@ -912,11 +921,13 @@ def find_blocks(
         """Go on with what the block leaves of the relation."""
         nonlocal R, V, R_path, V_path, R_mass
         if block.found.cut_pass is None:
-            left, R_mass = ctx.rows.filter(F.lit(False)), 0
+            light, left, R_mass = False, ctx.rows.filter(F.lit(False)), 0
         else:
+            light = 2 * block.found.search_mass <= R_mass  # most of the tuples are likely left: add up the block's
             left, R_mass = deflate(ctx, R, block.members, block.sizes, V, _count_tuples(V)), R_mass - block.found.search_mass
-        R, R_path = stored(left, "rest", folder)
-        V, V_path = stored(_start_values(ctx, R).select(F.col("mode").cast("int"), "value", "mass", "tuples"), "start", folder)
+        before, (R, R_path) = R, stored(left, "rest", folder)
+        start = _values_without(ctx, before, V, block) if light else _start_values(ctx, R)
+        V, V_path = stored(start.select(F.col("mode").cast("int"), "value", "mass", "tuples"), "start", folder)
 
     blocks: list[Block] = []
 

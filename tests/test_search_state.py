@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from denseblocks import Options, find_blocks, from_columns, prepare
+from denseblocks.operators.profile import unpivot_dims
 from denseblocks.operators.ranges import expand, unseen_ranges
 from denseblocks.plans import job, search
 from denseblocks.plans.journal import Journal
@@ -224,3 +225,37 @@ def test_result_gives_back_its_tables(spark):
     assert all(map(exists, paths))
     res.close()
     assert not any(map(exists, paths))
+
+
+# -- what the delta and the next start read -------------------------------------
+
+
+def light_block():
+    """A dense block with less than half of the mass, and tuples spread over other values."""
+    return [(i, j, 20) for i in range(2) for j in range(2)] + [(2 + i % 100, 2 + i * 7 % 90, 1) for i in range(200)]
+
+
+def test_start_after_a_light_block_adds_up_its_tuples_only(spark, monkeypatch):
+    rows = light_block()
+    ctx = prepare(relation_of(spark, rows, 2), Options(merge="never"))
+    whole, read = [], []
+    start, delta = search._start_values, search._update_values_delta
+    monkeypatch.setattr(search, "_start_values", lambda *a: whole.append(1) or start(*a))
+    monkeypatch.setattr(search, "_update_values_delta", lambda alive, gone, *a: read.append(gone.count()) or delta(alive, gone, *a))
+    res = find_blocks(ctx, 2, "geo", "density", 2.0)
+    assert not whole and read == [4]
+    expected = bruteforce.find_blocks(rows, 2, 2, "geo", "density", 2.0)
+    assert [r["tuples"] for r in res.report().orderBy("block").collect()] == [e["tuples"] for e in expected]
+    block = res.blocks[0]
+    left = search.deflate(ctx, ctx.rows, block.members, block.sizes, ctx.all_values, ctx.n_rows)
+    bag = lambda df: sorted(map(tuple, df.select("mode", "value", "mass", "tuples").collect()))
+    assert bag(search._values_without(ctx, ctx.rows, ctx.all_values, block)) == bag(start(ctx, left))
+
+
+def test_delta_leaves_out_the_peeled_dimension(spark):
+    ctx = prepare(relation_of(spark, light_block(), 2), Options(merge="never"))
+    light = (F.col("mode") == 0) & (F.col("mass") <= 2)
+    kept, gone = ctx.all_values.where(~light), ctx.rows.join(ctx.all_values.where(light).select(F.col("value").alias("a0")), "a0", "left_semi")
+    assert unpivot_dims(gone, 2, ["v"], without=0).count() == gone.count()
+    bag = lambda df: sorted(map(tuple, df.collect()))
+    assert bag(search._update_values_delta(kept, gone, 2, 0)) == bag(search._update_values_delta(kept, gone, 2))
