@@ -243,21 +243,23 @@ class Base:
         return [p for p in (self.path, self.hot, self.hot_values) if p]
 
 
-def write_base(ctx: Context, df: DataFrame, values: DataFrame, alive_obs: Sequence[int], tuples: int, folder: str | None) -> Base:
+def write_base(ctx: Context, df: DataFrame, values: DataFrame, alive_obs: Sequence[int], tuples: int, folder: str | None, joined: bool = True) -> Base:
     """Write working tuples; in buckets of the dimension with the largest sets if
-    ``Options.layout`` asks for it and those are too large to be broadcast."""
+    ``Options.layout`` asks for it and those are too large to be broadcast. ``joined``: they come
+    out of joins, else they are the relation or a table and are read twice as they are."""
     opts = ctx.opts
     key = bucket_key(ctx, values, alive_obs) if opts.layout == "bucketed" else None
     if key is None:
         return Base(stored(df, "alive", folder)[1])
-    # the tuples come out of joins: written once before they are dealt into two tables
-    whole, path = stored(df, "whole", folder)
+    # tuples out of joins are written once before they are dealt into two tables
+    whole, path = stored(df, "whole", folder) if joined else (df, None)
     hot, hot_path = stored(mem.hot_values(values, key, tuples, F.lit(True), opts).select("value"), "hot_values", folder)  # hot_parts rows at most
     hot = F.broadcast(hot.withColumnRenamed("value", f"a{key}"))
     n = int(ctx.spark.conf.get("spark.sql.shuffle.partitions"))
     name, cold = bucketed(whole.join(hot, f"a{key}", "left_anti").select(*whole.columns), "bucketed", f"a{key}", n, folder)
     hot_tuples = stored(whole.join(hot, f"a{key}", "left_semi").select(*whole.columns), "hot", folder)[1]
-    release(ctx.spark, path)
+    if path:
+        release(ctx.spark, path)
     return Base(cold, key, name, n, hot_tuples, hot_path)
 
 
@@ -407,7 +409,7 @@ class _Peel:
             if self.opts.layout == "bucketed":
                 self.s = state
                 if bucket_key(ctx, V, self.seen()) is not None:
-                    state.base = asdict(write_base(ctx, B, V, self.seen(), rows, folder))
+                    state.base = asdict(write_base(ctx, B, V, self.seen(), rows, folder, joined=False))
         self.s = state
 
     # -- tables -------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from denseblocks import Options, find_blocks, from_columns, prepare
+from denseblocks.config import stored
 from denseblocks.operators.profile import unpivot_dims
 from denseblocks.operators.ranges import expand, unseen_ranges
 from denseblocks.plans import job, search
@@ -259,3 +260,15 @@ def test_delta_leaves_out_the_peeled_dimension(spark):
     assert unpivot_dims(gone, 2, ["v"], without=0).count() == gone.count()
     bag = lambda df: sorted(map(tuple, df.collect()))
     assert bag(search._update_values_delta(kept, gone, 2, 0)) == bag(search._update_values_delta(kept, gone, 2))
+
+
+def test_first_buckets_are_dealt_without_a_copy(spark, monkeypatch):
+    rows = light_block()
+    opts = Options(broadcast_rows=2, bitmap_bytes=0, hot_parts=8, layout="bucketed", merge="never")
+    ctx = prepare(relation_of(spark, rows, 2), opts)
+    names = []
+    monkeypatch.setattr(search, "stored", lambda df, name, *a: names.append(name) or stored(df, name, *a))
+    peel = search._Peel(ctx, ctx.rows, ctx.all_values, ctx.mass, "geo", "density", 2.0, None, None)
+    assert names == ["hot_values", "hot"]
+    cold, hot, _ = search.open_base(ctx, search.Base(**peel.s.base), ctx.rows)
+    assert sorted(tuple(r)[:3] for r in cold.unionByName(hot).select("a0", "a1", "v").collect()) == sorted(rows)
