@@ -32,14 +32,17 @@ from ..relation import Relation
 INTEGER_TOKEN = r"^[+-]?[0-9]+$"
 
 
-def _tokens(line: Column, delimiter: str) -> Column:
+def _tokens(line: Column, delimiter: str, most: int) -> Column:
+    """The first ``most`` - 1 tokens of a line and what follows them, uncut, as the last one."""
     d = re.escape(delimiter)
-    return F.split(F.regexp_replace(line, f"(?:{d})+$", ""), d, -1)
+    # One character is trimmed without a pattern, which would try every run of delimiters to its end.
+    full = F.rtrim(line, F.lit(delimiter)) if len(delimiter) == 1 else F.regexp_replace(line, f"(?:{d})+\\z", "")
+    return F.split(full, d, most)
 
 
 def classify_lines(lines: DataFrame, n_dims: int, delimiter: str = ",", allow_zero: bool = False, column: str = "value") -> DataFrame:
     """Parse every line: columns line, a0..aN-1, v, reason (null when accepted)."""
-    toks = _tokens(F.col(column), delimiter)
+    toks = _tokens(F.col(column), delimiter, n_dims + 2)
     df = lines.select(F.col(column).alias("line"), toks.alias("_t"))
     parsed = []
     ok = F.lit(True)

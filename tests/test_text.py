@@ -52,6 +52,16 @@ def test_rejected_lines_are_parsed_once(spark):
     assert _splits(rejected) == 1
 
 
+@pytest.mark.parametrize("delimiter", [",", "||"])
+def test_end_of_line_and_further_tokens(spark, delimiter):
+    """Only delimiters at the very end do not count, and tokens after the measure are not cut."""
+    lines = ["1,2,\n", "1,2,,,", "1,2,3,,,", "1,2,3" + "," * 3000 + "x", "1,2,,x", "1,,3"]
+    cls = classify_lines(_lines(spark, [x.replace(",", delimiter) for x in lines]), 2, delimiter)
+    assert [r["reason"] for r in cls.collect()] == ["bad_token", "short", None, None, "bad_token", "bad_token"]
+    plan = cls._jdf.queryExecution().optimizedPlan().toString()
+    assert ("regexp_replace(" in plan) == (len(delimiter) > 1)
+
+
 def test_failfast(spark):
     with pytest.raises(ValueError):
         parse_lines(_lines(spark, ["1,2,3", "6,x,7"]), 2, mode="failfast")
