@@ -79,7 +79,9 @@ def tag(
 
 
 def per_block(tagged: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, ...): a row per tuple and block (from 1) that it is in."""
+    """(block, ...): a row per tuple and block (from 1) that it is in. Every tagged tuple is in a sole one."""
+    if n_blocks == 1:
+        return tagged.select(F.lit(1).alias("block"), *[c for c in tagged.columns if c != "mask"])
     inside = F.filter(F.sequence(F.lit(1), F.lit(n_blocks)), lambda b: F.getbit(F.col("mask"), b - 1) == 1)
     rest = [c for c in tagged.columns if c != "mask"]
     return tagged.select(F.explode(inside).alias("block"), *rest)

@@ -836,19 +836,22 @@ class Result:
 
     def tuples(self) -> DataFrame:
         """(block, a0.., v): the original tuples of every block (T6). They are those that the
-        evaluation stored; merged coordinates are read again from the original, in one scan."""
+        evaluation stored; merged coordinates are read again from the original, in one scan.
+        A sole block is a constant column, by which a partitioned write need not sort."""
         ctx = self.ctx
         columns = ctx.original.columns
         parts = []
         for group, tagged, _ in self.hits:
             if ctx.merged:
                 tagged = tag_blocks(ctx, ctx.original, group, ctx.tuples)
-            index = F.element_at(F.array(*[F.lit(b.index) for b in group]), F.col("block"))
+            names = [F.lit(b.index) for b in group]
+            index = F.element_at(F.array(*names), F.col("block")) if len(group) > 1 else names[0]
             parts.append(per_block(tagged, len(group)).select(index.alias("block"), *columns))
         tagged = {b.index for group, _, _ in self.hits for b in group}
         whole = [F.lit(b.index) for b in self.blocks if b.index not in tagged]
         if whole:
-            parts.append(ctx.original.select(F.explode(F.array(*whole)).alias("block"), *columns))
+            block = F.explode(F.array(*whole)) if len(whole) > 1 else whole[0]
+            parts.append(ctx.original.select(block.alias("block"), *columns))
         if not parts:
             return ctx.original.limit(0).select(F.lit(0).alias("block"), *columns)
         return reduce(DataFrame.unionByName, parts)

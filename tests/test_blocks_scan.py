@@ -10,6 +10,7 @@ from denseblocks import Options, find_blocks, prepare
 from denseblocks.operators import masks
 from denseblocks.operators import membership as mem
 from denseblocks.plans import search
+from denseblocks.sources import sinks
 
 from .conftest import blocks_summary, relation_of
 
@@ -51,6 +52,24 @@ def test_all_blocks_from_one_scan(spark, opts):
         assert text.count("Scan ExistingRDD") == 1 and "SortMergeJoin" not in text
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_sole_block_is_written_without_a_sort(spark, tmp_path, whole):
+    """The tuples of a sole block, a part of the relation or all of it, go to the files as they come."""
+    rows = [(a, b, c, 1) for a in range(3) for b in range(3) for c in range(3)] * 2 if whole else relation(spark)[0]
+    res = find_blocks(relation_of(spark, rows, N), k=1, measure="geo", policy="density", theta=2.0)
+    sets = members_of(res)[1]
+    inside = sorted(t for t in rows if all(t[m] in sets[m] for m in range(N)))
+    assert (len(inside) == len(rows)) == whole and bool(res.hits) != whole
+    assert sorted(tuple(r) for r in res.tuples().collect()) == [(1, *t) for t in inside]
+    assert "Generate" not in plan_of(res.tuples())
+    # what a write by ``block`` asks of its input
+    text = plan_of(res.tuples().sortWithinPartitions("block"))
+    assert "Sort " not in text
+    sinks.write_blocks(res, str(tmp_path))
+    files = spark.read.csv(f"{tmp_path}/tuples", schema="a0 long, a1 long, a2 long, v long, block int")
+    assert sorted((r["block"], r["a0"], r["a1"], r["a2"], r["v"]) for r in files.collect()) == [(1, *t) for t in inside]
+
+
 def test_more_than_one_mask(spark, monkeypatch):
     monkeypatch.setattr(search, "BITS", 2)
     rows, rel = relation(spark, 2)
